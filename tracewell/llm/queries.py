@@ -18,6 +18,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import round_trip
+
+    return round_trip(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -36,6 +48,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(read_table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_secret_scan, op7_bpe, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html_extract, op3_token_store, op6_secret_scan, op7_bpe, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
