@@ -18,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    return find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -30,6 +36,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -48,6 +61,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(read_table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html_extract, op3_token_store, op6_secret_scan, op7_bpe, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op6_secret_scan, op7_bpe, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
