@@ -61,6 +61,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(read_table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op6_secret_scan, op7_bpe, op9_quality_rules)}
+def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op6_secret_scan, op7_bpe, op9_quality_rules, op10_simhash_groups)}
 
 ORACLE_SQL: dict[str, str] = {}
