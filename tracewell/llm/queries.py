@@ -43,6 +43,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents")).drop("n_repeats")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -55,6 +61,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import rules
 
@@ -67,6 +79,6 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op6_secret_scan, op7_bpe, op9_quality_rules, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op5_substring_dedup, op6_secret_scan, op7_bpe, op8_lm_score, op9_quality_rules, op10_simhash_groups)}
 
 ORACLE_SQL: dict[str, str] = {}
