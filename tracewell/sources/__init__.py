@@ -1 +1 @@
-
+"""Sources and the adapters from the driver's tables to the canonical ones."""
