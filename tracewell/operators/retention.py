@@ -42,7 +42,7 @@ def shared_by(rows: DataFrame, key: str, owner: str) -> DataFrame:
     """Per owner: keys that only it uses, and keys it shares."""
     per_key = rows.select(key, owner).distinct().groupBy(key).agg(F.count("*").alias("owners"), F.min(owner).alias("a"))
     pairs = rows.select(key, owner).distinct().join(per_key.select(key, "owners"), key)
-    return pairs.groupBy(owner).agg(F.count_if("owners = 1").alias("unique_keys"), F.count_if("owners > 1").alias("shared_keys"))
+    return pairs.groupBy(owner).agg(F.count_if(F.col("owners") == 1).alias("unique_keys"), F.count_if(F.col("owners") > 1).alias("shared_keys"))
 
 
 def deletion_impact(snapshots: DataFrame, occurrences: DataFrame, scan_id: int) -> DataFrame:

@@ -147,7 +147,7 @@ def preview(actions: DataFrame, samples: int = 10) -> tuple[DataFrame, DataFrame
 def deletion_preview(supports: DataFrame, rule_id: int) -> DataFrame:
     """What deleting a rule removes: its supports, and assignments that nothing else holds."""
     held = supports.groupBy("site_page_id", "category_id").agg(F.count_if(F.col("rule_id") == rule_id).alias("own"), F.count_if(F.col("rule_id") != rule_id).alias("others")).where("own > 0")
-    return held.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("supports_removed"), F.count_if("others = 0").alias("assignments_removed"), F.count_if("others > 0").alias("assignments_retained"))
+    return held.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("supports_removed"), F.count_if(F.col("others") == 0).alias("assignments_removed"), F.count_if(F.col("others") > 0).alias("assignments_retained"))
 
 
 def provenance(supports: DataFrame, manual: DataFrame, exclusions: DataFrame) -> DataFrame:

@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import compare_queries, evidence_queries, extract_queries, graph_queries
+
+BOOKS = [graph_queries.BOOK, evidence_queries.BOOK, compare_queries.BOOK, extract_queries.BOOK]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for b in BOOKS for k, q in b.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: q for b in BOOKS for k, q in b.oracle.items()}
