@@ -122,7 +122,7 @@ class ProjectionStore:
 
     def delete(self, scan_id: int) -> None:
         """Cancel all builds of a scan; their folders can go."""
-        for r in self.states().where((F.col("scan_id") == scan_id) & (F.col("status") == "ready")).collect():
+        for r in self.states().where((F.col("scan_id") == scan_id) & F.col("status").isin("ready", "superseded")).collect():
             self._record(r.build_id, scan_id, "cancelled")
 
 
