@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,7 @@ def sub_batches(batch: pa.RecordBatch, text: str, limit: int = KERNEL_BYTES) ->
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-    sizes = np.array([len(x) if x is not None else 0 for x in column], dtype=np.int64) if batch.num_rows < 8 else _sizes(column)
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
@@ -41,12 +41,6 @@ def sub_batches(batch: pa.RecordBatch, text: str, limit: int = KERNEL_BYTES) ->
         at = to
 
 
-def _sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def crc_of_id(doc_id: int | None) -> int | None:
     """Unsigned crc32 of the decimal text of an id; None for a null id."""
     return None if doc_id is None else zlib.crc32(str(doc_id).encode())
