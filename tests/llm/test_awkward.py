@@ -41,7 +41,7 @@ def test_defined_results(spark, awkward):
     assert s[2].fingerprint == s[5].fingerprint == "0" * 16 and s[2].component_id == s[3].component_id == s[5].component_id == 2
     assert s[8].component_id == 1
     d = by(substring_dedup.dedup(awkward))
-    assert (d[1].n_removed, d[8].n_removed, d[8].kept_sha256, d[3].kept_sha256) == (0, 18, NOTHING, NOTHING)
+    assert (d[1].n_removed, d[8].n_removed, d[8].kept_sha256, d[3].kept_sha256) == (0, 19, NOTHING, NOTHING)
     t = token_store.round_trip(spark, awkward, WORD).orderBy("start").collect()
     assert [r.doc_id for r in t][:2] == [None, None] and [r.start for r in t] == [sum(x.n_tokens for x in t[:k]) for k in range(len(t))]
     b = by(bpe.digests(awkward, BYTE))

@@ -81,4 +81,31 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op5_substring_dedup, op6_secret_scan, op7_bpe, op8_lm_score, op9_quality_rules, op10_simhash_groups)}
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM w)"""
+
+OP5_SQL = f"""WITH {WORDS_SQL},
+    windows AS (SELECT doc_id, p, g FROM (SELECT doc_id, p, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM words) WHERE p + 12 <= n),
+    firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM windows JOIN firsts USING (g) WHERE least < doc_id),
+    kept AS (SELECT words.doc_id, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY 1)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
+def _repeated(size: int) -> str:
+    """Places where a window of ``size`` words begins that its document has twice."""
+    return f"""r{size} AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, p, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS g FROM words) WHERE p + {size - 1} <= n) WHERE c > 1),
+    c{size} AS (SELECT doc_id, count(DISTINCT q) AS covered FROM (SELECT doc_id, unnest(range(p, p + {size})) AS q FROM r{size}) GROUP BY 1)"""
+
+
+#: A repeat of 20 words or more covers what windows of 20 cover; one longer than 100 has a window of 101.
+OP9_SQL = f"""WITH {WORDS_SQL}, {_repeated(8)}, {_repeated(20)}, {_repeated(101)},
+    chars AS (SELECT doc_id, sum(length(x)) AS word_chars FROM words GROUP BY 1),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+    base AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c8.covered, 0) AS n_repeat_words, coalesce(c20.covered, 0) AS covered, coalesce(c101.covered, 0) > 0 AS too_long
+        FROM w JOIN documents d ON d.doc_id = w.doc_id LEFT JOIN chars ON chars.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN c8 ON c8.doc_id = w.doc_id LEFT JOIN c20 ON c20.doc_id = w.doc_id LEFT JOIN c101 ON c101.doc_id = w.doc_id),
+    judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.2 * n_words AND NOT too_long AS kept FROM judged"""
+
+#: The others have no SQL form: hashes, kernels, merges or files that it lacks. Tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
