@@ -50,7 +50,12 @@ def deletion_impact(snapshots: DataFrame, occurrences: DataFrame, scan_id: int)
     own = snapshots.where(F.col("scan_id") == scan_id)
     others = snapshots.where(F.col("scan_id") != scan_id).select("resource_id").union(occurrences.where(F.col("scan_id") != scan_id).select("target_resource_id"))
     only = unreferenced(own.select("resource_id").distinct(), "resource_id", [others])
-    return own.agg(F.count("*").alias("snapshots")).join(occurrences.where(F.col("scan_id") == scan_id).agg(F.count("*").alias("occurrences"))).join(only.agg(F.count("*").alias("resources_released")))
+    kinds = {"snapshots": own, "occurrences": occurrences.where(F.col("scan_id") == scan_id), "resources_released": only}
+    rows = None
+    for name, df in kinds.items():
+        n = df.agg(F.count("*").alias(name))
+        rows = n if rows is None else rows.unionByName(n, allowMissingColumns=True)
+    return rows.agg(*[F.max(name).alias(name) for name in kinds])
 
 
 def identity_collisions(urls: DataFrame, url: str, candidate: Column) -> DataFrame:
