@@ -69,3 +69,12 @@ def test_stages(spark, awkward, empty, tmp_path, k):
         if k < 4:
             assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
         out.write.parquet(f"{tmp_path}/{name}-{docs is empty}")
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark, awkward):
+    docs = awkward.where("n_chars is null or n_chars != 5 or doc_id is null").unionByName(awkward.where("n_chars = 5")).unionByName(awkward.where("doc_id = 7").withColumn("text", F.lit("other text under the id seven")))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in simhash.keep_one(docs).collect())
+    ids = [(a, b) for a, b, _ in got]
+    assert ids.count((True, 1)) == 1 and (True, 8) not in ids and (True, 3) not in ids and (True, 5) not in ids
+    assert ids.count((True, 2)) == 1 and ids.count((True, 7)) == 2 and (False, 0, "no id here but words") in got and ids.count((False, 0)) == 1
+    assert simhash.keep_one(docs).columns == docs.columns

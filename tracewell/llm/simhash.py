@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import store, sub_batches, text_bytes
 
@@ -263,21 +264,47 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint."""
     marked = store(fingerprints(docs, doc_id, text), "fingerprints")
     # A node is a distinct fingerprint with the smallest doc_id that has it.
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(candidate_links(nodes.select(F.col("fp").alias("node"), "fp")))
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = store(member.join(names, "root").select("fp", "component_id"), "labels")
+    return marked, store(member.join(names, "root").select("fp", "root", "component_id"), "labels")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
+    marked, label = _labelled(docs, doc_id, text)
     return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: those with its smallest doc_id, and of rows
-    that repeat this id the first by text."""
-    found = near_duplicates(docs, doc_id, text)
-    keep = store(found.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["__keep"]), "left_semi")
+    """One row of each component of ``docs``, all columns: the one with its smallest doc_id; where several rows have
+    this id, or a component has null ids only, the first by text."""
+    marked, label = _labelled(docs, doc_id, text)
+    first = marked.join(label, "fp").where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
+    kept = store(first.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    one, several = kept.where("n = 1 and doc_id is not null"), kept.where("n > 1 or doc_id is null")
+    out = docs.join(one, docs[doc_id] == one["doc_id"], "left_semi")
+    if several.isEmpty():
+        return out
+    # Only rows that repeat an id, or have none, need their fingerprint beside all their columns.
+    again = docs.join(several, docs[doc_id].eqNullSafe(several["doc_id"]), "left_semi")
+    rows = _with_fingerprint(again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")))
+    rows = rows.join(label, "fp").where((F.col(f"row.`{doc_id}`") == F.col("component_id")) | F.col("component_id").isNull())
+    chosen = rows.groupBy("root").agg(F.min_by("row", F.struct(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))).alias("row"))
+    return out.unionByName(chosen.select("row.*"))
+
+
+def _with_fingerprint(rows: DataFrame) -> DataFrame:
+    """row, fp from (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sub_batches(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(text_bytes(part.column(1))).view(np.int64))], names=["row", "fp"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())]))
