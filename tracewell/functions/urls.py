@@ -25,7 +25,7 @@ PATH_SAFE_V1, PATH_SAFE_V2, QUERY_SAFE_V2 = "/:@!$&'()*+,;=", "/:@!$&'()*+,;=-._
 
 
 class BadUrl(ValueError):
-    """A text that is no URL identity; ``unsupported`` if only its scheme is the reason."""
+    """A text that is no URL identity; ``unsupported`` if version 1 refuses its scheme only."""
 
     def __init__(self, why: str, unsupported: bool = False):
         super().__init__(why)
@@ -66,9 +66,9 @@ def identity(raw: str | None, base: str | None = None, version: str = V2, drop:
         raise BadUrl(str(e)) from e
     scheme = parts.scheme.lower()
     if not scheme or not parts.netloc:
-        raise BadUrl("not absolute", bool(scheme) and scheme not in DEFAULT_PORTS and version == V1 and False)
+        raise BadUrl("not absolute")
     if scheme not in DEFAULT_PORTS:
-        raise BadUrl("unsupported scheme", True)
+        raise BadUrl("unsupported scheme", version == V1)
     if not host or version == V1 and not re.fullmatch(r"[a-z0-9.-]+", host):
         raise BadUrl("bad host")
     if version == V2 and (parts.username is not None or parts.password is not None):
@@ -185,7 +185,7 @@ class Scope:
 def host_matches(host: Column, patterns: Iterable[str], subdomains: bool) -> Column:
     out = F.lit(False)
     for p in (x.lower() for x in patterns):
-        glob = translate(p).replace("\\Z", "$").replace("\\z", "$").replace("(?s:", "(?s:")
+        glob = translate(p).replace("\\Z", "$").replace("\\z", "$")
         out = out | (host.rlike("^" + glob) if set(p) & set("*?[") else host == p)
         if subdomains and "*" not in p:
             out = out | F.endswith(host, F.lit("." + p))
