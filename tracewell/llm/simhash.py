@@ -288,7 +288,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first = marked.join(label, "fp").where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
     kept = store(first.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     one, several = kept.where("n = 1 and doc_id is not null"), kept.where("n > 1 or doc_id is null")
-    out = docs.join(one, docs[doc_id] == one["doc_id"], "left_semi")
+    # Shuffled at every size: whether the ids could be broadcast must not change how the texts move.
+    out = docs.join(one.hint("shuffle_hash"), docs[doc_id] == one["doc_id"], "left_semi")
     if several.isEmpty():
         return out
     # Only rows that repeat an id, or have none, need their fingerprint beside all their columns.
