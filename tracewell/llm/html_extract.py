@@ -40,7 +40,6 @@ BAD_TAGS = frozenset("nav footer aside form button select menu dialog head heade
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations footer masthead topbar toolbar widget widgets pagination pager complementary contentinfo advertising".split()
 )
-HEADER_WORDS = frozenset(["header"])
 NEGATED = frozenset("has with no without is not".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.DOTALL)
