@@ -25,6 +25,8 @@ from .common import pieces, total_bytes
 
 #: Text in a bundle: bounds a task's memory (its arrays take about ten times this).
 BUNDLE_BYTES = 16 << 20
+#: A small table has up to so many smaller bundles (of a megabyte at least), so that all cores have work.
+LEAST_BUNDLES, LEAST_BYTES = 64, 1 << 20
 
 Got = list[tuple[np.ndarray, ...]]
 Ask = Callable[[list[int | None], list[bytes], Got], tuple[np.ndarray, tuple[np.ndarray, ...]]]
@@ -68,7 +70,8 @@ class Bundles:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, bundle_bytes: int = BUNDLE_BYTES):
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        self.n = pieces(total_bytes(rows, "text"), bundle_bytes)
+        total = total_bytes(rows, "text")
+        self.n = max(pieces(total, bundle_bytes), min(LEAST_BUNDLES, pieces(total, LEAST_BYTES)))
         self.docs = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(self.n)).cast("int").alias("bundle"), "doc_id", "text")
 
     def ask(self, keys_of: Ask, answers: DataFrame | None = None) -> DataFrame:
