@@ -85,22 +85,20 @@ def _merge(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
 
 
 def shared_anchors(blocks: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-    """For each block: which of its anchors two documents have, in it or in two blocks."""
+    """For each block: those of its anchors that two documents have, in it or in two blocks (steps between sorted keys)."""
     keys = np.concatenate([b[0] for b in blocks])
     values, counts = np.unique(keys, return_counts=True)
     out = []
     for own, twice in blocks:
         many = counts[np.searchsorted(values, own)] > 1 if own.size else np.zeros(0, bool)
-        out.append((np.packbits(many | (twice > 0)), np.array([own.size], dtype=np.uint64)))
+        out.append((np.diff(own[many | (twice > 0)], prepend=np.uint64(0)),))
     return out
 
 
 def windows_of(ids, texts, got) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """The bundle's windows around shared anchors, with the smallest doc_id of each and whether it has another."""
     order, hashed = order_ids(ids), WordHash()
-    keys = anchors_of(ids, texts, None)[0]
-    flags = [np.unpackbits(bits.astype(np.uint8), count=int(n[0])) for bits, n in got]
-    shared = keys[np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool)]
+    shared = np.concatenate([NONE, *(np.cumsum(steps, dtype=np.uint64) for steps, in got)])
     found, lows, highs = [NONE], [NONE], [NONE]
     for a, b in texts_in_parts(texts):
         w = Windows(texts[a:b], hashed)
