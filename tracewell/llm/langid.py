@@ -9,10 +9,15 @@ the coefficients.
 Defined results: ``und`` with score 0 for a null text or one without letters; ``score`` is the winning one-versus-
 rest output moved from [-1, 1] to [0, 1]; ties go to the language first in order; without any labelled training row
 every text is ``und``; rows with null doc_id are never trained on and not held out; repeated rows stay.
+
+A text that is unlike every landmark has a score near 0.5, so a score alone can't reject it, and short texts in learned
+languages score low as well. ``known`` therefore rejects a text if its score is low and too many of its 3-grams are
+unseen. Both limits come from the training rows: a model of one half of them is asked about the other half.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,9 +38,14 @@ ORDERS = (1, 2, 3)
 MODULUS, HELD_OUT = 4, 2
 #: Texts below this score are rejected by ``keep_known``.
 REJECT = 0.3
+#: Share of the training rows that may lie beyond each limit of ``known``; standard deviations for a text's length; unseen
+#: 3-grams that any text may have (a licence line, a name).
+TAIL, DEVIATIONS, FOREIGN = 0.01, 3, 0.05
 #: Characters of a text that are coded at once.
 SPAN = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
+#: Words with digits (numbers, keys) tell nothing about the language.
+CODED = re.compile(r"\S*\d\S*")
 
 
 @dataclass
@@ -46,6 +56,8 @@ class Model:
     edges: list[int]  # first column of each order, and their end
     landmarks: np.ndarray  # column x landmark, cosine norms folded in
     coefficients: np.ndarray  # landmark x language
+    low: float = 0.0  # scores below this are low
+    unseen: float = 1.0  # share of 3-grams without a column that learned texts may have
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Presence of the landmarks' n-grams in each text, and the number of distinct n-grams of each order."""
@@ -81,6 +93,26 @@ class Model:
                 langs[k], scores[k] = self.langs[b], s
         return langs, scores
 
+    def strange(self, text: str) -> tuple[int, int]:
+        """3-grams (occurrences) of the text that no landmark has, and all of them."""
+        if LETTER.search(plain := CODED.sub(" ", text)):
+            text = plain
+        none = n = 0
+        for grams in list(gram_codes(" ".join(text.split()), self.codes))[len(ORDERS) - 1 :: len(ORDERS)]:
+            none, n = none + int(np.count_nonzero(self.columns[grams] == self.edges[-1])), n + grams.size
+        return none, n
+
+    def known(self, texts: list[str | None], reject: float = REJECT) -> list[bool]:
+        """Whether each text is in a learned language."""
+        out = []
+        for text, lang, score in zip(texts, *self.predict(texts), strict=True):
+            ok = lang != "und" and score >= reject
+            if ok and score < self.low:
+                none, n = self.strange(text)
+                ok = none <= self.unseen * n + DEVIATIONS * math.sqrt(n * self.unseen * (1 - self.unseen))
+            out.append(ok)
+        return out
+
 
 WIDTH = ALPHABET + 2
 #: Where the n-gram codes of each order begin.
@@ -139,6 +171,23 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return model
 
 
+def with_limits(model: Model, rows: list[tuple[str, str]]) -> Model:
+    """``model`` with the limits of ``known``, from every second row of each language as judged by a model of the others."""
+    halves: tuple[list[tuple[str, str]], list[tuple[str, str]]] = ([], [])
+    turn: Counter[str] = Counter()
+    for t, y in rows:
+        if t and LETTER.search(t):
+            halves[turn[y] % 2].append((t, y))
+            turn[y] += 1
+    if not halves[1]:  # one row a language tells nothing about others
+        return model
+    half, texts = fit(halves[0]), [t for t, _ in halves[1]]
+    strange = [half.strange(t) for t in texts]
+    model.low = float(np.quantile(half.predict(texts)[1], TAIL))
+    model.unseen = max(FOREIGN, float(np.quantile([none / n for none, n in strange if n] or [1.0], 1 - TAIL)))
+    return model
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % MODULUS == HELD_OUT, F.lit(False))
 
@@ -156,7 +205,8 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG, doc_id: str = "do
 
 
 def train(docs: DataFrame, **names: str) -> Model:
-    return fit(training_sample(docs, **names))
+    rows = training_sample(docs, **names)
+    return with_limits(fit(rows), rows)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,14 +224,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learned language: not ``und`` and scored ``reject`` or more."""
+    """The rows of ``docs``, all columns, whose text is in a learned language: not ``und``, scored ``reject`` or more, and ``known``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sub_batches(batch, text):
-                langs, scores = shipped.value.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([y != "und" and s >= reject for y, s in zip(langs, scores, strict=True)], pa.bool_()))
+                yield part.filter(pa.array(shipped.value.known(part.column(at).to_pylist(), reject), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
