@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 1. language ID: documents in no learned language go (trained on labelled rows of its own input)
-2. SimHash near-dedup: one document of each group of links stays
+2. near-dedup: of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more one stays
 3. benchmark decontamination: documents with a benchmark passage go
 4. secret scans: secrets are replaced in the text, n_chars follows
 5. BPE encoding: the text becomes token ids
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, decontaminate, langid, secrets, simhash
+from tracewell.llm import bpe, decontaminate, langid, near_dedup as near, secrets
 from tracewell.llm.common import read_table, store
 from tracewell.llm.queries import tokenizer_path
 
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import langid
+import corpus_pipeline
+from tracewell.llm import langid, near_dedup
 
 # ---- 4 and the first stage ----
 
@@ -30,3 +32,55 @@ def test_unlearned_languages_go(spark, small):
     assert sum(model.known(learned)) >= 0.99 * sum(x != "und" for x in model.predict(learned)[0])
     # a short text has few 3-grams, and words with digits are not held against it
     assert model.known([" ".join(learned[0].split()[:3]), None, "12 34"]) == [True, False, False]
+
+
+# ---- near-dedup stage ----
+
+
+def components_of(texts, least=0.8):
+    """Smallest row of each row's component of 5-word Jaccard links, by brute force."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_near_copies_go(spark, small, duck, tile, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rows = duck.execute("select doc_id, text from documents order by 1").fetchall()
+    rnd, base = random.Random(2), [f"w{k}" for k in range(400)]
+    edited = [" ".join(w if rnd.random() > share else "x" + w for w in base) for share in (0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.1, 0.2)]
+    rows += [(10_000 + k, t) for k, t in enumerate([*edited, "a b", "A  b", "a c", "", None, " "])]
+    want = [d for k, ((d, _), root) in enumerate(zip(rows, components_of([t for _, t in rows]), strict=True)) if k == root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()) == want
+    assert 177 not in want and 145 not in want  # 11 and 7 bits from their originals
+
+
+def test_links_of_a_bucket():
+    rnd = np.random.default_rng(3)
+    for _ in range(20):
+        base = rnd.choice(10_000, 60, replace=False)
+        sets = [np.unique(np.r_[rnd.permutation(base)[: rnd.integers(45, 61)], rnd.integers(0, 10_000, rnd.integers(0, 6))]).astype(np.uint32) for _ in range(rnd.integers(1, 40))]
+        for second in (None, rnd.integers(0, 2, len(sets)).astype(bool)):
+            root = list(range(len(sets)))
+            for i in range(len(sets)):
+                for j in range(i):
+                    if (second is None or second[i] != second[j]) and np.intersect1d(sets[i], sets[j]).size >= 0.8 * np.union1d(sets[i], sets[j]).size:
+                        a, b = sorted((root[i], root[j]))
+                        root = [a if x == b else x for x in root]
+            assert near_dedup.links(sets, second).tolist() == root

@@ -16,7 +16,7 @@ alone gets null); an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -267,9 +267,14 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint."""
     marked = store(fingerprints(docs, doc_id, text), "fingerprints")
+    return named(marked, lambda nodes: candidate_links(nodes.select(F.col("fp").alias("node"), "fp")))
+
+
+def named(marked: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``marked`` (doc_id, fp) itself, and (fp, root, component_id) of each fp; ``edges_of`` gives the links of the nodes."""
     # A node is a distinct fingerprint with the smallest doc_id that has it.
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(candidate_links(nodes.select(F.col("fp").alias("node"), "fp")))
+    roots = components(edges_of(nodes))
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked, store(member.join(names, "root").select("fp", "root", "component_id"), "labels")
@@ -281,10 +286,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled: Callable = _labelled, prints: Callable = fingerprints_of) -> DataFrame:
     """One row of each component of ``docs``, all columns: the one with its smallest doc_id; where several rows have
-    this id, or a component has null ids only, the first by text."""
-    marked, label = _labelled(docs, doc_id, text)
+    this id, or a component has null ids only, the first by text. ``labelled`` and ``prints`` say what links."""
+    marked, label = labelled(docs, doc_id, text)
     first = marked.join(label, "fp").where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
     kept = store(first.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     one, several = kept.where("n = 1 and doc_id is not null"), kept.where("n > 1 or doc_id is null")
@@ -294,18 +299,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         return out
     # Only rows that repeat an id, or have none, need their fingerprint beside all their columns.
     again = docs.join(several, docs[doc_id].eqNullSafe(several["doc_id"]), "left_semi")
-    rows = _with_fingerprint(again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")))
+    rows = _with_fingerprint(again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")), prints)
     rows = rows.join(label, "fp").where((F.col(f"row.`{doc_id}`") == F.col("component_id")) | F.col("component_id").isNull())
     chosen = rows.groupBy("root").agg(F.min_by("row", F.struct(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))).alias("row"))
     return out.unionByName(chosen.select("row.*"))
 
 
-def _with_fingerprint(rows: DataFrame) -> DataFrame:
+def _with_fingerprint(rows: DataFrame, prints: Callable) -> DataFrame:
     """row, fp from (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sub_batches(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(text_bytes(part.column(1))).view(np.int64))], names=["row", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints(text_bytes(part.column(1))).view(np.int64))], names=["row", "fp"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())]))
