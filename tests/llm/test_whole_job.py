@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import langid, near_dedup
+from tracewell.llm import html_extract, langid, near_dedup, secrets
 
 # ---- 4 and the first stage ----
 
@@ -84,3 +84,24 @@ def test_links_of_a_bucket():
                         a, b = sorted((root[i], root[j]))
                         root = [a if x == b else x for x in root]
             assert near_dedup.links(sets, second).tolist() == root
+
+
+# ---- 6 ----
+
+
+def values(text):
+    return [text[a:b] for a, _, b in secrets.lexed_spans(text)]
+
+
+def test_nothing_of_a_secret_is_bounded():
+    rnd = random.Random(4)
+    key = "".join(rnd.choices("abcdefXYZ0123456789", k=10_000))
+    assert values(f'db_private_key{" " * 30}={" " * 30}"{key[:20]}"') == [key[:20]]
+    assert values(f'private_key = "{key}"') == [key] and values(f"private_key='{key}'") == [key]
+    assert values(f"credential={key}") == [key] and secrets.redact(f"credential={key} x", secrets.all_spans(f"credential={key} x")[1]) == "credential=[SECRET] x"
+    assert values("a" * 300 + f'_private_key = "{key[:20]}"') == [key[:20]]
+    terms = [key[k : k + 12] for k in range(0, 480, 12)]
+    joined = " + ".join(f'"{t}"' for t in terms)
+    assert values(f"private_key = {joined}") == terms and values(f"k = {joined}\nprivate_key = k") == terms
+    # constants that name each other twice do not grow without end
+    assert values(f'c0 = "{key[:20]}"\n' + "".join(f"c{k} = c{k - 1} + c{k - 1}\n" for k in range(1, 3000)) + "private_key = c2999") == [key[:20]]

@@ -40,10 +40,11 @@ HARMLESS = {"file", "path", "url", "uri", "name", "length", "len", "count", "typ
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|change_?me|example.*|your[-_ ].*|none|null|nil|true|false|undefined|todo|dummy|test|placeholder)$")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"
-_QUOTED = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`"
-_TERM = rf"(?:{_QUOTED}|[A-Za-z0-9_$+/.~-][A-Za-z0-9_$+/.=~-]{{0,4095}})"
-PAIR = re.compile(rf"(?<![A-Za-z0-9_$.-])(?P<name>{_NAME})(?P<close>[\"'\]]{{0,2}})[ \t]{{0,8}}(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]{{0,8}}(?P<value>{_TERM}(?:[ \t]{{0,8}}\+[ \t]{{0,8}}{_TERM}){{0,16}})")
+# No bound on any length; possessive quantifiers keep matching linear.
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
+_QUOTED = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`"
+_TERM = rf"(?:{_QUOTED}|[A-Za-z0-9_$+/.~-][A-Za-z0-9_$+/.=~-]*+)"
+PAIR = re.compile(rf"(?<![A-Za-z0-9_$.-])(?P<name>{_NAME})(?P<close>[\"'\]]{{0,2}})[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*+(?P<value>{_TERM}(?:[ \t]*+\+[ \t]*+{_TERM})*+)")
 TERM = re.compile(_TERM)
 
 SpanT = tuple[int, int, int]
@@ -76,11 +77,27 @@ def value_score(value: str) -> float:
     return (bits - 2.5) * 0.5 + (classes - 1) * 0.5
 
 
+def literals(parts: list) -> list[tuple[str, int, int]]:
+    """The literals of a value in order, constants in it followed; a constant that comes again counts once."""
+    out, seen, todo = [], set(), [iter(parts)]
+    while todo:
+        for p in todo[-1]:
+            if isinstance(p, tuple):
+                out.append(p)
+            elif id(p) not in seen:
+                seen.add(id(p))
+                todo.append(iter(p))
+                break
+        else:
+            todo.pop()
+    return out
+
+
 def lexed_spans(text: str) -> list[SpanT]:
     """Literals that flow into sensitive names: directly, through a constant, or as part of a concatenation."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, list] = {}  # literals, and the lists of the constants that a value names
     found: set[SpanT] = set()
     for m in PAIR.finditer(text):
         parts, code = [], m["op"] != ":" or bool(m["close"])
@@ -89,14 +106,15 @@ def lexed_spans(text: str) -> list[SpanT]:
             if word[0] in "\"'`":
                 parts.append((word[1:-1], t.start() + 1, t.end() - 1))
             elif word in constants:
-                parts += constants[word]
+                parts.append(constants[word])
             elif (code or "=" in text[m.end("name") : t.start()]) and any(c.isdigit() for c in word):
                 parts.append((word, t.start(), t.end()))
         if not parts:
             continue
-        constants[m["name"]] = parts[:16]
+        constants[m["name"]] = parts
         if (score := name_score(m["name"])) < 1.5:
             continue
+        parts = literals(parts)
         if score + value_score("".join(p for p, _, _ in parts)) >= SCORE:
             found |= {(a, 3, b) for p, a, b in parts if b - a >= MIN_ASSIGN and value_score(p) > -10}
     return sorted(found)
