@@ -105,3 +105,18 @@ def test_nothing_of_a_secret_is_bounded():
     assert values(f"private_key = {joined}") == terms and values(f"k = {joined}\nprivate_key = k") == terms
     # constants that name each other twice do not grow without end
     assert values(f'c0 = "{key[:20]}"\n' + "".join(f"c{k} = c{k - 1} + c{k - 1}\n" for k in range(1, 3000)) + "private_key = c2999") == [key[:20]]
+
+
+# ---- 2 ----
+
+LONG = "This is a long paragraph of the text and it has many of the words that are in the list of stop words, so that it is decided by the first pass of the rules and not by the second one of them, as it should be for this one. "
+
+
+def test_a_marked_article_is_a_prior():
+    body = f"<div><h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
+    teaser = "<article class=card><h3>Other story</h3><p>Read on</p></article><div><a href=1>Imprint of the site</a></div>"
+    assert html_extract.main_text(body + teaser).startswith(f"Title {LONG}Short. {LONG}".strip())
+    # a continuation outside the mark stays, short text outside and link lists inside go
+    page = f"<article><p>{LONG}</p><p>Short.</p><ul><li><a href=1>More</a></ul><p>{LONG}</p></article><div>{LONG}</div><div>Copyright</div>"
+    assert html_extract.main_text(page) == f"{LONG}Short. {LONG}{LONG}".strip()
+    assert html_extract.main_text("<article><p>a</p><p><a href=1>b</a></p><p>c</p></article>") == "a b c"

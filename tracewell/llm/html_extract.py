@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. Pass one classifies each block by link density, length and stop-word
 density; blocks inside containers that never hold the article (navigation, footers, sidebars, adverts, notices,
-forms, reader comments, scripts) are decided bad, blocks of a marked article are decided good. Pass two gives each
-ambiguous block the label of its nearest decided neighbours. Good blocks are joined in page order.
+forms, reader comments, scripts) are decided bad. A marked article (``article``, ``main``) is a prior: in it, blocks that
+are not full of links count as good; outside it, only long blocks with many stop words do. The mark is ignored if the
+article has less text than the good blocks outside it. Pass two gives each ambiguous block the label of its nearest
+decided neighbours. Good blocks are joined in page order.
 
 Defined results: null or empty html gives an empty text; a page without any good block gives an empty text; broken
 markup (unclosed tags, cut files, stray ends) never fails; each row is handled alone, repeated rows stay; other
@@ -159,27 +161,34 @@ def _pop(stack: list[tuple[str, bool, bool]], tag: str, keep: frozenset[str]) ->
             return
 
 
+def first_pass(b: Block) -> str:
+    """good, bad, near (rather good) or short, without regard to a marked article."""
+    n = len(b.text)
+    density = b.link_chars / n
+    if b.bad or b.item and density > 0.8 or density > LINK_DENSITY:
+        return "bad"
+    if n < SHORT:
+        return "bad" if b.link_chars and not b.heading else "short"
+    words = LETTERS.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return ("good" if n > LONG else "near") if stop >= STOP_HIGH else "near" if stop >= STOP_LOW or not b.link_chars else "bad"
+
+
+def with_prior(b: Block, label: str) -> str:
+    """The label of a block of a page whose marked article counts."""
+    if b.bad or b.item and b.link_chars > 0.8 * len(b.text):
+        return "bad"
+    if not b.article:
+        return "good" if label == "good" else "bad"
+    return "good" if b.link_chars <= LINK_DENSITY * len(b.text) or b.heading else "short"
+
+
 def classify(found: list[Block]) -> list[bool]:
     """Good or not for each block, by the two passes."""
-    marked = any(b.article and not b.bad for b in found)
-    labels: list[str] = []
-    for b in found:
-        n = len(b.text)
-        density = b.link_chars / n
-        if b.bad:
-            labels.append("bad")
-        elif b.item and density > 0.8:
-            labels.append("bad")
-        elif marked:
-            labels.append("good" if b.article else "bad")
-        elif density > LINK_DENSITY:
-            labels.append("bad")
-        elif n < SHORT:
-            labels.append("bad" if b.link_chars and not b.heading else "short")
-        else:
-            words = LETTERS.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            labels.append(("good" if n > LONG else "near") if stop >= STOP_HIGH else "near" if stop >= STOP_LOW or not b.link_chars else "bad")
+    labels = [first_pass(b) for b in found]
+    inside = sum(len(b.text) for b in found if b.article and not b.bad)
+    if inside and inside >= sum(len(b.text) for b, x in zip(found, labels, strict=True) if x == "good" and not b.article):
+        labels = [with_prior(b, x) for b, x in zip(found, labels, strict=True)]
     decided = [k for k, x in enumerate(labels) if x in ("good", "bad")]
     if not decided:  # nothing to inherit from: whole paragraphs stand for themselves
         return [x == "near" for x in labels] if "near" in labels else [True] * len(labels)
