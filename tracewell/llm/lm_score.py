@@ -5,8 +5,8 @@ all training documents: p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), down to t
 p(w) = (c(w) + 1) / (N + V + 1), so it sums to one over the vocabulary and one unknown word. As an automaton: every
 known history is a state; a known n-gram is an arc whose weight is log10 p; any other word leaves the state by its
 failure arc, of weight log10(K / (c(h) + K)), to the state of the shorter history, and the root has an arc for every
-word. One traversal from left to right carries the state and adds up the weights; all documents of a kernel batch
-step through it together.
+word. It is evaluated without stepping from state to state: the counts of each position's histories and n-grams are
+looked up directly, for all tokens of a kernel batch at once, which gives the weights that a traversal would add up.
 
 Counts cover all training documents, without cut-offs. They travel in packed blocks (see ``bundles``): each bundle
 of documents sends its distinct n-grams with their training counts and gets the corpus counts of just these back,
