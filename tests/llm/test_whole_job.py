@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import html_extract, langid, near_dedup, secrets
+from tracewell.llm import decontaminate, html_extract, langid, near_dedup, secrets
 
 # ---- 4 and the first stage ----
 
@@ -120,3 +120,15 @@ def test_a_marked_article_is_a_prior():
     page = f"<article><p>{LONG}</p><p>Short.</p><ul><li><a href=1>More</a></ul><p>{LONG}</p></article><div>{LONG}</div><div>Copyright</div>"
     assert html_extract.main_text(page) == f"{LONG}Short. {LONG}{LONG}".strip()
     assert html_extract.main_text("<article><p>a</p><p><a href=1>b</a></p><p>c</p></article>") == "a b c"
+
+
+# ---- 1 ----
+
+
+def test_scattered_phrases_are_no_passage():
+    item = [f"tok{k}" for k in range(40)]
+    b = decontaminate.Benchmark.of([(7, " ".join(item))])
+    phrases = [" ".join(item[k : k + 8]) for k in (0, 12, 24)]
+    far, close = (" " + " ".join(f"{c}{k}" for k in range(n)) + " " for c, n in (("far", 1000), ("close", 5)))
+    assert b.matches([far.join(phrases)], decontaminate.WordHash()) == []
+    assert [h[:2] for h in b.matches([close.join(phrases)], decontaminate.WordHash())] == [(0, 0)]

@@ -31,6 +31,8 @@ from .common import WordHash, mix, pieces, sub_batches, total_bytes
 MASKS = ("11010011", "10110101", "11001101", "11111000")
 SPAN = 8
 MIN_MATCH, IDENTITY, MISMATCH = 13, 0.8, 3
+#: Item lengths within which matching segments must lie in the text to be added up.
+STRETCH = 2
 BLOCK_BYTES = 8 << 20
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -109,14 +111,35 @@ class Benchmark:
             segments[d, i] += [(lo + x, lo + y, diagonal) for x, y in best_segments(same)]
         out = []
         for (d, i), parts in segments.items():
-            covered = {q for a, b, diagonal in parts for q in (np.flatnonzero(words[a + diagonal : b + diagonal] == self.words[a:b]) + a).tolist()}
-            compared = len({q for a, b, _ in parts for q in range(a, b)})
-            need = min(MIN_MATCH, IDENTITY * self.lengths[i])
-            if covered and len(covered) >= need and len(covered) >= IDENTITY * compared:
+            if not (parts := self.near(parts, i, words)):
+                continue
+            matched, compared = self.counts(parts, words)
+            if self.enough(matched, compared, i):
                 base = int(ends[d] - lengths[d])
-                out.append((d, i, len(covered), compared, min(a + x for a, _, x in parts) - base, max(b + x for _, b, x in parts) - base))
+                out.append((d, i, matched, compared, min(a + x for a, _, x in parts) - base, max(b + x for _, b, x in parts) - base))
         return sorted(out)
 
+    def counts(self, parts: list[tuple[int, int, int]], words: np.ndarray) -> tuple[int, int]:
+        """Tokens of the item that match in one of the segments, and that are compared in one."""
+        matched = {q for a, b, diagonal in parts for q in (np.flatnonzero(words[a + diagonal : b + diagonal] == self.words[a:b]) + a).tolist()}
+        return len(matched), len({q for a, b, _ in parts for q in range(a, b)})
+
+    def enough(self, matched: int, compared: int, i: int) -> bool:
+        return matched > 0 and matched >= min(MIN_MATCH, IDENTITY * self.lengths[i]) and matched >= IDENTITY * compared
+
+    def near(self, parts: list[tuple[int, int, int]], i: int, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """The segments that are enough together with others that begin in a stretch of the text of ``STRETCH`` times the item's length."""
+        parts = sorted(parts, key=lambda p: p[0] + p[2])
+        kept: set[int] = set()
+        to = 0
+        for k, (a, _, diagonal) in enumerate(parts):
+            to = max(to, k + 1)
+            while to < len(parts) and parts[to][0] + parts[to][2] < a + diagonal + STRETCH * int(self.lengths[i]):
+                to += 1
+            if self.enough(*self.counts(parts[k:to], words), i):
+                kept |= set(range(k, to))
+        return [parts[k] for k in sorted(kept)]
+
 
 def best_segments(same: np.ndarray) -> list[tuple[int, int]]:
     """Segments with a match worth 1 and a mismatch -3, grown from left to right until they fall below zero; kept
