@@ -46,7 +46,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup
 
-    return dedup(read_table(spark, sf_dir, "documents")).drop("n_repeats")
+    got = dedup(read_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
