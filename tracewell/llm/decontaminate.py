@@ -3,15 +3,17 @@
 Tokens are lower-cased words without ASCII punctuation. Fixed masks of span 8 keep five of eight token positions;
 the hash of the kept ones is a seed. Seeds of the benchmark are kept sorted, training texts are hashed at every
 position under every mask and joined to them. Each hit names a diagonal of (document, item); along it the matching
-run is extended both ways, across substitutions, by the best-scoring segment. A document is contaminated by an item
-if the segments cover at least ``MIN_MATCH`` matching tokens of it (all of a shorter item, to the same identity).
+run is extended both ways, across substitutions, into maximal scoring segments. A document is contaminated by an item
+if segments near each other cover at least ``MIN_MATCH`` matching tokens of it, four of five tokens compared being
+equal; an item shorter than that needs four fifths of its tokens.
 
 The benchmark is the small side: it is taken in blocks of at most about ``BLOCK_BYTES`` of text (its size is
 measured first), each block shipped to all tasks for one pass over the documents, so its size is never unbounded.
 
-Defined results: null or empty texts have no tokens and match nothing; items of fewer than 8 tokens are never
-matched (they can't be told from common speech); repeated items or rows give rows of their own, null ids stay null;
-empty tables give no rows; other columns are not read.
+Defined results: null or empty texts have no tokens and match nothing; an item of fewer than 8 tokens, which can't be
+told from common speech, matches only a document that has just its tokens; items with equal tokens are compared once and
+give a row each, repeated rows of documents too; null ids stay null; empty tables give no rows; a very long text is
+compared whole by one task, its hits in slices; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ MIN_MATCH, IDENTITY, MISMATCH = 13, 0.8, 3
 #: Item lengths within which matching segments must lie in the text to be added up.
 STRETCH = 2
 BLOCK_BYTES = 8 << 20
+#: Hits of seeds that are expanded to (document, item, diagonal) at once.
+HITS = 1 << 20
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -56,9 +60,9 @@ def seeds(words: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Benchmark:
-    """One block of the benchmark: its items' token hashes end to end, and their sorted seeds."""
+    """One block of the benchmark: its distinct items' token hashes end to end, and their sorted seeds."""
 
-    ids: list[int | None]
+    ids: list[list[int | None]]  # of the items that have the same tokens
     words: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
@@ -66,11 +70,15 @@ class Benchmark:
     places: np.ndarray  # where in ``words`` each seed stands
     bits: int
     bitmap: np.ndarray
+    short: dict[tuple[bytes, ...], int]  # items of fewer than SPAN tokens
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str | None]]) -> Benchmark:
         hashed = WordHash()
-        arrays = [hashed.array(tokens(t)) for _, t in items]
+        same: dict[tuple[bytes, ...], list[int | None]] = {}
+        for i, t in items:
+            same.setdefault(tuple(tokens(t)), []).append(i)
+        arrays = [hashed.array(list(t)) for t in same]
         lengths = np.array([len(a) for a in arrays], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -84,7 +92,8 @@ class Benchmark:
         bits = min(27, max(16, int(max(1, all_seeds.size) - 1).bit_length() + 5))
         bitmap = np.zeros(1 << bits, dtype=bool)
         bitmap[(all_seeds >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return cls([i for i, _ in items], np.concatenate([np.zeros(0, np.uint64), *arrays]), starts, lengths, all_seeds, all_places[order], bits, bitmap)
+        short = {t: k for k, t in enumerate(same) if 0 < len(t) < SPAN}
+        return cls(list(same.values()), np.concatenate([np.zeros(0, np.uint64), *arrays]), starts, lengths, all_seeds, all_places[order], bits, bitmap, short)
 
     def matches(self, texts: list[str | None], hashed: WordHash) -> list[tuple[int, int, int, int, int, int]]:
         """(text index, item index, matched tokens, tokens compared, first and last token in the text, exclusive)."""
@@ -92,17 +101,21 @@ class Benchmark:
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         words = hashed.array([w for x in lists for w in x])
         ends = np.cumsum(lengths)
-        doc_at, item_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found: set[tuple[int, int, int]] = set()
+        item_ends = self.starts + self.lengths
         for h in seeds(words) if self.seeds.size else []:
             maybe = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
             lo, hi = np.searchsorted(self.seeds, h[maybe], "left"), np.searchsorted(self.seeds, h[maybe], "right")
-            n = hi - lo
-            doc_at.append(np.repeat(maybe, n))
-            item_at.append(self.places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        p, q = np.concatenate(doc_at), np.concatenate(item_at)
-        doc, item = np.searchsorted(ends, p, side="right"), np.searchsorted(self.starts + self.lengths, q, side="right")
-        inside = p + SPAN <= ends[doc]  # a seed across two texts doesn't count
-        found = {(int(d), int(i), int(x)) for d, i, x in zip(doc[inside], item[inside], (p - q)[inside], strict=True)}
+            doc = np.searchsorted(ends, maybe, side="right")
+            some = (hi > lo) & (maybe + SPAN <= ends[doc])  # a seed across two texts doesn't count
+            maybe, lo, n, doc = maybe[some], lo[some], (hi - lo)[some], doc[some]
+            cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), HITS))
+            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), n.size], strict=False):
+                y = max(x + 1, y)
+                each = n[x:y]
+                q = self.places[np.repeat(lo[x:y] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+                rows = np.stack([np.repeat(doc[x:y], each), np.searchsorted(item_ends, q, side="right"), np.repeat(maybe[x:y], each) - q], axis=1)
+                found.update(map(tuple, np.unique(rows, axis=0).tolist()))
         segments: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
         for d, i, diagonal in sorted(found):
             a, b = int(self.starts[i]), int(self.starts[i] + self.lengths[i])
@@ -117,6 +130,9 @@ class Benchmark:
             if self.enough(matched, compared, i):
                 base = int(ends[d] - lengths[d])
                 out.append((d, i, matched, compared, min(a + x for a, _, x in parts) - base, max(b + x for _, b, x in parts) - base))
+        for d, own in enumerate(lists if self.short else []):
+            if len(own) < SPAN and (i := self.short.get(tuple(own))) is not None:
+                out.append((d, i, len(own), len(own), 0, len(own)))
         return sorted(out)
 
     def counts(self, parts: list[tuple[int, int, int]], words: np.ndarray) -> tuple[int, int]:
@@ -125,7 +141,8 @@ class Benchmark:
         return len(matched), len({q for a, b, _ in parts for q in range(a, b)})
 
     def enough(self, matched: int, compared: int, i: int) -> bool:
-        return matched > 0 and matched >= min(MIN_MATCH, IDENTITY * self.lengths[i]) and matched >= IDENTITY * compared
+        need = MIN_MATCH if self.lengths[i] >= MIN_MATCH else IDENTITY * self.lengths[i]
+        return matched > 0 and matched >= need and matched >= IDENTITY * compared
 
     def near(self, parts: list[tuple[int, int, int]], i: int, words: np.ndarray) -> list[tuple[int, int, int]]:
         """The segments that are enough together with others that begin in a stretch of the text of ``STRETCH`` times the item's length."""
@@ -142,17 +159,23 @@ class Benchmark:
 
 
 def best_segments(same: np.ndarray) -> list[tuple[int, int]]:
-    """Segments with a match worth 1 and a mismatch -3, grown from left to right until they fall below zero; kept
-    from their first to their best end if they score at least 5."""
-    out, score, start, best, end = [], 0, 0, 0, 0
-    for k, hit in enumerate([*same.tolist(), None]):
-        score = -1 if hit is None else score + (1 if hit else -MISMATCH)
-        if score < 0:
-            if best >= 5:
-                out.append((start, end))
-            score, start, best = 0, k + 1, 0
-        elif score > best:
-            best, end = score, k + 1
+    """Maximal segments that score at least 5, a match being worth 1 and a mismatch -3: each grows from its first match
+    until its score falls below zero, is cut back to its best end, and the next is looked for from there."""
+    hits = same.tolist()
+    out, k, n = [], 0, len(hits)
+    while k < n:
+        if not hits[k]:
+            k += 1
+            continue
+        start, score, best, end = k, 0, 0, k
+        while k < n and score >= 0:
+            score += 1 if hits[k] else -MISMATCH
+            k += 1
+            if score > best:
+                best, end = score, k
+        if best >= 5:
+            out.append((start, end))
+        k = end
     return out
 
 
@@ -176,7 +199,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             for batch in batches:
                 for part in sub_batches(batch, batch.schema.names[1]):
                     keys = part.column(0).to_pylist()
-                    rows = [(keys[d], block.ids[i], m, n, int(block.lengths[i]), a, b) for d, i, m, n, a, b in block.matches(part.column(1).to_pylist(), hashed)]
+                    rows = [(keys[d], own, m, n, int(block.lengths[i]), a, b) for d, i, m, n, a, b in block.matches(part.column(1).to_pylist(), hashed) for own in block.ids[i]]
                     columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COLUMNS)
 
