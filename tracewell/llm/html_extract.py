@@ -7,14 +7,20 @@ are not full of links count as good; outside it, only long blocks with many stop
 article has less text than the good blocks outside it. Pass two gives each ambiguous block the label of its nearest
 decided neighbours. Good blocks are joined in page order.
 
+Inside the article formulae (without their annotations) and buttons in running text are text; of a header in the
+article its headings and paragraphs stay.
+
 Defined results: null or empty html gives an empty text; a page without any good block gives an empty text; broken
-markup (unclosed tags, cut files, stray ends) never fails; each row is handled alone, repeated rows stay; other
-columns are not read. White space includes the no-break space.
+markup (unclosed tags, cut files, stray ends) never fails; each row is handled alone, repeated rows stay; a short block
+as far from a good as from a bad neighbour is bad; an empty table gives no rows; a very long page takes time in
+proportion to its length, however deep its elements; other columns are not read, whatever their names. White space
+includes the no-break space.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -22,6 +28,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sub_batches
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """a an and are as at be been but by can for from had has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your
@@ -31,7 +39,7 @@ STOP_WORDS = frozenset(
 )
 #: HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -44,6 +52,8 @@ BAD_WORDS = frozenset(
 )
 NEGATED = frozenset("has with no without is not".split())
 
+LISTS = frozenset(("ul", "ol", "menu", "div", "article", "main", "section"))
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.DOTALL)
 ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -77,23 +87,65 @@ def bad_container(attrs: str) -> bool:
     return False
 
 
+#: Why content is bad: nothing does, a header in the article alone does, something else does.
+FINE, HEADER, BAD = 0, 1, 2
+
+
+class Open:
+    """The open elements of a page: tag, why its content is bad, whether its content is the article's."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = []
+        self.count: Counter[str] = Counter()
+
+    def top(self) -> tuple[int, bool]:
+        return self.stack[-1][1:] if self.stack else (FINE, False)
+
+    def push(self, tag: str, why: int, article: bool) -> None:
+        self.stack.append((tag, why, article))
+        self.count[tag] += 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.count[tag] -= 1
+        return tag
+
+    def any(self, tags: frozenset[str]) -> bool:
+        return any(self.count[t] for t in tags)
+
+    def close(self, tag: str) -> None:
+        """The end tag of ``tag``: all that stands in it closes too."""
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+    def implied(self, tag: str, keep: frozenset[str]) -> None:
+        """Close the innermost ``tag`` unless an element of ``keep`` or a link stands inside it."""
+        if not self.count[tag] or self.count["a"]:
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                while len(self.stack) > k:
+                    self.pop()
+                return
+            if self.stack[k][0] in keep:
+                return
+
+
 def blocks(html: str) -> list[Block]:
     """The non-empty text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, its content is bad, its content is the article's
+    inside = Open()
     parts: list[str] = []
     link_parts: list[str] = []
-    links = 0
 
     def close() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                _, bad, article = stack[-1] if stack else ("", False, False)
-                tags = [t for t, _, _ in stack]
-                heading = not HEADINGS.isdisjoint(tags)
-                if bad and heading and _only_header(stack):
-                    bad = False
-                out.append(Block(text, len(" ".join("".join(link_parts).split())), bad, article, heading, "li" in tags))
+                why, article = inside.top()
+                heading = inside.any(HEADINGS)
+                bad = why == BAD or why == HEADER and not heading and not inside.count["p"]
+                out.append(Block(text, len(" ".join("".join(link_parts).split())), bad, article, heading, inside.count["li"] > 0))
             parts.clear()
             link_parts.clear()
 
@@ -103,7 +155,7 @@ def blocks(html: str) -> list[Block]:
         if (raw := html[at : m.start() if m else len(html)]) :
             text = unescape(raw)
             parts.append(text)
-            if links:
+            if inside.count["a"]:
                 link_parts.append(text)
         if not m:
             break
@@ -111,56 +163,37 @@ def blocks(html: str) -> list[Block]:
         if tag := m["tag"]:
             tag = tag.lower()
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
                 if not m["attrs"].rstrip().endswith("/"):
+                    end = RAW_END[tag].search(html, at)
                     at = end.end() if end else len(html)
                 continue
-            if tag in BLOCK:
+            inline = tag == "button" and inside.count["p"] > 0  # a button in running text
+            if tag in BLOCK and not inline:
                 close()
             if tag in VOID:
                 continue
-            if tag in ("p", *HEADINGS) and any(t == "p" for t, _, _ in stack):  # an open paragraph ends here
-                _pop(stack, "p", keep=BLOCK - {"p"})
-            elif tag == "li" and stack:
-                _pop(stack, "li", keep=frozenset(("ul", "ol", "menu", "div", "article", "main", "section")))
-            _, bad, article = stack[-1] if stack else ("", False, False)
-            if tag not in ("html", "body", "article", "main"):
-                bad = bad or tag in BAD_TAGS or bad_container(m["attrs"])
-            elif tag in ("article", "main"):
-                article = article or not bad
-            stack.append((tag, bad, article))
-            links += tag == "a"
+            if tag == "p" or tag in HEADINGS:  # an open paragraph ends here
+                inside.implied("p", BLOCK - {"p"})
+            elif tag == "li":
+                inside.implied("li", LISTS)
+            why, article = inside.top()
+            if tag in ("article", "main"):
+                article = article or why == FINE
+            elif tag not in ("html", "body") and why != BAD and not inline:
+                if tag == "header" and article and not bad_container(m["attrs"]):
+                    why = HEADER
+                elif tag in BAD_TAGS or bad_container(m["attrs"]):
+                    why = BAD
+            inside.push(tag, why, article)
         elif tag := m["end"]:
             tag = tag.lower()
-            if tag in BLOCK:
+            if tag in BLOCK and not (tag == "button" and inside.count["p"]):
                 close()
-            if any(t == tag for t, _, _ in stack):
-                while True:
-                    t = stack.pop()[0]
-                    links -= t == "a"
-                    if t == tag:
-                        break
+            inside.close(tag)
     close()
     return out
 
 
-def _only_header(stack: list[tuple[str, bool, bool]]) -> bool:
-    """Whether all that makes the innermost content bad is a header element inside the article."""
-    first = next((k for k, (_, bad, _) in enumerate(stack) if bad), None)
-    return first is not None and stack[first][0] == "header" and stack[first][2]
-
-
-def _pop(stack: list[tuple[str, bool, bool]], tag: str, keep: frozenset[str]) -> None:
-    """Close the innermost ``tag`` unless an element of ``keep`` stands inside it; inline elements within it close too."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == tag:
-            if not any(t == "a" for t, _, _ in stack[k:]):
-                del stack[k:]
-            return
-        if stack[k][0] in keep:
-            return
-
-
 def first_pass(b: Block) -> str:
     """good, bad, near (rather good) or short, without regard to a marked article."""
     n = len(b.text)
@@ -233,7 +266,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for part in sub_batches(batch, batch.schema.names[2]):
+                texts = [main_text(x) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(page_id, url, html).mapInArrow(run, "page_id long, url string, text string, n_chars long")
