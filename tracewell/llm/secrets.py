@@ -1,13 +1,18 @@
 """Secret scan: base patterns plus assignment-aware lexing of name-literal pairs.
 
 Two passes over each whole text. The first finds the three base kinds (``assign``, ``access``, ``hex``) and never
-loses one. The second reads source and configuration syntax: it lexes ``name = literal`` pairs (``=``, ``:``,
-``:=``, ``=>``, quoted keys, ``export``/``set``/``--flag``), keeps the constants it has seen, follows names and
-``+`` concatenations to them, and scores each value by how sensitive the target name is and how random the value
-looks. Values at or above ``SCORE`` become spans of kind ``lexed`` over the literal itself.
-
-Defined results: a null text counts as empty and has no spans; order of rows and repeated rows do not matter, each
-row is scanned by itself; offsets count code points, ends are exclusive.
+loses one. The second reads source and configuration syntax and lexes pairs of a name and a value: ``name = value``
+with the operators ``=``, ``:``, ``:=``, ``=>`` (quoted keys, subscripts, ``export``, ``set``, flags), ``--name value``
+and ``<name>value</name>``. A value is a term or several joined by ``+``; a term is a string in single, double, triple or
+back quotes (escapes count as what they stand for), a bare word, a here-document or an indented YAML block. Constants
+seen before are kept by their whole name, so that a name or concatenation that uses them leads to their literals.
+Comments are read like code. Each value is scored by how sensitive the target name is and how random the value looks;
+those at or above ``SCORE`` become spans of kind ``lexed`` over the literals themselves.
+
+Defined results: a null or empty text has no spans; order of rows and repeated rows do not matter, each row is scanned
+by itself; offsets count code points, ends are exclusive; of spans that start together the kind listed first comes
+first; a quote that never closes is no literal; an empty table gives no rows; no length is bounded and time grows with
+the length of a text; other columns stay as they are in ``redacted`` and are not read by ``scan``.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sub_batches
+
 KINDS = ("assign", "access", "hex", "lexed")
 #: The base patterns. Only A-Z and a-z are matched in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,10 +49,23 @@ NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 # No bound on any length; possessive quantifiers keep matching linear.
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
-_QUOTED = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`"
-_TERM = rf"(?:{_QUOTED}|[A-Za-z0-9_$+/.~-][A-Za-z0-9_$+/.=~-]*+)"
-PAIR = re.compile(rf"(?<![A-Za-z0-9_$.-])(?P<name>{_NAME})(?P<close>[\"'\]]{{0,2}})[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*+(?P<value>{_TERM}(?:[ \t]*+\+[ \t]*+{_TERM})*+)")
-TERM = re.compile(_TERM)
+_LONG = r"\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\.|'(?!''))*+'''"
+_QUOTED = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`]*+`"
+_HERE = r"(?:\$\([ \t]*+cat[ \t]++)?<<[-~]?[ \t]*+[\"']?(?P<here>[A-Za-z_]\w*+)[\"']?[^\n]*+\n"
+_BLOCK = r"[|>][-+0-9]{0,2}[ \t]*+\n"
+_TERM = rf"(?:(?:[rRbBuUfF]{{1,2}}(?=[\"']))?+(?:{_LONG}|{_QUOTED})|[A-Za-z0-9_$+/.~-][A-Za-z0-9_$+/.=~-]*+)"
+_TERMS = rf"{_TERM}(?:[ \t]*+\+\s*+{_TERM})*+"
+_TYPE = r"(?::[ \t]*+[A-Za-z_][\w.]*+(?=[ \t]*+=))?+"
+PAIR = re.compile(
+    rf"(?<![A-Za-z0-9_$.-])(?P<name>{_NAME})(?P<close>[\"'\]]{{0,2}}){_TYPE}[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*+(?:{_HERE}|{_BLOCK}|(?:\(\s*+)?(?P<value>{_TERMS}))"
+    rf"|(?<![A-Za-z0-9_-])--?(?P<flag>[A-Za-z][A-Za-z0-9_-]*+)[ \t]++(?P<argument>{_TERM})"
+    rf"|<(?P<element>[A-Za-z][\w.-]*+)>(?P<content>[^<>]++)</(?P=element)>",
+    re.DOTALL,
+)
+TERM = re.compile(_TERM, re.DOTALL)
+OPENING = re.compile(r"""[rRbBuUfF]{0,2}(\"\"\"|'''|"|'|`)""")
+ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(.))", re.DOTALL)
+ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
 SpanT = tuple[int, int, int]
 
@@ -93,26 +113,81 @@ def literals(parts: list) -> list[tuple[str, int, int]]:
     return out
 
 
+def unescaped(literal: str) -> str:
+    """What a literal stands for."""
+    return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else ESCAPED.get(m[3], m[3]), literal) if "\\" in literal else literal
+
+
+def here_end(text: str, at: int, tag: str) -> int | None:
+    """Where the body of a here-document that begins at ``at`` ends, its last line break excluded; None if it never does."""
+    end = re.compile(rf"^[ \t]*{tag}\b", re.MULTILINE).search(text, at)
+    return max(at, end.start() - 1) if end else None
+
+
+def block_end(text: str, name: int, at: int) -> int:
+    """Where the lines from ``at`` on stop that are indented deeper than the line of the name, or blank."""
+    line = text.rfind("\n", 0, name) + 1
+    indent = len(text[line:name]) - len(text[line:name].lstrip(" "))
+    end = at
+    while at < len(text):
+        to = text.find("\n", at)
+        to = len(text) if to < 0 else to
+        if stripped := text[at:to].lstrip(" "):
+            if to - at - len(stripped) <= indent:
+                break
+            end = to
+        at = to + 1
+    return end
+
+
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], bool]]:
+    """(name, terms with start and end, whether bare words count as literals) of each pair in order; a quoted term has
+    its quotes. The body of a here-document or block is one term, and is read for pairs of its own as well."""
+    at = 0
+    no_end: set[str] = set()  # tags of here-documents that nothing ends from here on
+    while m := PAIR.search(text, at):
+        at = m.end()
+        if m["element"]:
+            yield m["element"], [(m["content"], *m.span("content"))], True
+        elif m["flag"]:
+            yield m["flag"], [(m["argument"], *m.span("argument"))], True
+            at = m.start("argument")  # the argument may be a pair itself
+        elif m["value"] is not None:
+            code = m["op"] != ":" or bool(m["close"])
+            yield m["name"], [(t[0], t.start(), t.end()) for t in TERM.finditer(text, *m.span("value"))], code or "=" in text[m.end("name") : m.start("value")]
+        elif tag := m["here"]:
+            end = None if tag in no_end else here_end(text, at, tag)
+            if end is None:
+                no_end.add(tag)
+            elif end > at:
+                yield m["name"], [(text[at:end], at, end)], True
+        else:
+            end = block_end(text, m.start("name"), at)
+            first = at + len(text[at:end]) - len(text[at:end].lstrip())
+            if end > first:
+                yield m["name"], [(text[first:end], first, end)], True
+
+
 def lexed_spans(text: str) -> list[SpanT]:
     """Literals that flow into sensitive names: directly, through a constant, or as part of a concatenation."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:<") and "--" not in text:
         return []
     constants: dict[str, list] = {}  # literals, and the lists of the constants that a value names
     found: set[SpanT] = set()
-    for m in PAIR.finditer(text):
-        parts, code = [], m["op"] != ":" or bool(m["close"])
-        for t in TERM.finditer(text, *m.span("value")):
-            word = t[0]
-            if word[0] in "\"'`":
-                parts.append((word[1:-1], t.start() + 1, t.end() - 1))
+    for name, terms, code in pairs(text):
+        parts: list = []
+        for word, start, end in terms:
+            if quote := OPENING.match(word):
+                a, b = start + quote.end(), end - len(quote[1])
+                parts.append((unescaped(text[a:b]), a, b))
             elif word in constants:
                 parts.append(constants[word])
-            elif (code or "=" in text[m.end("name") : t.start()]) and any(c.isdigit() for c in word):
-                parts.append((word, t.start(), t.end()))
+            elif code and any(c.isdigit() for c in word):
+                parts.append((word, start, end))
         if not parts:
             continue
-        constants[m["name"]] = parts
-        if (score := name_score(m["name"])) < 1.5:
+        constants[name] = parts
+        if (score := name_score(name)) < 1.5:
             continue
         parts = literals(parts)
         if score + value_score("".join(p for p, _, _ in parts)) >= SCORE:
@@ -143,7 +218,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row for each row of ``docs``: counts and spans by kind. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, whole.schema.names[1])):
             rows = []
             for value in batch.column(1).to_pylist():
                 base, spans = all_spans(value or "")
@@ -164,7 +239,7 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
     at, size = names.index(text), names.index(n_chars) if n_chars in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sub_batches(whole, text)):
             texts = batch.column(at).to_pylist()
             sizes = batch.column(size).to_pylist() if size >= 0 else None
             for i, value in enumerate(texts):
