@@ -1,14 +1,17 @@
 """Language ID with a string kernel: blended-spectrum n-gram presence, Nystroem landmarks, kernel ridge regression.
 
 The kernel of two texts is the mean over n = 1..3 of the cosine of their sets of character n-grams. A bounded
-sample of labelled rows (``PER_LANG`` for each language, chosen by a hash of the id) is fitted: ``LANDMARKS`` of
-them span the Nystroem space, one-versus-rest ridge regression on it gives one score for each language. All texts
+sample of labelled rows is fitted: ``PER_LANG`` for each language, chosen by a hash of the id, ``SAMPLE_ROWS`` in all
+(first one of each language, then a second one, and so on), of which the first ``SAMPLE_CHARS`` characters are learned
+from. ``LANDMARKS`` of them span the Nystroem space, one-versus-rest ridge regression on it gives one score for each language. All texts
 are then scored whole, in blocks: presence matrix of the block times presence matrix of the landmarks, then times
 the coefficients.
 
 Defined results: ``und`` with score 0 for a null text or one without letters; ``score`` is the winning one-versus-
 rest output moved from [-1, 1] to [0, 1]; ties go to the language first in order; without any labelled training row
-every text is ``und``; rows with null doc_id are never trained on and not held out; repeated rows stay.
+every text is ``und``; rows with null doc_id are never trained on and not held out; repeated rows stay; an empty table
+gives no rows; a very long text is scored whole, in spans; other columns are not read by ``identify`` and stay as they
+are in ``keep_known``, whatever their names.
 
 A text that is unlike every landmark has a score near 0.5, so a score alone can't reject it, and short texts in learned
 languages score low as well. ``known`` therefore rejects a text if its score is low and too many of its 3-grams are
@@ -32,6 +35,8 @@ from .common import ids_mod, sub_batches
 
 #: Rows a language that the fit may use, landmarks in all, ridge.
 PER_LANG, LANDMARKS, RIDGE = 150, 128, 1e-3
+#: Bounds of the sample that is fetched: rows in all, characters of a row.
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
 #: Characters that get a code of their own; the rest share one, all that aren't letters share another.
 ALPHABET = 62
 ORDERS = (1, 2, 3)
@@ -192,16 +197,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % MODULUS == HELD_OUT, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most ``per_lang`` training rows of each language, the same ones on every run."""
-    usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % MODULUS != HELD_OUT))
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
+    """(text, language) of at most ``per_lang`` training rows of each language and ``rows`` in all, the same ones on every run."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    usable = own.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0) & (F.crc32(F.col("doc_id").cast("string")) % MODULUS != HELD_OUT))
     key = F.xxhash64(F.lit(17), "doc_id")
-    # The bound comes first: hash thresholds leave about four times per_lang rows a language before anything is ranked.
-    counts = usable.groupBy("lang").count()
-    near = usable.join(F.broadcast(counts.where("count > 0").orderBy(F.desc("count"), "lang").limit(1000)), "lang").where(F.col("lang") != "und")
-    near = near.where(F.pmod(key, F.lit(1 << 30)) < F.greatest(F.lit(0), F.lit(float(4 * per_lang + 40)) / F.col("count") * (1 << 30)))
-    ranked = near.select("lang", "text", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "text")).alias("k")).where(F.col("k") <= per_lang)
-    return [(r.text or "", r.lang) for r in ranked.orderBy("lang", "k").select("text", "lang").collect()]
+    # Ranked without their texts; each task keeps the first of each language before anything is shuffled.
+    first = usable.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id")).alias("k")).where(F.col("k") <= per_lang)
+    first = first.groupBy("lang", "doc_id").agg(F.min("k").alias("k")).orderBy("k", "lang").limit(rows)
+    # The chosen ids are few enough to broadcast; an id that many rows have gives no more rows than before.
+    short = usable.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = short.join(F.broadcast(first), ["lang", "doc_id"])
+    ranked = some.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text")).alias("r")).where(F.col("r") <= per_lang)
+    return [(r.text, r.lang) for r in ranked.orderBy("r", "lang").limit(rows).collect()]
 
 
 def train(docs: DataFrame, **names: str) -> Model:
