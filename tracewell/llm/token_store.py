@@ -16,8 +16,9 @@ ids; each task writes files under names of its own attempt in the shared folder
 succeeded reach the file index, a table beside them, so lost executors leave no wrong files. ``read_documents``
 takes the starts of files from sums over parts, then over the files of a part.
 
-Defined results: null text counts as empty (only the end id); null doc_ids come first and keep a null id; equal
-doc_ids are ordered by text; an empty table gives no files; other columns are not read.
+Defined results: null text counts as empty (only the end id); null doc_ids come first and keep a null id; rows with
+equal doc_ids are ordered by a hash of their text and may stand in several parts; an empty table gives no files; a very
+long text is encoded whole by one task and gets a file of its own; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,12 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, store, sub_batches
+from .common import pieces, shared_folder, store, sub_batches, total_bytes
 
 MAGIC = b"TWPLANE1"
 CHUNK_IDS = 1 << 16
 #: Ids that a file holds before the next one begins; a longer document gets a file of its own.
 FILE_IDS = 4 << 20
+#: Text of a range partition, which one task encodes.
+PART_BYTES = 16 << 20
 
 
 # ---- planes ----
@@ -176,11 +179,14 @@ class WordEncoder:
 
     The tokenizer drops white space before merging, so a text's ids are those of its parts. Parts of ASCII and
     Latin letters are cut by the tokenizer's own pattern and only new pieces reach its model; any other part goes
-    through the whole tokenizer.
+    through the whole tokenizer. A tokenizer with other settings encodes whole texts by itself.
     """
 
     #: Fixed value: the tokenizer's pattern for pieces.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The settings under which a text's ids are those of its parts.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
     def __init__(self, path: str, bound: int = 300_000):
         from tokenizers import Tokenizer
@@ -199,10 +205,7 @@ class WordEncoder:
         self.table = {b: c for b, c in enumerate(byte_alphabet())}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        normalizers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        if normalizers != ["NFC", "Replace", "Lowercase"] or [x["pattern"]["Regex"] for x in split] != [self.PATTERN]:
-            self.plain = re.compile(r"(?!)")  # another tokenizer: every part goes through all of it
+        self.whole = (spec["normalizer"], spec["pre_tokenizer"], spec.get("post_processor")) != (self.NORMALIZER, self.PRE_TOKENIZER, None)
         self.bound = bound
         self.parts: dict[bytes, bytes] = {}
         self.old_parts = self.parts
@@ -228,6 +231,8 @@ class WordEncoder:
         return b"".join([self._piece(p) for p in self.cut.findall(text)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype=self.dtype) for t in texts]
         if len(self.parts) > self.bound:
             self.old_parts, self.parts = self.parts, {}
         if len(self.pieces) > self.bound:
@@ -281,8 +286,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "number", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(pieces(total_bytes(rows, "text"), PART_BYTES), *order).sortWithinPartitions(*order)
     return store(ordered.mapInArrow(run, INDEX_SCHEMA), "token-index")
 
 
