@@ -3,10 +3,13 @@
 The distinct pieces of a kernel batch lie as one flat array of symbols. Each round looks up every adjacent pair by
 binary search over sorted pair keys, takes the lowest rank of each piece, and merges all its occurrences at once
 (left to right where they overlap); pieces without a mergeable pair leave the array. Encoded pieces are remembered
-up to a bound. The vocabulary file's path is a parameter; special tokens in a text become their single id.
+up to a bound. The vocabulary file's path is a parameter; special tokens in a text become their single id. A file whose
+settings are other than those of plain byte-level BPE is refused.
 
-Defined results: a null text counts as empty (no ids, empty decoded text); rows are independent of each other;
-other columns are not read.
+Defined results: a null text counts as empty (no ids, empty decoded text); rows are independent of each other, repeated
+ones stay; of equal pairs that overlap the left one merges; an empty table gives no rows; a very long text is encoded
+whole by one task; other columns are not read, but for ``token_rows``, which keeps them and replaces those named
+``token_ids`` or ``n_tokens``.
 """
 
 from __future__ import annotations
@@ -35,12 +38,23 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(extra)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Refuse a tokenizer that does more, or less, than byte-level BPE with ``PATTERN``."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    other = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd = [t["content"] for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or not plain or other or odd:
+        raise ValueError(f"not a plain byte-level BPE file: {cut.get('type')}, {other}, {odd}")
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary as arrays."""
 
     def __init__(self, path: str, bound: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         alphabet = byte_alphabet()

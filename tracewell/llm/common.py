@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -90,8 +91,13 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared place that ``spark.checkpoint.dir`` names; where it is unset (tests), the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the shared place that ``spark.checkpoint.dir`` names. Where it is unset, a local session takes
+    the warehouse, and one with executors elsewhere, which might not see that, is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

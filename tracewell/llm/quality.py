@@ -7,7 +7,9 @@ stored doubling ranks; its intervals are the maximal repeated substrings. Spans
 longest repeat has at most ``max_longest`` words.
 
 Defined results: a null or empty text has no words and fails the base rule (fewer than 20 words); each row is
-judged alone, so repeated rows, ties and order change nothing; other columns are not read.
+judged alone, so repeated rows, ties and order change nothing; an empty table gives no rows; a very long text is judged
+whole by one task (ranks take four bytes a word for each doubling that still tells suffixes apart); other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def repeats(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     words = np.fromiter((seen.setdefault(w, len(seen)) for d in docs for w in d), dtype=np.int64, count=total)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)  # words from here to the end of the document
     _, rank = np.unique(owner * np.int64(len(seen)) + words, return_inverse=True)
-    ranks = [rank.astype(np.int64)]
+    ranks = [rank.astype(np.int32)]
     active = _shared(ranks[0], np.arange(total))
     step = 1
     while active.size:
@@ -60,7 +62,7 @@ def repeats(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         if step == 1 and len(ranks) == 1:
             # First refinement: respread the ranks so that a group of m suffixes owns m consecutive numbers.
             base = np.r_[0, np.cumsum(np.bincount(rank))[:-1]]
-            ranks[0] = base[rank]
+            ranks[0] = base.astype(np.int32)[rank]
             refined = ranks[0].copy()
             refined[a] = base[r] + (head - first)
         ranks.append(refined)
