@@ -3,8 +3,8 @@
 Fingerprints are the bitwise majority of XXH64 (seed 42) over 3-word shingles. Equal fingerprints are one node. Two
 nodes within ``RADIUS`` = 2 differing bits agree in at least two of four 16-bit quarters, so six passes group nodes
 by a pair of quarters. Inside a group nodes lie in order and their bit planes vertically, 64 nodes a word; carry-save
-counters (ones, twos, over) add up the differing bits of a query against a whole word at once, and words in which
-all nodes have left the radius are abandoned after every eight planes. Each group sends on a spanning forest of its
+counters add up the differing bits of a query against a whole word at once, and words in which all nodes have left the
+radius are abandoned after every eight planes. Each group sends on a spanning forest of its
 links (never all pairs), and the forest's components are found by alternating large-star and small-star rounds.
 A group of more than ``TILE`` nodes is split into tiles that are compared pair by pair in tasks of their own.
 
@@ -32,6 +32,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 2
 QUARTERS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 #: Nodes of a group that one task compares with each other or with another such tile.
 TILE = 8192
+#: A longer text is hashed in slices.
+LONG_BYTES = 4 << 20
 
 
 def fingerprint_of(words: list[bytes]) -> int:
@@ -43,12 +45,29 @@ def fingerprint_of(words: list[bytes]) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def long_fingerprint(text: bytes) -> int:
+    """As ``fingerprint_of``, with the text's shingles hashed and counted in slices."""
+    words = text.lower().split()
+    n = max(1, len(words) - SHINGLE + 1) if words else 0
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, n, 1 << 16):
+        grams = (b" ".join(words[k : k + SHINGLE]) for k in range(at, min(n, at + (1 << 16))))
+        flat = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64)
+        ones += [np.count_nonzero(flat & (np.uint64(1) << np.uint64(b))) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * int(ones[b]) > n)
+
+
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     """Fingerprints of a batch of texts."""
     hashes: list[int] = []
     counts = []
     digest = xxhash.xxh64_intdigest
-    for text in texts:
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for at, text in enumerate(texts):
+        if len(text) > LONG_BYTES:
+            out[at] = long_fingerprint(text)
+            counts.append(0)
+            continue
         words = text.lower().split()  # bytes.lower() changes A-Z only
         n = len(words)
         if n <= SHINGLE:
@@ -60,7 +79,6 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
             grams = [joined[a:b] for a, b in zip((ends - sizes + 1).tolist(), ends[SHINGLE - 1 :].tolist(), strict=False)]
         hashes += [digest(g, SEED) for g in grams]
         counts.append(len(grams))
-    out = np.zeros(len(texts), dtype=np.uint64)
     n = np.array(counts, dtype=np.int64)
     some = np.flatnonzero(n)
     if not some.size:
@@ -98,23 +116,27 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def within(queries: np.ndarray, words: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of (query fingerprint, word) comparisons: which have a node within the radius, and the mask of those nodes."""
+def within(queries: np.ndarray, words: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Of (query fingerprint, word) comparisons: which have a node within the radius, and the mask of those nodes.
+
+    The counters of all nodes of a word lie as bit planes and begin at 2^k - 1 - radius, so that the carry out of the
+    last one marks the nodes with more differing bits than the radius."""
     live = np.arange(queries.size)
-    ones = np.zeros(queries.size, dtype=np.uint64)
-    twos, over = ones.copy(), ones.copy()
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    k = int(radius).bit_length()
+    begin = (1 << k) - 1 - radius
+    counter = [np.full(queries.size, full if begin >> j & 1 else 0, dtype=np.uint64) for j in range(k)]
+    over = np.zeros(queries.size, dtype=np.uint64)
     for b in range(64):
         flip = np.where((queries[live] >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
-        d = planes[b, words[live]] ^ flip
-        carry = ones & d
-        ones ^= d
-        over |= (twos & carry) | ((twos ^ carry) & ones)  # three or more differing bits
-        twos ^= carry
-        if b % 8 == 7 and live.size:
+        carry = planes[b, words[live]] ^ flip
+        for j in range(k):
+            counter[j], carry = counter[j] ^ carry, counter[j] & carry
+        over |= carry
+        if b % 8 == 7 and b > radius and live.size:
             keep = over != full
             if not keep.all():
-                live, ones, twos, over = live[keep], ones[keep], twos[keep], over[keep]
+                live, over, counter = live[keep], over[keep], [c[keep] for c in counter]
     return live, ~over
 
 
@@ -149,10 +171,17 @@ def links(groups: np.ndarray, fps: np.ndarray, second: np.ndarray | None = None)
     """The root row of each row, rows of one group (a run of equal ``groups``) linked within the radius.
 
     ``second`` marks the rows of a group's second tile: then only pairs of the two tiles are compared."""
+    forest = Forest(fps.size)
+    for a, b in close_pairs(groups, fps, second):
+        forest.union(a, b)
+    return forest.roots()
+
+
+def close_pairs(groups: np.ndarray, fps: np.ndarray, second: np.ndarray | None = None, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows a < b of one group within the radius, some at a time."""
     n = fps.size
-    forest = Forest(n)
     if not n:
-        return forest.parent
+        return
     planes = planes_of(fps)
     new = np.r_[True, groups[1:] != groups[:-1]]
     ends = np.r_[np.flatnonzero(new)[1:], n][np.cumsum(new) - 1]
@@ -164,7 +193,7 @@ def links(groups: np.ndarray, fps: np.ndarray, second: np.ndarray | None = None)
         for at in range(0, ask.size, 1 << 16):
             q = ask[at : at + (1 << 16)]
             word = first_word[q] + step
-            live, mask = within(fps[q], word, planes)
+            live, mask = within(fps[q], word, planes, radius)
             q, word = q[live], word[live]
             base = word * 64
             bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
@@ -173,8 +202,7 @@ def links(groups: np.ndarray, fps: np.ndarray, second: np.ndarray | None = None)
             ok = (b > a) & (b < ends[a])
             if second is not None:
                 ok[ok] = second[a[ok]] != second[b[ok]]
-            forest.union(a[ok], b[ok])
-    return forest.roots()
+            yield a[ok], b[ok]
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
