@@ -41,7 +41,8 @@ def test_defined_results(spark, awkward):
     assert s[2].fingerprint == s[5].fingerprint == "0" * 16 and s[2].component_id == s[3].component_id == s[5].component_id == 2
     assert s[8].component_id == 1
     d = by(substring_dedup.dedup(awkward))
-    assert (d[1].n_removed, d[8].n_removed, d[8].kept_sha256, d[3].kept_sha256) == (0, 19, NOTHING, NOTHING)
+    assert (d[1].n_removed, d[8].n_removed, d[8].kept, d[3].kept) == (0, 19, "", "")
+    assert [tuple(x) for x in d[8].repeats] == [(0, 19, 1)] and d[1].repeats == []
     t = token_store.round_trip(spark, awkward, WORD).orderBy("start").collect()
     assert [r.doc_id for r in t][:2] == [None, None] and [r.start for r in t] == [sum(x.n_tokens for x in t[:k]) for k in range(len(t))]
     b = by(bpe.digests(awkward, BYTE))
@@ -49,7 +50,7 @@ def test_defined_results(spark, awkward):
     lid = by(langid.identify(awkward, langid.train(awkward)))
     assert [lid[k].lang_pred for k in (2, 3, 5, 6)] == ["und"] * 4 and lid[2].score == 0.0
     lm = by(lm_score.score(awkward))
-    assert (lm[2].n_tokens, lm[3].n_tokens) == (1, 1)
+    assert (lm[2].n_tokens, lm[3].n_tokens) == (1, 1) and lm[2].score <= 0
 
 
 def test_decontamination_rows(spark, awkward, empty):

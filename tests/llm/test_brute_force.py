@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tracewell.llm import bundles, decontaminate, html_extract, langid, lm_score, quality, secrets, simhash, token_store
+from tracewell.llm import bundles, decontaminate, html_extract, langid, lm_score, quality, secrets, simhash, substring_dedup, token_store
 from tracewell.llm.queries import QUERIES
 
 
@@ -168,15 +168,53 @@ def test_op5(spark, small, docs):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("n", [1, 2, 7])
+@pytest.mark.parametrize("n", [1, 2, 7, 400])
 def test_packing(n):
     rng = np.random.default_rng(n)
     keys = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64) * 2)
     small = rng.integers(0, 3, keys.size).astype(np.uint64)
-    a, b = bundles.unpack_sorted(bundles.pack_sorted(keys, small))
-    assert np.array_equal(a, keys) and np.array_equal(b, small)
+    for size in (0, 1, 5, keys.size):
+        a, b = bundles.unpack_sorted(bundles.pack_sorted(keys[:size], small[:size]))
+        assert np.array_equal(a, keys[:size]) and np.array_equal(b, small[:size])
     assert [x.size for x in bundles.unpack(bundles.pack(keys[:0], small[:1]))] == [0, 1]
-    assert len(bundles.shard_starts(n)) == n and bundles.shard_starts(n)[0] == 0
+    assert bundles.shard_of(keys, n).tolist() == [(int(k) >> 32) * n >> 32 for k in keys]
+
+
+def test_op5_matches_are_maximal_repeats(spark):
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(60)}"
+    passages = [[word() for _ in range(n)] for n in (12, 13, 20, 70)]
+    rows = []
+    for d in range(40):
+        text = [word() for _ in range(rnd.randrange(30))]
+        for _ in range(rnd.randrange(3)):
+            text += rnd.choice(passages) + [word() for _ in range(rnd.randrange(10))]
+        rows.append((d, " ".join(text)))
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bundle_bytes=2000).collect()}
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), d)
+    for d, t in rows:
+        w, gone, spans = t.split(), set(), []
+        for k in range(len(w) - 12):
+            if (least := first[tuple(w[k : k + 13])]) < d:
+                gone |= set(range(k, k + 13))
+                if spans and spans[-1][0] + spans[-1][1] == k + 12:
+                    spans[-1][1] += 1
+                else:
+                    spans.append([k, 13, least])
+        assert got[d].kept == " ".join(x for k, x in enumerate(w) if k not in gone) and [list(x) for x in got[d].repeats] == spans
+
+
+def test_windows_with_equal_keys_are_told_apart():
+    w = substring_dedup.Windows([b" ".join(b"%d" % k for k in range(20))])
+    key, second = w.hashes(np.arange(2))
+    key[1] = key[0]
+    blocks = [[key, second, np.array([5, 6], np.uint64), np.zeros(2, np.uint64)], [key[1:], second[1:], np.array([3], np.uint64), np.zeros(1, np.uint64)]]
+    (steps, checks, first), other = substring_dedup.first_documents(blocks)
+    assert checks.tolist() == [second[1]] and first.tolist() == [3] and steps.tolist() == [key[0]] and other[0].size == 0
 
 
 # ---- 6 ----
@@ -227,46 +265,66 @@ def test_op7_against_the_library(spark, small, docs):
 # ---- 8 ----
 
 
+def lm_brute(texts, trained, order, k):
+    """Counts by order, N, V and the log10 probability of a token list, by the definition of the model."""
+    counts = [Counter() for _ in range(order)]
+    for w in (w for w, t in zip(texts, trained, strict=True) if t):
+        for m in range(order):
+            counts[m].update(tuple(w[i : i + m + 1]) for i in range(len(w) - m))
+    n = sum(c for g, c in counts[0].items() if g != ("start",))
+    v = len(counts[0]) - (("start",) in counts[0])
+
+    def p(h, w):
+        if not h:
+            return (counts[0][(w,)] + 1) / (n + v + 1)
+        shorter, seen, weight = p(h[1:], w), counts[len(h) - 1][h], k[min(len(h), len(k)) - 1]
+        return (counts[len(h)][(*h, w)] + weight * shorter) / (seen + weight) if seen else shorter
+
+    return counts, n, v, lambda w: sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w)))
+
+
 def test_op8(spark, small, docs):
-    tokens = {d: [*t.encode().lower().split(), "end"] for d, t in docs.items()}
-    one, two, trained = Counter(), Counter(), 0
-    for d, w in tokens.items():
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            one.update(w)
-            two.update(zip(["start", *w], w, strict=False))
-            trained += 1
-    n, v, k = sum(one.values()), len(one), lm_score.K
+    tokens = {d: ["start", *t.encode().lower().split(), "end"] for d, t in docs.items()}
+    trained = {d: zlib.crc32(str(d).encode()) % 7 != 2 for d in tokens}
+    counts, n, v, total = lm_brute(tokens.values(), trained.values(), lm_score.ORDER, lm_score.K)
     got = rows(spark, small, "op8_lm_score")
     better = 0.0
     for d, w in tokens.items():
-        base = total = 0.0
-        for h, x in zip(["start", *w], w, strict=False):
-            p = (one[x] + 1) / (n + v + 1)
-            c = trained if h == "start" else one[h]
-            base, total = base + math.log10(p), total + math.log10((two[h, x] + k * p) / (c + k))
+        base = sum(math.log10((counts[0][(x,)] + 1) / (n + v + 1)) for x in w[1:])
         r = got[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in one for x in w), n, zlib.crc32(str(d).encode()) % 7 == 2)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(total, rel=1e-9)
-        better += (total - base) * r.held_out
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w) - 1, sum((x,) in counts[0] for x in w[1:]), n, not trained[d])
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(total(w), rel=1e-9)
+        better += (r.score - base) * r.held_out
     assert better > 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_automaton_walks_as_the_model_says(order, monkeypatch):
+    """Whole texts and texts in pieces; held-out ones among them."""
+    rnd = random.Random(order)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(40))).encode() for _ in range(12)]
+    trained, k = np.array([i % 3 != 0 for i in range(12)]), (5.0, 2.0, 1.0)
+    lists = [["start", *t.split(), "end"] for t in texts]
+    _, n, v, total = lm_brute(lists, trained, order, k)
+    g = lm_score.Grams(texts, order)
+    a = lm_score.Automaton(g, g.training_counts(trained), v, n, k)
+    for piece in (512, 3, 1):
+        monkeypatch.setattr(lm_score, "PIECE", piece)
+        assert a.traverse()[1] == pytest.approx([total(w) for w in lists], rel=1e-12)
+
+
 def test_automaton_is_a_distribution():
-    texts = [b"a b a b c", b"b a", b"c"]
-    t = lm_score.Tokens(texts, lm_score.WordHash(), 3)
-    keys = np.concatenate([*t.grams, np.full(3, lm_score.START), t.histories[1][t.starts]])
-    k, c = lm_score._add(keys, np.ones(keys.size, dtype=np.uint64))
-    vocabulary = [b"a", b"b", b"c"]
-    a = lm_score.Automaton(k, c, 4, int(t.counts.sum()), 2.0)
+    texts, vocabulary = [b"a b a b c", b"b a", b"c"], [b"a", b"b", b"c"]
     # p(w | a b) over the vocabulary, the end and one unknown word
     total = 0.0
     for w in [*vocabulary, None, b"zzz"]:
-        q = lm_score.Tokens([b"a b" + (b"" if w is None else b" " + w)], lm_score.WordHash(), 3)
-        for g in [*q.grams, *q.histories]:
-            for key in g[~np.isin(g, a.keys)]:
-                at = np.searchsorted(a.keys, key)
-                a.keys, a.counts = np.insert(a.keys, at, key), np.insert(a.counts, at, 0.0)
-        total += 10 ** a.traverse(q)[2][2]
+        asked = [b"a b", b"a b" + (b"" if w is None else b" " + w)]
+        g = lm_score.Grams([*texts, *asked], 3)
+        a = lm_score.Automaton(g, g.training_counts(np.array([True] * 3 + [False] * 2)), 4, 11, (2.0, 2.0))
+        level, state, p = np.array([1]), g.tokens[g.starts[4:]], 0.0
+        for k in range(1, 4):
+            p = a.step(level, state, g.tokens[g.starts[4:] + k])[0]
+        total += 10**p
     assert total == pytest.approx(1.0)
 
 
@@ -366,9 +424,13 @@ def test_pipeline_against_its_parts(spark, small, duck):
     out = corpus_pipeline.run(spark, small)
     got = {r.doc_id: r for r in out.collect()}
     table = {r[0]: r for r in duck.execute("select doc_id, text, lang, source from documents order by 1").fetchall()}
-    lid = rows(spark, small, "op4_language_id")
-    kept = {d: t for d, (_, t, *_x) in table.items() if lid[d].lang_pred != "und" and lid[d].score >= langid.REJECT}
-    prints = {d: simhash.fingerprint_of(t.encode().lower().split()) for d, t in kept.items()}
+    model = langid.train(spark.read.parquet(f"{small}/documents.parquet"))
+    known = model.known([t for _, t, *_x in table.values()])
+    kept = {d: t for (d, t, *_x), k in zip(table.values(), known, strict=True) if k}
+    sets = {}
+    for d, t in kept.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     ids, parent = sorted(kept), {d: d for d in kept}
 
     def find(x):
@@ -378,7 +440,7 @@ def test_pipeline_against_its_parts(spark, small, duck):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     items = [t for (t,) in duck.execute("select text from benchmark").fetchall()]
     block = decontaminate.Benchmark.of(list(enumerate(items)))
