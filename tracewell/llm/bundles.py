@@ -29,9 +29,9 @@ from .common import pieces, total_bytes
 
 #: Text in a bundle: bounds a task's memory (its arrays take about thirty times this).
 BUNDLE_BYTES = 4 << 20
-#: Blocks below this size are sent as they are.
+#: Planes below this size are sent as they are.
 PLAIN_BYTES = 200
-_ARRAY = struct.Struct("<IB")
+_ARRAY, _PLANE = struct.Struct("<IB"), struct.Struct("<I")
 
 Got = list[tuple[np.ndarray, ...]]
 Ask = Callable[[list[int | None], list[bytes], Got], tuple[np.ndarray, tuple[np.ndarray, ...]]]
@@ -39,35 +39,44 @@ Blocks = list[list[np.ndarray]]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers as byte planes (as many as the largest value needs), zstandard-packed unless tiny."""
+    """Arrays of whole numbers as byte planes, as many as the largest value needs; a plane that zstandard makes smaller is packed."""
     out = []
+    squeeze = zstandard.ZstdCompressor(level=1)
     for a in arrays:
         a = a.astype(np.uint64)
-        width = max(1, (int(a.max()).bit_length() + 7) // 8) if a.size else 1
-        out += [_ARRAY.pack(a.size, width), np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    raw = b"".join(out)
-    return b"\0" + raw if len(raw) < PLAIN_BYTES else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if a.size else 0
+        out.append(_ARRAY.pack(a.size, width))
+        for plane in np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T):
+            raw = plane.tobytes()
+            packed = squeeze.compress(raw) if len(raw) >= PLAIN_BYTES else raw
+            out += [_PLANE.pack(min(len(packed), len(raw))), packed if len(packed) < len(raw) else raw]
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:]
     out, at = [], 0
-    while at < len(raw):
-        n, width = _ARRAY.unpack_from(raw, at)
+    expand = zstandard.ZstdDecompressor()
+    while at < len(data):
+        n, width = _ARRAY.unpack_from(data, at)
+        at += _ARRAY.size
         a = np.zeros((n, 8), dtype=np.uint8)
-        a[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at + _ARRAY.size).reshape(width, n).T
+        for k in range(width):
+            (size,) = _PLANE.unpack_from(data, at)
+            at += _PLANE.size
+            a[:, k] = np.frombuffer(data, np.uint8, n, at) if size == n else np.frombuffer(expand.decompress(data[at : at + size]), np.uint8)
+            at += size
         out.append(a.reshape(-1).view(np.uint64))
-        at += _ARRAY.size + n * width
     return out
 
 
-def pack_sorted(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)), *values)
+def pack_sorted(keys: np.ndarray, *values: np.ndarray, spare: int = 0) -> bytes:
+    """Sorted keys, whose lowest ``spare`` bits are zero, as steps, and their values."""
+    return pack(np.diff(keys >> np.uint64(spare), prepend=np.uint64(0)), *values)
 
 
-def unpack_sorted(data: bytes) -> list[np.ndarray]:
+def unpack_sorted(data: bytes, spare: int = 0) -> list[np.ndarray]:
     deltas, *values = unpack(data)
-    return [np.cumsum(deltas, dtype=np.uint64), *values]
+    return [np.cumsum(deltas, dtype=np.uint64) << np.uint64(spare), *values]
 
 
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -76,7 +85,7 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack_text = zstandard.ZstdCompressor(level=1)
+    pack_text = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = batch.column(2).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack_text.compress(t) if t else b"" for t in texts], pa.binary())], names=["bundle", "doc_id", "packed"])
@@ -85,7 +94,9 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Bundles:
     """A table's documents in bundles, ready to ask."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, bundle_bytes: int = BUNDLE_BYTES):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, bundle_bytes: int = BUNDLE_BYTES, spare: int = 0):
+        """``spare``: how many of the lowest bits of all keys are zero."""
+        self.spare = spare
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.n = pieces(total_bytes(rows, "text"), bundle_bytes)
         bundle = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(self.n)).cast("int")
@@ -95,14 +106,14 @@ class Bundles:
         """bundle, shard, asked: each bundle's distinct sorted keys and their values, as packed blocks by shard.
 
         ``keys_of(ids, texts, answer)`` gives them; ``answer`` holds what ``answers`` sent to this bundle."""
-        n = self.n
+        n, spare = self.n, self.spare
 
         def blocks(ids: list[int | None], texts: list[bytes], got: Got, bundle: int) -> pa.Table:
             keys, values = keys_of(ids, texts, got)
             shards = shard_of(keys, n)
             starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if keys.size else np.zeros(0, np.int64)
             ends = [*starts[1:].tolist(), keys.size]
-            packed = [pack_sorted(keys[a:b], *(v[a:b] for v in values)) for a, b in zip(starts.tolist(), ends, strict=False)]
+            packed = [pack_sorted(keys[a:b], *(v[a:b] for v in values), spare=spare) for a, b in zip(starts.tolist(), ends, strict=False)]
             return pa.table([pa.array([bundle] * len(packed), pa.int32()), pa.array(shards[starts], pa.int32()), pa.array(packed, pa.binary())], names=["bundle", "shard", "asked"])
 
         return self._each(blocks, "bundle int, shard int, asked binary", answers)
@@ -111,8 +122,10 @@ class Bundles:
         """bundle, shard, answer: ``reply`` sees the blocks of one shard and gives arrays for each, in the same order.
         A block whose arrays are all empty gets no row."""
 
+        spare = self.spare
+
         def shard(table: pa.Table) -> pa.Table:
-            out = [pack(*a) if any(x.size for x in a) else None for a in reply([unpack_sorted(x) for x in table["asked"].to_pylist()])]
+            out = [pack(*a) if any(x.size for x in a) else None for a in reply([unpack_sorted(x, spare) for x in table["asked"].to_pylist()])]
             table = pa.table([table["bundle"].combine_chunks(), table["shard"].combine_chunks(), pa.array(out, pa.binary())], names=["bundle", "shard", "answer"])
             return table.filter(table["answer"].is_valid())
 
@@ -120,10 +133,10 @@ class Bundles:
 
     def totals(self, asked: DataFrame, share: Callable[[Blocks], tuple[int, ...]], width: int) -> DataFrame:
         """bundle, shard (-1), totals: the sums of every shard's ``width`` whole numbers, once for each bundle."""
-        names = [f"s{k}" for k in range(width)]
+        names, spare = [f"s{k}" for k in range(width)], self.spare
 
         def shard(table: pa.Table) -> pa.Table:
-            return pa.table([pa.array([x], pa.int64()) for x in share([unpack_sorted(x) for x in table["asked"].to_pylist()])], names=names)
+            return pa.table([pa.array([x], pa.int64()) for x in share([unpack_sorted(x, spare) for x in table["asked"].to_pylist()])], names=names)
 
         sums = asked.groupBy("shard").applyInArrow(shard, ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names])
         return sums.select(F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("bundle"), F.lit(-1).alias("shard"), F.array(*names).alias("totals"))
