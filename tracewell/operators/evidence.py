@@ -139,3 +139,8 @@ def url_hierarchy(pages: DataFrame) -> DataFrame:
     hit = named.join(p.select("host", F.col("path").alias("parent_path")), ["host", "parent_path"], "left_semi")
     best = hit.groupBy("host", "path").agg(F.max_by("parent_path", F.length("parent_path")).alias("parent_path"))
     return p.select("host", "path").join(best, ["host", "path"], "left")
+
+
+def rule_occurrences(nodes: DataFrame, rules: DataFrame, observations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Nodes with the rule row, the observation and the page that they were found in."""
+    return nodes.join(rules, "rule_row_id").join(observations, "observation_id").join(pages, "resource_id")

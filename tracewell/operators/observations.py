@@ -15,6 +15,12 @@ def latest_per_key(df: DataFrame, keys: list[str], time: str = "observed_at", ti
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(df.columns)
 
 
+def latest_ties(df: DataFrame, keys: list[str], time: str = "observed_at") -> DataFrame:
+    """All rows that share their key's greatest time (a groupwise maximum joined back; ties give several rows)."""
+    most = df.groupBy(*keys).agg(F.max(time).alias("__most"))
+    return df.join(most, keys).where(F.col(time) == F.col("__most")).select(df.columns)
+
+
 def newest(df: DataFrame, keys: list[str], n: int, time: str = "observed_at", tie: str = "id") -> DataFrame:
     """The newest ``n`` rows of each key with their rank; Spark cuts each key's rows before the shuffle too."""
     w = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie))
@@ -57,8 +63,8 @@ def scan_ordinals(scans: DataFrame) -> DataFrame:
 
 
 def adjacent_scans(scans: DataFrame, key: str | None = None) -> DataFrame:
-    """Each scan with the one before it (of the same ``key``)."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(1))).orderBy("created_at", "scan_id")
+    """Each scan with the one before it (of the same ``key``). Scans are few; without a key they are one sequence."""
+    w = (Window.partitionBy(key) if key else Window).orderBy("created_at", "scan_id")
     return scans.withColumn("previous_scan_id", F.lag("scan_id").over(w))
 
 
@@ -69,7 +75,7 @@ def change_history(snapshots: DataFrame, scans: DataFrame, tracked: dict[str, st
     """Each observation of a page with what changed since the page's previous one, a label and the scans between.
 
     The label is first_observation, no_change, multiple_changes or the single change's name."""
-    s = snapshots.join(F.broadcast(scan_ordinals(scans)) if _few(scans) else scan_ordinals(scans), "scan_id")
+    s = snapshots.join(scan_ordinals(scans), "scan_id")  # the adaptive planner broadcasts the scans if they are small
     w = Window.partitionBy("resource_id").orderBy("created_at", "scan_id", "id")
     s = s.withColumn("previous_id", F.lag("id").over(w)).withColumn("between", F.col("ordinal") - F.lag("ordinal").over(w) - 1)
     for c in tracked.values():
@@ -82,11 +88,6 @@ def change_history(snapshots: DataFrame, scans: DataFrame, tracked: dict[str, st
     return out.select("resource_id", "scan_id", "id", "previous_id", *[f.alias(f"{n}_changed") for n, f in flags.items()], label.alias("label"), F.coalesce("between", F.lit(0)).alias("scans_between"))
 
 
-def _few(scans: DataFrame, most: int = 100_000) -> bool:
-    """Whether the scans are few enough to be sent to all tasks (one count of at most that many rows)."""
-    return scans.limit(most + 1).count() <= most
-
-
 def latest_scan(snapshots: DataFrame, by: str) -> DataFrame:
     """Per key: number of scans, latest scan id and its newest observation."""
     return snapshots.groupBy(by).agg(F.countDistinct("scan_id").alias("scans"), F.max("scan_id").alias("latest_scan_id"), F.max_by("id", F.struct("scan_id", "fetched_at", "id")).alias("latest_snapshot_id"))

@@ -163,3 +163,32 @@ def category_counts(categories: DataFrame, supports: DataFrame) -> DataFrame:
     """Categories with distinct pages in all and by support type (``supports``: page_id, category_id, support_type)."""
     n = supports.groupBy("category_id").agg(F.countDistinct("page_id").alias("pages"), *[F.countDistinct(F.when(F.col("support_type") == t, F.col("page_id"))).alias(f"{t}_pages") for t in ("manual", "automatic")])
     return categories.join(n, "category_id", "left").fillna(0, subset=["pages", "manual_pages", "automatic_pages"])
+
+
+def bulk_assign(assigned: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """Manual assignments (site_page_id, category_id) with what a bulk edit does: added, kept or removed.
+
+    Doing it again changes nothing; what is both to be added and to be removed is added."""
+    keys = ["site_page_id", "category_id"]
+    out = assigned.select(*keys).distinct().withColumn("there", F.lit(True))
+    for name, df in (("wanted", add), ("unwanted", remove)):
+        if df is None:
+            out = out.withColumn(name, F.lit(None).cast("boolean"))
+        else:
+            out = out.join(df.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "full")
+    there, wanted, unwanted = (F.coalesce(c, F.lit(False)) for c in ("there", "wanted", "unwanted"))
+    action = F.when(there & unwanted & ~wanted, "removed").when(there, "kept").when(wanted, "added")
+    return out.select(*keys, action.alias("action")).where("action is not null")
+
+
+def set_exclusions(exclusions: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """The exclusions (site_page_id, category_id) that stand after some are set and some removed."""
+    return bulk_assign(exclusions, add, remove).where("action != 'removed'").drop("action")
+
+
+def revisions(history: DataFrame, rule: DataFrame) -> DataFrame:
+    """``history`` (rule_id, revision, definition) with a further revision for each of ``rule`` (rule_id, definition)
+    whose definition differs from the rule's last one; nothing that stands is changed."""
+    last = history.groupBy("rule_id").agg(F.max("revision").alias("revision"), F.max_by("definition", "revision").alias("old"))
+    new = rule.select("rule_id", "definition").join(last, "rule_id", "left").where(~F.col("definition").eqNullSafe(F.col("old")) | F.col("revision").isNull())
+    return history.select("rule_id", "revision", "definition").unionByName(new.select("rule_id", (F.coalesce("revision", F.lit(0)) + 1).alias("revision"), "definition"))
