@@ -107,13 +107,13 @@ def membership_refresh(v: Views) -> DataFrame:
 
 @BOOK.query(
     """SELECT coalesce(e.normalized_url, n.normalized_url) AS normalized_url, CASE WHEN n.normalized_url IS NULL THEN e.source_id ELSE n.source_id END AS source_id, CASE WHEN e.normalized_url IS NULL THEN 'insert' WHEN n.normalized_url IS NULL OR n.source_id = e.source_id THEN 'unchanged' ELSE 'update' END AS action
-    FROM (SELECT normalized_url, max_by(source_id, id) AS source_id FROM entries WHERE id <= 100 AND normalized_url IS NOT NULL GROUP BY 1) e FULL JOIN (SELECT normalized_url, max_by(source_id, id) AS source_id FROM entries WHERE id > 100 AND id <= 180 AND normalized_url IS NOT NULL GROUP BY 1) n ON e.normalized_url = n.normalized_url""",
+    FROM (SELECT normalized_url, max_by(source_id, id) AS source_id FROM entries WHERE is_current AND normalized_url IS NOT NULL GROUP BY 1) e FULL JOIN (SELECT normalized_url, max_by(source_id, id) AS source_id FROM entries WHERE NOT is_current AND normalized_url IS NOT NULL GROUP BY 1) n ON e.normalized_url = n.normalized_url""",
     extra=ENTRIES,
 )
 def source_entry_upsert(v: Views) -> DataFrame:
     e = _entries(v).where("normalized_url is not null")
-    old = e.where("id <= 100").groupBy("normalized_url").agg(F.max_by("source_id", "id").alias("source_id"))
-    return inventory.upsert(old, e.where("id > 100 and id <= 180"), "normalized_url", ["source_id"])
+    old = e.where("is_current").groupBy("normalized_url").agg(F.max_by("source_id", "id").alias("source_id"))
+    return inventory.upsert(old, e.where("not is_current"), "normalized_url", ["source_id"])
 
 
 @BOOK.query("SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 'invalid' WHEN p_size >= 45 THEN 'out_of_scope' WHEN p_partkey IN (SELECT target_resource_id FROM occurrences) THEN 'source_and_crawl' ELSE 'source_only' END AS classification FROM part", "occurrences")
@@ -338,10 +338,10 @@ def missing_artifacts(v: Views) -> DataFrame:
     return retention.missing_artifacts(b.select("sha256").distinct(), b.where("doc_id % 3 = 0"))
 
 
-@BOOK.query("SELECT doc_id, b.size FROM blobs b WHERE b.doc_id <= 100 UNION ALL SELECT doc_id, NULL FROM blobs WHERE doc_id > 100 AND sha256 NOT IN (SELECT sha256 FROM blobs WHERE doc_id <= 100) UNION ALL SELECT doc_id, size FROM blobs WHERE doc_id > 100 AND sha256 IN (SELECT sha256 FROM blobs WHERE doc_id <= 100)", "blobs")
+@BOOK.query("SELECT doc_id, CASE WHEN sha256 IN (SELECT sha256 FROM blobs WHERE lang = 'en' AND sha256 IS NOT NULL) THEN size END AS size FROM blobs", "blobs")
 def blob_read(v: Views) -> DataFrame:
-    docs = v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
-    stored = docs.where("doc_id <= 100").dropDuplicates(["sha256"])
+    docs = v.table("documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
+    stored = docs.where("lang = 'en'").dropDuplicates(["sha256"])
     return retention.read_blobs(docs.drop("content"), stored).select("doc_id", F.length("content").cast("long").alias("size"))
 
 
@@ -358,11 +358,12 @@ def identity_dependents(v: Views) -> DataFrame:
     return retention.dependents(v.table("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id")), {"lineitem": (v.table("lineitem"), "l_partkey"), "orders": (v.table("orders"), "o_custkey")})
 
 
-@BOOK.query("SELECT i.id, CASE WHEN i.id IN (SELECT c_custkey FROM customer) THEN i.id WHEN i.id % 2 = 0 AND i.id > 1400 THEN i.id - 1400 END AS resource_id FROM (SELECT p_partkey AS id FROM part WHERE p_partkey > 1400 AND p_partkey <= 1600) i")
+@BOOK.query("SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT c_custkey FROM customer) THEN p_partkey WHEN p_size > 10 THEN p_size END AS resource_id FROM part")
 def alias_resolution(v: Views) -> DataFrame:
-    ids = v.table("part").where("p_partkey > 1400 and p_partkey <= 1600").select(F.col("p_partkey").alias("id"))
-    aliases = ids.where("id % 2 = 0").select(F.col("id").alias("legacy_id"), (F.col("id") - 1400).alias("resource_id"))
-    return retention.resolve_alias(ids, aliases, v.table("customer").select(F.col("c_custkey").alias("id")))
+    """Parts as ids; those that are customers stand for themselves, larger ones have their size as an alias."""
+    p = v.table("part")
+    aliases = p.where("p_size > 10").select(F.col("p_partkey").alias("legacy_id"), F.col("p_size").cast("long").alias("resource_id"))
+    return retention.resolve_alias(p.select(F.col("p_partkey").alias("id")), aliases, v.table("customer").select(F.col("c_custkey").alias("id")))
 
 
 @BOOK.query("SELECT d.doc_id, strategy FROM (SELECT doc_id FROM documents WHERE lang = 'en') d CROSS JOIN (SELECT unnest(['mobile', 'desktop']) AS strategy) s")

@@ -118,11 +118,16 @@ def page_references(v: Views) -> DataFrame:
     return markup.page_references(v.table("pages"))
 
 
-@BOOK.query()
+@BOOK.query(
+    """SELECT page_id, sha256(html || '<script src="/_Incapsula_Resource?a=1&cb=VOLATILE"></script><link href="/wp-content/a.css?ver=6.' || page_id || '">') AS normalized_sha256,
+    sha256(html || '<script src="/_Incapsula_Resource?a=1&cb=VOLATILE"></script><link href="/wp-content/a.css?ver=VERSION">') AS dependency_sha256, page_id || '' AS volatile, 'asset /wp-content/a.css 6.' || page_id AS version FROM pages"""
+)
 def source_states(v: Views) -> DataFrame:
-    """Sources in four degrees of normalisation; equal bodies are analysed once."""
-    p = v.table("pages")
-    return p.select("html").distinct().select(F.sha2("html", 256).alias("sha256"), markup.source_analysis(F.col("html")).alias("a")).select("sha256", "a.normalized_sha256", "a.dependency_sha256", "a.document_sha256", F.size("a.volatile").alias("volatile"))
+    """Sources with a vendor's script and a versioned style sheet, in the degrees of normalisation."""
+    tail = F.concat(F.lit('<script src="/_Incapsula_Resource?a=1&cb='), "page_id", F.lit('"></script><link href="/wp-content/a.css?ver=6.'), "page_id", F.lit('">'))
+    p = v.table("pages").where("html is not null").select("page_id", F.concat("html", tail).alias("html"))
+    a = p.select("page_id", markup.source_analysis(F.col("html")).alias("a"))
+    return a.select("page_id", "a.normalized_sha256", "a.dependency_sha256", F.array_join("a.volatile", ",").alias("volatile"), F.array_join("a.versions", ",").alias("version"))
 
 
 @BOOK.query("SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS x) WHERE trim(replace(x, chr(13), '')) <> '') AS lines FROM documents")
@@ -130,9 +135,9 @@ def url_list_lines(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.size(sources.url_lines(F.col("text"))).cast("long").alias("lines"))
 
 
-@BOOK.query("SELECT o_orderkey AS id, nullif(lower(trim(o_orderpriority)), '') AS name FROM orders WHERE o_orderkey <= 2000")
+@BOOK.query("SELECT o_orderkey AS id, nullif(lower(trim(o_orderpriority)), '') AS name FROM orders")
 def category_names(v: Views) -> DataFrame:
-    return v.table("orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("id"), classify.category_name(F.col("o_orderpriority")).alias("name"))
+    return v.table("orders").select(F.col("o_orderkey").alias("id"), classify.category_name(F.col("o_orderpriority")).alias("name"))
 
 
 @BOOK.query("SELECT l_orderkey || '-' || l_partkey AS edge_id, l_orderkey AS source_snapshot_id, l_partkey AS target_resource_id FROM lineitem")
