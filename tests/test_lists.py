@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import lists, observations, rules
+from tracewell.sources import documents
 
 
 def ids(df, key="id"):
@@ -100,3 +101,21 @@ def test_ties_revisions_and_exclusions(spark):
     assert sorted(map(tuple, rules.revisions(history, rule.withColumn("definition", F.lit("a"))).collect())) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "a")]
     e = spark.createDataFrame([(1, 1), (2, 1)], "site_page_id long, category_id long")
     assert sorted(map(tuple, rules.set_exclusions(e, add=e.where("site_page_id = 1").withColumn("category_id", F.lit(9)), remove=e.where("site_page_id = 2")).collect())) == [(1, 1), (1, 9)]
+
+
+def test_sitemaps_of_sitemaps(spark):
+    def index(*urls):
+        return ("<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>").encode()
+
+    pages = b"<urlset><url><loc>p</loc></url><url><loc>q</loc></url></urlset>"
+    bodies = spark.createDataFrame([("a", index("b", "c", "a", "gone")), ("b", index("c", "d")), ("c", pages), ("d", index("e")), ("e", pages), ("bad", b"<x")], "url string, body binary")
+
+    def states(roots, **k):
+        maps, entries = documents.expand_sitemaps(bodies, spark.createDataFrame([(r,) for r in roots], "url string"), **k)
+        return sorted((r.url, r.depth, r.state) for r in maps.collect()), sorted((r.sitemap_url, r.loc) for r in entries.collect()), {r.url for r in maps.where("truncated").collect()}
+
+    got, entries, cut = states(["a", "bad"], max_depth=2)
+    assert got == [("a", 0, "sitemapindex"), ("a", 1, "cycle"), ("b", 1, "sitemapindex"), ("bad", 0, "invalid"), ("c", 1, "urlset"), ("d", 2, "sitemapindex"), ("e", 3, "depth_limit"), ("gone", 1, "not_recorded")]
+    assert entries == [("c", "p"), ("c", "q")] and cut == set()
+    got, entries, cut = states(["a"], max_children=1)
+    assert [x[0] for x in got] == ["a", "b", "c"] and entries == [("c", "p"), ("c", "q")] and cut == {"a", "b"}

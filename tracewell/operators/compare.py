@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import difference_categories
+
 BOTH, NEW, GONE = "observed_in_both", "newly_observed", "not_observed_in_target"
 
 
@@ -111,6 +115,47 @@ def page_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
     return out.withColumn("primary_change_class", cls).withColumn("response_time_ms_delta", delta("response_time_ms"))
 
 
+#: The fields of each flag of a page, the flags that are technical, and the fields of the metadata state.
+PAGE_FLAGS = {
+    "content_changed": ["content_hash"], "head_changed": ["head_hash"], "http_status_changed": ["http_status"], "fetch_state_changed": ["fetch_state"], "final_url_changed": ["final_url"], "redirect_state_changed": ["redirects"], "content_type_changed": ["content_type"],
+    "title_changed": ["page_title"], "canonical_changed": ["canonical_url"], "robots_changed": ["robots_directives"], "language_changed": ["language"], "depth_changed": ["crawl_depth"], "inbound_links_changed": ["inbound_sources", "inbound_occurrences"],
+    "outbound_links_changed": ["outbound_targets", "outbound_occurrences"], "embedded_resources_changed": ["embedded_resource_count"], "rendered_state_changed": ["rendered_capture_state"],
+    "rendered_counts_changed": ["rendered_network_count", "rendered_console_count", "rendered_page_error_count", "rendered_artifact_count"],
+}
+TECHNICAL_FLAGS = ["http_status_changed", "fetch_state_changed", "final_url_changed", "redirect_state_changed", "content_type_changed", "depth_changed", "inbound_links_changed", "outbound_links_changed", "embedded_resources_changed", "rendered_state_changed", "rendered_counts_changed"]
+METADATA = ["page_title", "meta_description", "canonical_url", "robots_directives", "language"]
+SOURCE = {"content_hash": "exact_sha256", "normalized_hash": "normalized_sha256", "dependency_hash": "dependency_sha256", "document_hash": "document_sha256", "volatile": "volatile", "versions": "versions"}
+DELTAS = ["response_time_ms", "network_bytes", "raw_html_size", "stored_html_size"]
+
+
+def full_page_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
+    """Pages of two projections by resource with all 17 flags, the five states, difference categories, class and deltas.
+
+    A side has resource_id, the fields of ``PAGE_FLAGS``, ``METADATA``, ``SOURCE`` (the analysis of its source, null where
+    there is none) and ``DELTAS``; whatever it lacks counts as unknown on that side. ``content_changed`` follows the
+    document state, not the bytes."""
+    fields = list(dict.fromkeys([f for fs in PAGE_FLAGS.values() for f in fs] + METADATA + [*SOURCE] + DELTAS))
+
+    def side(df: DataFrame) -> DataFrame:
+        kinds = {"volatile": "array<string>", "versions": "array<string>"}
+        return df.withColumns({f: F.lit(None).cast(kinds.get(f, "string")) for f in fields if f not in df.columns})
+
+    out = full_outer(side(baseline), side(target), ["resource_id"], fields)
+    exact = equality_state("content_hash")
+    out = out.withColumns({"exact_source_state": exact, "normalized_source_state": source_state("normalized_hash", exact), "document_content_state": source_state("document_hash", exact), "metadata_state": tuple_state(METADATA), "head_state": equality_state("head_hash")})
+    flags = {n: F.col("document_content_state") == "changed" if n == "content_changed" else reduce(lambda a, b: a | b, [differs(f) for f in fs]) for n, fs in PAGE_FLAGS.items()}
+    out = out.withColumns(flags)
+    b, t = (F.struct(*[F.col(f"{s}_{f}").alias(k) for f, k in SOURCE.items()]) for s in ("b", "t"))
+    analysed = (F.col("presence_state") == BOTH) & F.col("b_normalized_hash").isNotNull() & F.col("t_normalized_hash").isNotNull()
+    none = F.array().cast("array<string>")
+    out = out.withColumn("source_difference_categories", F.when(analysed, difference_categories(b, t, F.col("metadata_state") == "changed")).otherwise(none))
+    technical = reduce(lambda a, b: a | b, [F.col(f) for f in TECHNICAL_FLAGS]) | F.arrays_overlap("source_difference_categories", F.array(F.lit("dependency"), F.lit("unclassified")))
+    out = out.withColumn("technical_state", F.when(F.col("presence_state") != BOTH, "not_applicable").when(technical, "changed").otherwise("same"))
+    states = [F.col(c) for c in ("document_content_state", "metadata_state", "technical_state", "exact_source_state", "normalized_source_state")]
+    out = out.withColumn("primary_change_class", change_class(*states)).withColumn("changed_field_count", sum((F.col(n).cast("long") for n in PAGE_FLAGS), F.lit(0).cast("long")))
+    return out.withColumns({f"{d}_delta": F.col(f"t_{d}").cast("double") - F.col(f"b_{d}").cast("double") for d in DELTAS})
+
+
 def presence_detail(pairs: DataFrame, other: DataFrame, side: str) -> DataFrame:
     """For pages that one side lacks: what that side saw instead, from its latest snapshot that was no page
     (``other``: resource_id, snapshot_id, fetch_state)."""
@@ -129,7 +174,7 @@ def resource_diff(baseline: DataFrame, target: DataFrame, fields: list[str]) ->
 
 
 def link_diff(baseline: DataFrame, target: DataFrame, fields: list[str]) -> DataFrame:
-    """Links by (source resource, target resource). Several snapshots of a source: the greatest counts."""
+    """Links by (source resource, target resource). Of several snapshots of a source the one with the greatest id counts."""
     keys = ["source_resource_id", "target_resource_id"]
 
     def one(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .projection import stored
+
 # ---- identities and occurrences ----
 
 
@@ -108,7 +110,7 @@ def document_tree(references: DataFrame, roots: DataFrame, max_depth: int = 5, m
         cycle = F.array_contains("path", F.col("id"))
         loops = step.where(cycle).select("id", "depth", F.concat("path", F.array("id")).alias("path"), F.lit(True).alias("cycle"))
         fresh = step.where(~cycle).groupBy("id", "depth").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        frontier = fresh.select("id", "depth", F.concat("path", F.array("id")).alias("path"), F.lit(False).alias("cycle"))
+        frontier = stored(fresh.select("id", "depth", F.concat("path", F.array("id")).alias("path"), F.lit(False).alias("cycle")), "tree-level")
         found = found.unionByName(frontier).unionByName(loops)
         seen = seen.union(frontier.select("id"))
     if max_documents is not None:
@@ -122,7 +124,7 @@ def crawl_order(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: i
     frontier = found
     for depth in range(1, max_depth + 1):
         step = links.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)), "crawl-level")
         found = found.unionByName(frontier)
     return found.orderBy("depth", "id").limit(max_pages)
 

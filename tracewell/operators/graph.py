@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REGIONS = ("header", "footer", "nav", "aside", "main")
@@ -101,10 +101,13 @@ def counter_maps(counters: DataFrame) -> DataFrame:
 def anchor_samples(occurrences: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` distinct trimmed anchors of each edge, in order.
 
-    Anchors are made distinct before they are collected, so an edge with many occurrences stays small."""
+    Anchors are made distinct, then ranked with a limit that each task applies before the shuffle, so that no more than
+    ``n`` of an edge are ever collected."""
     text = F.trim("anchor_text")
     distinct = occurrences.where(F.coalesce(text, F.lit("")) != "").select("source_snapshot_id", "target_resource_id", text.alias("anchor")).distinct()
-    return distinct.groupBy("source_snapshot_id", "target_resource_id").agg(F.slice(F.array_sort(F.collect_list("anchor")), 1, n).alias("anchors"))
+    rank = F.row_number().over(Window.partitionBy("source_snapshot_id", "target_resource_id").orderBy("anchor"))
+    first = distinct.withColumn("rank", rank).where(F.col("rank") <= n)
+    return first.groupBy("source_snapshot_id", "target_resource_id").agg(F.array_sort(F.collect_list("anchor")).alias("anchors"))
 
 
 def node_metrics(snapshots: DataFrame, occurrences: DataFrame, resources: DataFrame) -> DataFrame:

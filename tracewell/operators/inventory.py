@@ -119,7 +119,8 @@ def seeds(origins: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def seed_fingerprint(seed_rows: DataFrame) -> DataFrame:
-    """One hash over all seeds in order of their key: rows are hashed first, then the sorted hashes of 256 buckets."""
+    """One hash over all seeds, whatever their order: their hashes are added up in parts, as in ``projection.checksum``."""
+    from .projection import hash_sums
+
     h = F.sha2(F.concat_ws("\x1f", "policy_key", "url", F.col("priority").cast("string")), 256).alias("h")
-    buckets = seed_rows.select(h).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("x"))
-    return buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "x"))), ""), 256).alias("fingerprint"))
+    return hash_sums(seed_rows.select(h)).select(F.col("x").alias("fingerprint"))

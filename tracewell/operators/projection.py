@@ -6,12 +6,14 @@ one small manifest row written last. Readers take the newest compatible ready bu
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, inventory
 
 VERSION = "projection-1"
 STATES = ("queued", "building", "ready", "failed", "cancelled", "superseded")
@@ -32,6 +34,11 @@ def link_projection(occurrences: DataFrame, snapshots: DataFrame) -> DataFrame:
     return graph.edges(occurrences, snapshots).join(wide, keys, "left").join(graph.anchor_samples(occurrences), keys, "left")
 
 
+def resource_projection(evidence: DataFrame) -> DataFrame:
+    """The inventory's rows, one a resource, to be stored: lists read them with their filters pushed down."""
+    return inventory.resource_inventory(evidence)
+
+
 def scan_summary(snapshots: DataFrame) -> DataFrame:
     """Per scan: pages, successes (2xx and 3xx), failures, statusless, greatest depth, mean response time."""
     ok = F.col("http_status").between(200, 399)
@@ -49,16 +56,31 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def checksum(df: DataFrame, columns: list[str] | None = None, buckets: int = 256) -> DataFrame:
+def checksum(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One SHA-256 over a whole table, whatever its order or partitioning.
 
-    Row hashes are counted per value, ordered within buckets of their first digits, and the bucket hashes joined; a
-    bucket's list is a 256th of the table's distinct hashes, so ``buckets`` grows with the table (by powers of 16)."""
-    digits = max(1, (buckets - 1).bit_length() // 4)
-    hashed = df.select(row_hash(columns or df.columns).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    line = F.concat("h", F.lit(":"), F.col("n").cast("string"))
-    parts = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("x"))
-    return parts.agg(F.sha2(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit("="), "x"))), ","), F.lit("")), 256).alias("checksum"))
+    Row hashes are added up in parts of 60 bits, so that a table of any size is a handful of sums (repeated rows count
+    as often as they stand); the hash is over the sums and the number of rows."""
+    return hash_sums(df.select(row_hash(columns or df.columns).alias("h"))).select(F.col("x").alias("checksum"))
+
+
+def hash_sums(hashes: DataFrame) -> DataFrame:
+    """x: SHA-256 over the number of the hashes ``h`` (64 hex digits) and their sums in parts of 60 bits."""
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(5)]
+    return hashes.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("x"))
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for builds in the shared place that ``spark.checkpoint.dir`` names; the warehouse where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: a loop's plan stays short, and lost executors cost no level twice."""
+    folder = shared_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 class ProjectionStore:
@@ -76,8 +98,9 @@ class ProjectionStore:
             return self.spark.createDataFrame([], MANIFEST)
 
     def _record(self, build_id: str, scan_id: int, status: str, rows: int = 0, digest: str = "") -> None:
+        # The time in nanoseconds, so that builders that run side by side don't take the same number.
         last = self.manifest().agg(F.max("sequence")).first()[0] or 0
-        row = [(build_id, scan_id, VERSION, status, rows, digest, last + 1)]
+        row = [(build_id, scan_id, VERSION, status, rows, digest, max(last + 1, time.time_ns()))]
         self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
     def build(self, build_id: str, scan_id: int, df: DataFrame, expected_rows: int | None = None) -> str:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, graph, projection
+from ..operators import compare, graph, lists, projection
 from ..sources.fixtures import Views
 from .book import Book
 
@@ -71,6 +71,56 @@ def presence_details(v: Views) -> DataFrame:
     return compare.presence_detail(_pages(v), other, "t").select("resource_id", "t_presence_detail")
 
 
+FULL_SIDE = """SELECT s.resource_id, http_status, fetch_state, crawl_depth, md5('c' || crawl_depth) AS content_hash, CASE WHEN s.resource_id % 5 <> 0 THEN md5('n' || crawl_depth % 4) END AS normalized_hash, CASE WHEN s.resource_id % 5 <> 0 THEN md5('v' || crawl_depth % 2) END AS dependency_hash,
+    CASE WHEN s.resource_id % 5 <> 0 THEN md5('d' || crawl_depth % 3) END AS document_hash, md5('h' || crawl_depth % 2) AS head_hash, 'u' || response_time_ms % 50 AS final_url, response_time_ms % 3 AS redirects, 'T' || response_time_ms % 2 AS page_title, 'D' || response_time_ms % 5 AS meta_description,
+    CASE WHEN response_time_ms % 7 = 0 THEN 'fr' END AS language, coalesce(n.occ, 0) AS outbound_occurrences, coalesce(n.targets, 0) AS outbound_targets, response_time_ms % 4 AS embedded_resource_count, fetch_state AS rendered_capture_state, response_time_ms % 6 AS rendered_network_count, response_time_ms,
+    ['x' || crawl_depth % 4] AS volatile, ['y' || crawl_depth % 2] AS versions FROM snapshots s LEFT JOIN (SELECT source_resource_id, count(*) AS occ, count(DISTINCT target_resource_id) AS targets FROM occurrences WHERE scan_id = {scan} GROUP BY 1) n ON n.source_resource_id = s.resource_id WHERE scan_id = {scan}"""
+FULL_FLAGS = {
+    "http_status_changed": ["http_status"], "fetch_state_changed": ["fetch_state"], "final_url_changed": ["final_url"], "redirect_state_changed": ["redirects"], "depth_changed": ["crawl_depth"], "outbound_links_changed": ["outbound_occurrences", "outbound_targets"], "embedded_resources_changed": ["embedded_resource_count"],
+    "rendered_state_changed": ["rendered_capture_state"], "rendered_counts_changed": ["rendered_network_count"], "head_changed": ["head_hash"], "title_changed": ["page_title"], "language_changed": ["language"],
+}
+_differ = lambda fs: "(" + " OR ".join(f"b.{f} IS DISTINCT FROM t.{f}" for f in fs) + ")"
+_known = lambda h: f"CASE WHEN NOT paired THEN 'not_applicable' WHEN b.{h} IS NOT NULL AND t.{h} IS NOT NULL THEN CASE WHEN b.{h} = t.{h} THEN 'same' ELSE 'changed' END WHEN b.content_hash = t.content_hash THEN 'same' ELSE 'unavailable' END"
+FULL_SQL = {
+    "fb": FULL_SIDE.format(scan=BASE), "ft": FULL_SIDE.format(scan=TARGET),
+    "fp": "SELECT coalesce(b.resource_id, t.resource_id) AS resource_id, b.resource_id IS NOT NULL AND t.resource_id IS NOT NULL AS paired, " + ", ".join(f"paired AND {_differ(fs)} AS {n}" for n, fs in FULL_FLAGS.items())
+    + f", CASE WHEN NOT paired THEN 'not_applicable' WHEN b.content_hash = t.content_hash THEN 'same' ELSE 'changed' END AS exact_source_state, {_known('normalized_hash')} AS normalized_source_state, {_known('document_hash')} AS document_content_state, CASE WHEN NOT paired THEN 'not_applicable' WHEN {_differ(['page_title', 'meta_description', 'language'])} THEN 'changed' ELSE 'same' END AS metadata_state,"
+    + f" paired AND b.normalized_hash IS NOT NULL AND t.normalized_hash IS NOT NULL AND {_differ(['content_hash', 'normalized_hash'])} AS asked, b.versions IS DISTINCT FROM t.versions AS versions_differ, b.dependency_hash IS DISTINCT FROM t.dependency_hash AS rest_differs, CAST(t.response_time_ms - b.response_time_ms AS DOUBLE) AS response_time_ms_delta FROM fb b FULL JOIN ft t ON b.resource_id = t.resource_id",
+    "fq": "SELECT *, document_content_state = 'changed' AS content_changed, CASE WHEN NOT paired THEN 'not_applicable' WHEN " + " OR ".join(n for n in list(FULL_FLAGS)[:9]) + " OR (asked AND (versions_differ OR rest_differs AND document_content_state <> 'changed' AND metadata_state <> 'changed')) THEN 'changed' ELSE 'same' END AS technical_state FROM fp",
+    "fd": "SELECT *, " + " + ".join(f"CAST({n} AS BIGINT)" for n in [*FULL_FLAGS, "content_changed"])
+    + " AS changed_field_count, CASE WHEN NOT paired THEN 'not_applicable' WHEN document_content_state = 'changed' THEN 'substantive_change' WHEN metadata_state = 'changed' THEN 'metadata_change' WHEN technical_state = 'changed' THEN 'technical_change' WHEN exact_source_state = 'changed' AND normalized_source_state = 'same' THEN 'normalization_only' WHEN exact_source_state = 'same' THEN 'no_tracked_change' ELSE 'indeterminate' END AS primary_change_class FROM fq",
+}
+FULL_SHOWN = ["resource_id", *FULL_FLAGS, "content_changed", "exact_source_state", "normalized_source_state", "document_content_state", "metadata_state", "technical_state", "primary_change_class", "changed_field_count", "response_time_ms_delta"]
+
+
+def full_side(v: Views, scan: int) -> DataFrame:
+    """One scan's pages with the fields that the full comparison takes."""
+    o = graph.page_links(v.occurrences(), scan).groupBy(F.col("source_resource_id").alias("resource_id")).agg(F.count("*").alias("outbound_occurrences"), F.countDistinct("target_resource_id").alias("outbound_targets"))
+    s = v.snapshots().where(F.col("scan_id") == scan).join(o, "resource_id", "left").fillna(0, subset=["outbound_occurrences", "outbound_targets"])
+    depth, ms = F.col("crawl_depth"), F.col("response_time_ms")
+
+    def text(prefix: str, x: Column) -> Column:
+        return F.concat(F.lit(prefix), x.cast("string"))
+
+    known = lambda x: F.when(F.col("resource_id") % 5 != 0, x)
+    return s.select(
+        "resource_id", "http_status", "fetch_state", "crawl_depth", F.md5(text("c", depth)).alias("content_hash"), known(F.md5(text("n", depth % 4))).alias("normalized_hash"), known(F.md5(text("v", depth % 2))).alias("dependency_hash"), known(F.md5(text("d", depth % 3))).alias("document_hash"),
+        F.md5(text("h", depth % 2)).alias("head_hash"), text("u", ms % 50).alias("final_url"), (ms % 3).alias("redirects"), text("T", ms % 2).alias("page_title"), text("D", ms % 5).alias("meta_description"), F.when(ms % 7 == 0, "fr").alias("language"), "outbound_occurrences", "outbound_targets",
+        (ms % 4).alias("embedded_resource_count"), F.col("fetch_state").alias("rendered_capture_state"), (ms % 6).alias("rendered_network_count"), "response_time_ms", F.array(text("x", depth % 4)).alias("volatile"), F.array(text("y", depth % 2)).alias("versions"),
+    )
+
+
+@BOOK.query(f"SELECT {', '.join(FULL_SHOWN)} FROM fd", "snapshots", "occurrences", extra=FULL_SQL)
+def page_diff_all_flags(v: Views) -> DataFrame:
+    return compare.full_page_diff(full_side(v, BASE), full_side(v, TARGET)).select(*FULL_SHOWN)
+
+
+@BOOK.query("SELECT resource_id, primary_change_class, changed_field_count FROM fd WHERE (primary_change_class IN ('substantive_change', 'metadata_change', 'technical_change') OR NOT paired) AND redirect_state_changed AND content_changed ORDER BY changed_field_count DESC, resource_id LIMIT 250", "snapshots", "occurrences", extra=FULL_SQL)
+def list_compared_pages(v: Views) -> DataFrame:
+    d = compare.full_page_diff(full_side(v, BASE), full_side(v, TARGET)).withColumn("id", F.col("resource_id")).withColumn("content_state", F.col("document_content_state"))
+    return lists.COMPARED_PAGES.read(d, "changed_field_count", True, 250, changed_only=True, redirect_changed=True, content="changed").select("resource_id", "primary_change_class", "changed_field_count")
+
+
 R_FIELDS = ["http_status", "fetch_state", "crawl_depth", "page_title"]
 R_CHANGED = [f"CASE WHEN presence_state = 'observed_in_both' AND {n} THEN '{c}' END" for n, c in list(FLAGS.items())[:4]]
 

@@ -197,10 +197,10 @@ def site_latest_scan(v: Views) -> DataFrame:
     return s.join(F.broadcast(v.table("nation").select(F.col("n_nationkey").alias("site_id"), F.col("n_name").alias("site"))), "site_id")
 
 
-@BOOK.query("SELECT n_nationkey AS site_id, r_name AS site_group FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(n_name) LIKE '%an%' AND r_name IN ('ASIA', 'EUROPE') ORDER BY n_name, n_nationkey LIMIT 50")
+@BOOK.query("SELECT n_nationkey AS site_id, r_name AS site_group FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(n_name) LIKE '%1%' AND n_regionkey IN (1, 2, 3) ORDER BY n_name, n_nationkey LIMIT 50")
 def site_filters(v: Views) -> DataFrame:
     sites = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = sites.where(catalog.search_any("AN", "n_name") & F.col("r_name").isin("ASIA", "EUROPE"))
+    rows = sites.where(catalog.search_any("1", "n_name") & F.col("n_regionkey").isin(1, 2, 3))
     return catalog.page(rows.orderBy("n_name", "n_nationkey")).select(F.col("n_nationkey").alias("site_id"), F.col("r_name").alias("site_group"))
 
 
@@ -316,10 +316,10 @@ def rule_provenance(v: Views) -> DataFrame:
 # ---- retention and identity ----
 
 
-@BOOK.query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND p_partkey NOT IN (SELECT doc_id FROM labels)")
+@BOOK.query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AND p_partkey NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def deletable_resources(v: Views) -> DataFrame:
     c = v.table("part").select(F.col("p_partkey").alias("id"))
-    return retention.unreferenced(c, "id", [v.table("lineitem").where("l_returnflag = 'R'").select("l_partkey"), v.table("orders").where("o_orderstatus = 'P'").select("o_custkey"), v.table("labels").select("doc_id")])
+    return retention.unreferenced(c, "id", [v.table("lineitem").where("l_quantity > 49").select("l_partkey"), v.table("orders").where("o_totalprice > 400000").select("o_custkey"), v.table("labels").where("toxic = 1").select("doc_id")])
 
 
 @BOOK.query("SELECT sha256(text) AS sha256, min(octet_length(encode(text))) AS size, count(*) AS rows FROM documents GROUP BY 1")

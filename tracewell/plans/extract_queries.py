@@ -46,9 +46,9 @@ def scope_decisions(v: Views) -> DataFrame:
     return p.select("page_id", urls.scope_decision(F.col("u.scheme"), F.col("u.host"), F.col("u.path"), scope).alias("decision"))
 
 
-@BOOK.query("SELECT candidate, count(*) AS urls, min(url) AS first_url FROM (SELECT DISTINCT url, regexp_replace(regexp_replace(lower(url), '^https?://(www\\.)?', ''), '[?#].*$', '') AS candidate FROM pages) GROUP BY 1 HAVING count(*) > 1")
+@BOOK.query("SELECT candidate, count(*) AS urls, min(url) AS first_url FROM (SELECT DISTINCT url, regexp_replace(regexp_replace(lower(url), '^https?://(www\\.)?', ''), '[/?#].*$', '') AS candidate FROM pages) GROUP BY 1 HAVING count(*) > 1")
 def identity_collisions(v: Views) -> DataFrame:
-    candidate = F.regexp_replace(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", ""), r"[?#].*$", "")
+    candidate = F.regexp_replace(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", ""), r"[/?#].*$", "")
     return retention.identity_collisions(v.table("pages"), "url", candidate).select("candidate", "urls", "first_url")
 
 
@@ -113,9 +113,15 @@ def dom_paths(v: Views) -> DataFrame:
     return markup.page_anchors(v.table("pages")).select("page_id", "position", "dom_path")
 
 
-@BOOK.query()
+@BOOK.query(
+    """SELECT page_id, tag, attribute, raw, CASE WHEN raw LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || raw ELSE raw END AS resolved FROM (
+    SELECT page_id, url, 'img' AS tag, 'src' AS attribute, '/i/' || page_id || '.png' AS raw FROM pages UNION ALL SELECT page_id, url, 'script', 'src', 'https://cdn.test/s.js' FROM pages UNION ALL SELECT page_id, url, 'link', 'href', '/s.css' FROM pages)"""
+)
 def page_references(v: Views) -> DataFrame:
-    return markup.page_references(v.table("pages"))
+    """References of the pages, to which an image, a script and a style sheet are added."""
+    tail = F.concat(F.lit('<img src="/i/'), F.col("page_id").cast("string"), F.lit('.png"><script src="https://cdn.test/s.js"></script><link rel="stylesheet" href="/s.css">'))
+    pages = v.table("pages").where("html is not null").withColumn("html", F.concat("html", tail))
+    return markup.page_references(pages).select("page_id", "tag", "attribute", "raw", "resolved")
 
 
 @BOOK.query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evidence, lists, observations, rules
+from ..operators import evidence, lists, observations, projection, rules
 from ..sources.fixtures import Views
 from .book import Book
 
@@ -86,6 +86,29 @@ def list_resources(v: Views) -> DataFrame:
     return lists.RESOURCES.read(_inventory(v), "occurrence_count", True, 250, **asked).select("resource_id", "occurrence_count", "source_page_count")
 
 
+def _stored(v: Views, scan_id: int, rows: DataFrame) -> DataFrame:
+    """``rows`` as a validated, active build, read back; filters and columns are pushed into its files."""
+    store = projection.ProjectionStore(v.spark, projection.shared_folder(v.spark, "projection"))
+    store.build("first", scan_id, rows)
+    return store.read(scan_id, lambda: rows)
+
+
+@BOOK.query(
+    "SELECT resource_id, occurrence_count, source_page_count FROM inv WHERE kind = 'image' AND mime_type ILIKE '%X-2%' AND observed_count > 0 AND out_scope_count > 0 AND declared_size >= 100 AND declared_size <= 100000 AND source_page_count > 1 AND host <> 'brand#13' AND (normalized_url ILIKE '%a%' OR path ILIKE '%a%') ORDER BY occurrence_count DESC, resource_id LIMIT 250",
+    "snapshots", "occurrences", "resources", extra=INVENTORY,
+)
+def list_resources_projected(v: Views) -> DataFrame:
+    """The same list over a stored build of the inventory."""
+    asked = dict(kind="image", mime_type="X-2", evidence_state="observed", scope_state="out_of_scope", min_size=100, max_size=100_000, multiple_sources=True, external_to="Brand#13", search="A")
+    return lists.RESOURCES.read(_stored(v, 0, _inventory(v)), "occurrence_count", True, 250, **asked).select("resource_id", "occurrence_count", "source_page_count")
+
+
+@BOOK.query("SELECT id, requested_url, inbound_occurrences FROM pages_list WHERE requested_url ILIKE '%1%' AND host = 'building' AND crawl_depth BETWEEN 2 AND 4 AND error_type IS NULL AND rendered_state IS NULL AND path ILIKE '/build%' ORDER BY inbound_occurrences DESC, id DESC LIMIT 200", "snapshots", "resources", "occurrences", extra=PAGES)
+def list_pages_projected(v: Views) -> DataFrame:
+    """The same list over a stored build of the pages."""
+    return lists.PAGES.read(_stored(v, 0, _pages(v)), "inbound", True, 200, search="1", host="BUILDING", min_depth=2, max_depth=4, error_state="without_errors", rendered_state="not_requested", path_prefix="/build").select("id", "requested_url", "inbound_occurrences")
+
+
 EDGES = {
     "sides": "SELECT scan_id, source_resource_id AS s, target_resource_id AS t, count(*) AS n, count(*) FILTER (WHERE link_role = 'A') AS a FROM dense WHERE scan_id IN (1995, 1996) GROUP BY 1, 2, 3",
     "diffs": """SELECT coalesce(b.s, g.s) * 100 + coalesce(b.t, g.t) AS id, CASE WHEN b.s IS NULL THEN 'newly_observed' WHEN g.s IS NULL THEN 'not_observed' ELSE 'observed_in_both' END AS presence_state, coalesce(b.a, 0) AS ba, coalesce(g.a, 0) AS ta, coalesce(b.n, 0) AS baseline_occurrence_count, coalesce(g.n, 0) AS target_occurrence_count

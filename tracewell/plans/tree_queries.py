@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, urls
 from ..operators import evidence, graph
+from ..sources import documents as sources
 from ..sources.fixtures import Views
 from .book import Book
 
@@ -77,9 +78,13 @@ def node_categories(v: Views) -> DataFrame:
     return s.select("id", *[evidence.category_key(k).alias(n) for k, n in (("status", "status"), ("depth", "depth"), ("fetch_state", "fetch"), ("path", "path"))])
 
 
-@BOOK.query("SELECT 0 AS faults")
+@BOOK.query("SELECT page_id, count(*) AS n FROM pages WHERE html LIKE '%<h1>%' AND page_id % 2 = 0 GROUP BY 1")
 def section_validation(v: Views) -> DataFrame:
-    return evidence.section_faults(markup.page_sections(v.table("pages"))).agg(F.count("*").cast("int").alias("faults"))
+    """The first headings of every second page say that they are their own parents; these pages, and no others, are faulty."""
+    s = markup.page_sections(v.table("pages"))
+    broken = (F.col("page_id") % 2 == 0) & (F.col("level") == 1)
+    moved = s.withColumn("parent", F.when(broken, F.col("position")).otherwise(F.col("parent")))
+    return evidence.section_faults(moved).groupBy("page_id").agg(F.lit(1).cast("long").alias("n"))
 
 
 @BOOK.query()
@@ -105,3 +110,29 @@ def linked_references(v: Views) -> DataFrame:
 def graph_totals(v: Views) -> DataFrame:
     e = graph.edges(v.occurrences(), v.snapshots()).agg(F.count("*").alias("n")).select(F.lit("edges").alias("kind"), "n")
     return e.union(v.snapshots().agg(F.count("*").alias("n")).select(F.lit("nodes"), "n"))
+
+
+@BOOK.query("SELECT 'n' || c_nationkey AS sitemap_url, 2 AS depth, 'c' || c_custkey AS loc FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region))")
+def sitemap_expansion(v: Views) -> DataFrame:
+    """Customers as entries of their nations' sitemaps, these as children of their regions', these of one index, which each region names again."""
+    return sources.expand_sitemaps(_sitemaps(v), v.spark.createDataFrame([("root",)], "url string"))[1].select("sitemap_url", "depth", "loc")
+
+
+@BOOK.query("SELECT 'root' AS url, 0 AS depth, 'sitemapindex' AS state UNION ALL SELECT 'root', 2, 'cycle' UNION ALL SELECT 'r' || r_regionkey, 1, 'sitemapindex' FROM region UNION ALL SELECT 'n' || n_nationkey, 2, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'urlset' ELSE 'not_recorded' END FROM nation")
+def sitemap_states(v: Views) -> DataFrame:
+    return sources.expand_sitemaps(_sitemaps(v), v.spark.createDataFrame([("root",)], "url string"))[0].select("url", "depth", "state")
+
+
+def _sitemaps(v: Views) -> DataFrame:
+    """Recorded bodies (url, body): an index of regions, an index of nations for each, a list of customers for each nation."""
+
+    def body(rows: DataFrame, url, loc, kind: str, *more: str) -> DataFrame:
+        item = "url" if kind == "urlset" else "sitemap"
+        part = F.concat(F.lit(f"<{item}><loc>"), loc, F.lit(f"</loc></{item}>"))
+        text = F.concat(F.lit(f"<{kind}>"), F.array_join(F.collect_list("part"), ""), F.lit("".join(more) + f"</{kind}>"))
+        return rows.select(url.alias("url"), part.alias("part")).groupBy("url").agg(text.cast("binary").alias("body"))
+
+    named = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    root = body(v.table("region"), F.lit("root"), named("r", "r_regionkey"), "sitemapindex")
+    regions = body(v.table("nation"), named("r", "n_regionkey"), named("n", "n_nationkey"), "sitemapindex", "<sitemap><loc>root</loc></sitemap>")
+    return root.union(regions).union(body(v.table("customer"), named("n", "c_nationkey"), named("c", "c_custkey"), "urlset"))
