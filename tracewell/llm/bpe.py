@@ -51,7 +51,7 @@ def check(spec: dict) -> None:
 class ByteBpe:
     """A byte-level BPE vocabulary as arrays."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         check(spec)
