@@ -1,4 +1,4 @@
-"""URL identity, site policy keys and scope decisions (inventory rows F1-F7, F28, F32, F36, SC10).
+"""URL identity, site policy keys and scope decisions (inventory rows F1-F7, F28, F32, F35, F36, SC10).
 
 URL identity needs IDNA and percent rules that ``parse_url`` lacks, so it runs as Arrow-batched pandas functions;
 everything that works on an identity that exists already is built-in expressions.
@@ -227,3 +227,45 @@ def edge_id(source: Column, target: Column) -> Column:
 def parse_edge_id(edge: Column) -> Column:
     p = F.split(edge, "-")
     return F.struct(F.try_element_at(p, F.lit(1)).cast("long").alias("source_snapshot_id"), F.try_element_at(p, F.lit(2)).cast("long").alias("target_resource_id"))
+
+
+def site_base(raw: str) -> str:
+    """A site's base URL: https where no scheme is given, host in lower-case ASCII, no default port, no user, no fragment."""
+    text = raw.strip()
+    parts = urlsplit(text if "://" in text else f"https://{text}")
+    if parts.scheme not in DEFAULT_PORTS or not parts.hostname:
+        raise BadUrl("a site's base URL has http or https and a host")
+    try:
+        host, port = parts.hostname.encode("idna").decode("ascii").lower(), parts.port
+    except (UnicodeError, ValueError) as e:
+        raise BadUrl(str(e)) from e
+    return Identity(parts.scheme, host, None if port in (None, 0, DEFAULT_PORTS[parts.scheme]) else port, parts.path or "/", parts.query).url
+
+
+def site_base_url(raw: Column) -> Column:
+    """``site_base`` of a column; null where there is none."""
+
+    def one(x: object) -> str | None:
+        try:
+            return site_base(x) if isinstance(x, str) else None
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(raw)
+
+
+def classification_key(value: Column, fallback: str, most: int = 64) -> Column:
+    """A site's classification value with single spaces; ``fallback`` for an empty one, an error for one that is too long."""
+    key = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+    too_long = F.raise_error(F.lit(f"classification values have {most} characters or fewer")).cast("string")
+    return F.when(F.coalesce(F.length(key), F.lit(0)) == 0, fallback).when(F.length(key) > most, too_long).otherwise(key)
+
+
+def in_zone(instant: Column, zone: str | Column, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """A UTC instant (without a zone of its own) as it is shown in an IANA zone; "Not available" for null."""
+    zone = F.lit(zone) if isinstance(zone, str) else zone
+    return F.coalesce(F.date_format(F.convert_timezone(F.lit("UTC"), zone, instant.cast("timestamp_ntz")), pattern), F.lit("Not available"))

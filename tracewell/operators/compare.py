@@ -16,7 +16,7 @@ def eligible(baseline: dict, target: dict) -> None:
     """Raises unless the scans differ, belong to one site and are both finished."""
     if baseline["scan_id"] == target["scan_id"] or baseline["site_id"] != target["site_id"]:
         raise ValueError("two different scans of one site are needed")
-    if not {baseline["status"], target["status"]} <= {"completed", "completed_with_warnings", "failed", "cancelled"}:
+    if not {baseline["status"], target["status"]} <= {"completed", "completed_with_errors", "completed_with_warnings", "failed", "cancelled", "interrupted"}:
         raise ValueError("both scans must be finished")
 
 

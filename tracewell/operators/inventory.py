@@ -43,6 +43,36 @@ def resource_inventory(evidence: DataFrame) -> DataFrame:
     ).withColumn("evidence_state", F.when(F.col("observed_count") > 0, "observed").otherwise("discovered"))
 
 
+#: Fields of the latest observation that a resource's row shows.
+LATEST = ("snapshot_id", "final_url", "http_status", "mime_type", "filename", "declared_size", "network_bytes", "fetched_at", "response_time_ms")
+
+
+def resource_aggregate(evidence: DataFrame, resources: DataFrame) -> DataFrame:
+    """One full row a resource: all aggregates over its evidence, the latest observation's fields, its URL's parts.
+
+    ``evidence`` has the fields of ``LATEST``, kind, rule, extension, source_snapshot_id, in_scope, evidence_at (when a
+    reference was discovered) and scan_id; ``resources`` has id, normalized_url, host, path, path_extension. The latest
+    observation is one max_by over all its fields."""
+    observed = F.col("evidence") == "observed"
+    newest = F.max_by(F.when(observed, F.struct(*LATEST, "kind", "rule")), F.when(observed, F.struct("fetched_at", "evidence_id")))
+    rows = evidence.groupBy("resource_id").agg(
+        newest.alias("l"),
+        *[F.max(c).alias(f"any_{c}") for c in ("kind", "rule", "extension")],
+        F.count_if(observed).alias("observed_count"), F.count_if(~observed).alias("occurrence_count"),
+        *[F.count_if(F.col("evidence") == e).alias(f"{e}_count") for e in ("anchor", "embedded")],
+        F.count_if("in_scope").alias("in_scope_count"), F.count_if(~F.col("in_scope")).alias("out_scope_count"),
+        F.countDistinct("source_snapshot_id").alias("source_page_count"), F.countDistinct("scan_id").alias("scan_count"),
+        F.min(F.when(~observed, F.col("evidence_at"))).alias("first_discovered"), F.max(F.when(~observed, F.col("evidence_at"))).alias("latest_discovered"),
+    )
+    named = resources.select(F.col("id").alias("resource_id"), "normalized_url", "host", "path", "path_extension")
+    return rows.join(named, "resource_id").select(
+        "resource_id", "normalized_url", "host", "path", F.coalesce("any_extension", "path_extension").alias("file_extension"),
+        F.coalesce("l.kind", "any_kind", F.lit("unknown")).alias("kind"), F.coalesce("l.rule", "any_rule", F.lit("fallback_unknown")).alias("classification_source"),
+        *[F.col(f"l.{c}").alias(c) for c in LATEST],
+        "observed_count", "occurrence_count", "source_page_count", "anchor_count", "embedded_count", "in_scope_count", "out_scope_count", "first_discovered", "latest_discovered", "scan_count",
+    )
+
+
 def inventory_filter(inventory: DataFrame, kind: str | None = None, state: str | None = None, min_size: int | None = None, max_size: int | None = None, multi_source: bool | None = None) -> DataFrame:
     """Filters over the aggregates (after the grouping)."""
     out = inventory

@@ -24,6 +24,22 @@ def page_projection(snapshots: DataFrame, occurrences: DataFrame, resources: Dat
     return graph.node_metrics(snapshots, occurrences, resources)
 
 
+def full_page_projection(snapshots: DataFrame, occurrences: DataFrame, resources: DataFrame, blobs: DataFrame, embedded: DataFrame, seed_origins: DataFrame, rendered: DataFrame, starting_url: str = "") -> DataFrame:
+    """Pages with their link metrics, stored sizes (``blobs``: sha256, raw_size, stored_size), embedded references
+    (source_snapshot_id), seeds (resource_id, one row an origin) and rendering (snapshot_id, capture state and counts).
+
+    What is counted is grouped before it is joined, so that a page has one row."""
+    out = page_projection(snapshots, occurrences, resources)
+    counts = {"embedded_resource_count": (embedded, "source_snapshot_id", "id"), "seed_origin_count": (seed_origins, "resource_id", "resource_id")}
+    for name, (df, key, own) in counts.items():
+        n = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias(name))
+        out = out.join(n, out[own] == n["__key"], "left").drop("__key").fillna(0, subset=[name])
+    r = rendered.withColumnRenamed("snapshot_id", "__snapshot")
+    out = out.join(blobs.select("sha256", "raw_size", "stored_size"), "sha256", "left").join(r, out["id"] == r["__snapshot"], "left").drop("__snapshot")
+    out = out.fillna(0, subset=[c for c in rendered.columns if c.startswith("rendered_") and c.endswith("_count")])
+    return out.withColumn("is_seed", F.col("seed_origin_count") > 0).withColumn("is_starting_page", graph.starting_page(F.col("normalized_url"), starting_url))
+
+
 def link_projection(occurrences: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Edges with their counts, role, scope and region maps and anchor samples."""
     keys = ["source_snapshot_id", "target_resource_id"]
@@ -83,6 +99,12 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class ProjectionStore:
     """Builds of one kind under a folder."""
 
@@ -114,6 +136,7 @@ class ProjectionStore:
             if expected_rows is not None and rows != expected_rows:
                 raise ValueError(f"{rows} rows stored, {expected_rows} expected")
         except Exception:
+            remove_folder(self.spark, path)
             self._record(build_id, scan_id, "failed")
             raise
         self._record(build_id, scan_id, "ready", rows, digest)
@@ -132,7 +155,10 @@ class ProjectionStore:
     def read(self, scan_id: int, dynamic: Callable[[], DataFrame]) -> DataFrame:
         """The active build of a scan, or the dynamic query where none is compatible; both have the same columns."""
         build = self.active(scan_id)
-        return self.spark.read.parquet(f"{self.folder}/data/build_id={build}") if build else dynamic()
+        return self.stored(build) if build else dynamic()
+
+    def stored(self, build_id: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/data/build_id={build_id}")
 
     def status(self, scan_id: int) -> str:
         """active, else the newest failed or cancelled, else version_mismatch, else missing."""
@@ -144,9 +170,10 @@ class ProjectionStore:
         return "version_mismatch" if rows else "missing"
 
     def delete(self, scan_id: int) -> None:
-        """Cancel all builds of a scan; their folders can go."""
+        """Cancel all builds of a scan and remove their folders."""
         for r in self.states().where((F.col("scan_id") == scan_id) & F.col("status").isin("ready", "superseded")).collect():
             self._record(r.build_id, scan_id, "cancelled")
+            remove_folder(self.spark, f"{self.folder}/data/build_id={r.build_id}")
 
 
 def result_tag(path: str, query: str, version: str, build_id: str) -> str:

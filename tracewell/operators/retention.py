@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,112 @@ def deletion_impact(snapshots: DataFrame, occurrences: DataFrame, scan_id: int)
     return rows.agg(*[F.max(name).alias(name) for name in kinds])
 
 
+def delete_scan(snapshots: DataFrame, occurrences: DataFrame, comparisons: DataFrame, resources: DataFrame, blobs: DataFrame, scan_id: int, pinned: Sequence[DataFrame] = ()) -> dict[str, DataFrame]:
+    """What is left of each table without a scan. Blobs go that only it used, and resources that it alone knew and that
+    nothing in ``pinned`` (tables of one column of resource ids) refers to. Rows without a scan stay."""
+
+    def rest(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.where(~F.col(c).eqNullSafe(F.lit(scan_id)))
+        return df
+
+    own, own_links = snapshots.where(F.col("scan_id") == scan_id), occurrences.where(F.col("scan_id") == scan_id)
+    left = {"snapshots": rest(snapshots, "scan_id"), "occurrences": rest(occurrences, "scan_id"), "comparisons": rest(comparisons, "baseline_scan_id", "target_scan_id")}
+    known = own.select(F.col("resource_id").alias("id")).union(own_links.select("target_resource_id")).distinct()
+    gone = unreferenced(known, "id", [left["snapshots"].select("resource_id"), left["occurrences"].select("target_resource_id"), *pinned])
+    dead = unreferenced(own.select("sha256").distinct(), "sha256", [left["snapshots"].select("sha256")])
+    return left | {"resources": resources.join(gone, "id", "left_anti"), "blobs": blobs.join(dead, "sha256", "left_anti")}
+
+
+def deleted_counts(before: dict[str, DataFrame], left: dict[str, DataFrame]) -> DataFrame:
+    """table, rows deleted: the report of a deletion."""
+    out = None
+    for name in sorted(left):
+        n = left[name].select(F.lit(-1).alias("n")).union(before[name].select(F.lit(1).alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted")).select(F.lit(name).alias("table"), "deleted")
+        out = n if out is None else out.union(n)
+    return out
+
+
+class BlobStore:
+    """Contents of one kind (pages, documents, rendered artifacts, audit payloads) by their hash, under a folder.
+
+    Files are never changed: ``add`` appends what is new, ``sweep`` writes what is still referred to into the folder of
+    the next generation."""
+
+    SCHEMA = "sha256 string, content binary, size long"
+
+    def __init__(self, spark: SparkSession, folder: str, kind: str):
+        self.spark, self.folder, self.kind = spark, folder.rstrip("/"), kind
+        self.path = f"{self.folder}/{kind}"
+
+    def all(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except Exception as e:  # nothing stored yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def add(self, rows: DataFrame, content: str) -> None:
+        fresh = new_blobs(rows.where(F.col(content).isNotNull()).select(F.col(content).cast("binary").alias("content")), "content", self.all())
+        fresh.withColumn("size", F.octet_length("content").cast("long")).write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def read(self, rows: DataFrame) -> DataFrame:
+        """Rows (sha256) with ``content`` and ``blob_state``: stored or missing."""
+        return read_blobs(rows, self.all()).withColumn("blob_state", F.when(F.col("content").isNull(), "missing").otherwise("stored"))
+
+    def sweep(self, referenced: DataFrame, generation: str) -> BlobStore:
+        after = BlobStore(self.spark, f"{self.folder}/{generation}", self.kind)
+        self.all().join(referenced.select("sha256"), "sha256", "left_semi").write.option("compression", "zstd").parquet(after.path)
+        return after
+
+
+#: What an identity audit says of a resource.
+MERGE, OVER_COLLAPSE, NO_PROVENANCE, RE_KEY, UNCHANGED = "candidate_v2_merge", "current_over_collapse_candidate", "insufficient_provenance", "re_key_only", "unchanged"
+
+
+def identity_classes(resources: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each resource (id, url, candidate) with its class under a candidate identity, from the recorded spellings
+    (``evidence``: resource_id, candidate; a null candidate is a spelling that has no identity).
+
+    Spellings are counted before they are joined; only their number and one of them is needed, never a list."""
+    seen = evidence.groupBy(F.col("resource_id").alias("id")).agg(F.countDistinct("candidate").alias("identities"), F.min("candidate").alias("seen"), F.count_if(F.col("candidate").isNull()).alias("errors"))
+    shared = resources.where(F.col("candidate").isNotNull()).groupBy("candidate").agg(F.count("*").alias("sharing"))
+    out = resources.join(shared, "candidate", "left").join(seen, "id", "left").fillna(0, subset=["sharing", "identities", "errors"])
+    none = F.col("identities") == 0
+    has_query = F.coalesce(F.length(F.parse_url("url", F.lit("QUERY"))), F.lit(0)) > 0
+    label = (
+        F.when(F.col("sharing") > 1, MERGE).when(F.col("identities") > 1, OVER_COLLAPSE).when(F.col("candidate").isNull() | none & (F.col("errors") > 0), NO_PROVENANCE)
+        .when((F.col("candidate") != F.col("url")) | ~none & (F.col("seen") != F.col("candidate")), RE_KEY).when(none & has_query, NO_PROVENANCE).otherwise(UNCHANGED)
+    )
+    return out.select("id", "url", "candidate", "identities", "errors", label.alias("identity_class"))
+
+
+def audit_severity(classes: DataFrame, ambiguous_pages: int = 0) -> DataFrame:
+    """One row: the classes' numbers (identity_class) and how grave a change of identity would be."""
+    n = {c: F.count_if(F.col("identity_class") == c) for c in (UNCHANGED, RE_KEY, OVER_COLLAPSE, MERGE, NO_PROVENANCE)}
+    split = "SPLIT_WITH_AMBIGUOUS_WORKSPACE_STATE" if ambiguous_pages else "SPLIT_MECHANICALLY_RECOVERABLE"
+    grave = F.when(n[MERGE] > 0, "CANDIDATE_MERGE_REQUIRES_REVIEW").when(n[OVER_COLLAPSE] > 0, split).when(n[NO_PROVENANCE] > 0, "INSUFFICIENT_PROVENANCE").otherwise("SAFE_TO_REKEY")
+    return classes.agg(*[c.alias(name) for name, c in n.items()], grave.alias("severity"))
+
+
+def distinction_counts(resources: DataFrame, url: str = "url") -> DataFrame:
+    """kind, groups: sets of URLs that differ in the case of the path, in a trailing slash or in the order of the query only."""
+    part = lambda name: F.coalesce(F.parse_url(F.col(url), F.lit(name)), F.lit(""))
+    p = resources.select(F.concat_ws("\x1f", part("PROTOCOL"), part("AUTHORITY")).alias("site"), part("PATH").alias("path"), part("QUERY").alias("query"))
+    slash = F.col("path").endswith("/")
+    kinds = {
+        "path_case": (p, [F.lower("path"), F.col("query")], F.countDistinct("path")),
+        "trailing_slash": (p, [F.regexp_replace("path", "/+$", ""), F.col("query")], F.countDistinct(slash)),
+        "query_order": (p.where(F.col("query") != ""), [F.col("path"), F.array_join(F.array_sort(F.split("query", "&")), "&")], F.count("*")),
+    }
+    out = None
+    for kind, (rows, keys, several) in kinds.items():
+        n = rows.groupBy("site", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(several.alias("n")).agg(F.count_if(F.col("n") > 1).alias("groups")).select(F.lit(kind).alias("kind"), "groups")
+        out = n if out is None else out.union(n)
+    return out
+
+
 def identity_collisions(urls: DataFrame, url: str, candidate: Column) -> DataFrame:
     """Candidate keys that put several recorded URLs together, with how they differ."""
     u = F.col(url)
