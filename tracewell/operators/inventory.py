@@ -14,6 +14,11 @@ def evidence_union(observed: DataFrame, embedded: DataFrame, anchors: DataFrame)
     return out
 
 
+def evidence_of(observed: DataFrame, references: DataFrame) -> DataFrame:
+    """As ``evidence_union``, of references that name their kind in ``evidence`` already: they are read once for both kinds."""
+    return observed.withColumn("evidence", F.lit("observed")).unionByName(references, allowMissingColumns=True)
+
+
 def ranked_observations(evidence: DataFrame) -> DataFrame:
     """Evidence with the rank of observations, latest first by (fetched_at, id), within each resource; filters belong before it."""
     w = Window.partitionBy("resource_id", F.col("evidence") == "observed").orderBy(F.desc_nulls_last("fetched_at"), F.desc("evidence_id"))

@@ -52,6 +52,21 @@ def summary(df: DataFrame) -> DataFrame:
     return latest.agg(F.countDistinct("resource_id").alias("pages"), F.countDistinct("profile").alias("profiles"), F.countDistinct(F.when(F.col("outcome") == "failed", F.col("resource_id"))).alias("failed_pages"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count("*").alias("observations"))
 
 
+def audit_summary(df: DataFrame) -> DataFrame:
+    """One row over the latest observation of each page and profile (violation_rules, violation_nodes, incomplete_rules)."""
+    latest = latest_per_key(df, ["resource_id", "profile"])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("violation_rules", "violation_rules"), ("violation_nodes", "affected_nodes"), ("incomplete_rules", "needs_review_rules"))]
+    pages = F.countDistinct(F.when(F.col("violation_rules") > 0, F.col("resource_id")))
+    return latest.agg(F.countDistinct("resource_id").alias("pages_audited"), F.countDistinct("profile").alias("profiles_audited"), pages.alias("pages_with_violations"), *sums, F.count_if(F.col("outcome") == "failed").alias("failed_latest"), F.max("observed_at").alias("latest_observed_at"))
+
+
+def impact_counts(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """impact, n: violations (``rules``: observation_id, result_type, impact) of the latest observations that are ready."""
+    latest = latest_per_key(df, ["resource_id", "profile"]).where("outcome = 'ready'").select(F.col("id").alias("observation_id"))
+    rows = rules.where("result_type = 'violation'").join(latest, "observation_id", "left_semi")
+    return rows.groupBy(F.coalesce("impact", F.lit("unknown")).alias("impact")).agg(F.count("*").alias("n"))
+
+
 def page_rollup(snapshots: DataFrame, is_page: Column) -> DataFrame:
     """Per resource: page observations with first and last time, and observations of any kind."""
     return snapshots.groupBy("resource_id").agg(F.count_if(is_page).alias("page_observations"), F.min(F.when(is_page, F.col("fetched_at"))).alias("first_seen"), F.max(F.when(is_page, F.col("fetched_at"))).alias("last_seen"), F.count("*").alias("observations"))

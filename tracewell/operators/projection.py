@@ -68,6 +68,20 @@ def scan_counters(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("scan_id", rows).groupBy("scan_id", "x.kind", "x.label").agg(F.count("*").alias("n"))
 
 
+def full_scan_summary(snapshots: DataFrame, occurrences: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per scan: totals of pages, resources and links, successes (2xx and 3xx without an error), and its counters as maps.
+
+    ``snapshots`` has error_type besides the fields of ``scan_counters``. Labels are few, so a map is small at any size."""
+    ok = F.col("http_status").between(200, 399) & F.col("error_type").isNull()
+    pages = snapshots.groupBy("scan_id").agg(F.count("*").alias("pages"), F.count_if(ok).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("with_errors"), F.max("crawl_depth").alias("max_depth"))
+    links = occurrences.groupBy("scan_id").agg(F.count("*").alias("link_occurrences"), F.countDistinct("source_snapshot_id", "target_resource_id").alias("links"))
+    resources = evidence.groupBy("scan_id").agg(F.countDistinct("resource_id").alias("resources"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n"))))
+    maps = scan_counters(snapshots).groupBy("scan_id").pivot("kind", ["fetch_state", "http_status", "depth"]).agg(entries)
+    maps = maps.select("scan_id", *[F.col(k).alias(f"{k}_counts") for k in ("fetch_state", "http_status", "depth")])
+    return pages.join(links, "scan_id", "left").join(resources, "scan_id", "left").join(maps, "scan_id", "left").fillna(0, subset=["link_occurrences", "links", "resources"])
+
+
 def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import compare, comparisons, graph, inventory, projection, retention
+from ..operators import compare, comparisons, graph, inventory, observations, projection, retention
 from ..sources.fixtures import Views
 from .book import Book
 from .compare_queries import BASE, PAGE_SQL, SHOWN, TARGET, side
@@ -96,6 +96,49 @@ def page_projection_full(v: Views) -> DataFrame:
     return p.select("id", "resource_id", "inbound_occurrences", "outbound_occurrences", "embedded_resource_count", "seed_origin_count", "is_seed", "raw_size", "stored_size", "rendered_capture_state", "rendered_network_count")
 
 
+COUNTS = {k: f"SELECT scan_id, string_agg(label || '=' || n, ',' ORDER BY label) AS {k} FROM (SELECT scan_id, coalesce(CAST({c} AS VARCHAR), 'none') AS label, count(*) AS n FROM snapshots GROUP BY ALL) GROUP BY 1" for k, c in (("fetch_state_counts", "fetch_state"), ("http_status_counts", "http_status"), ("depth_counts", "crawl_depth"))}
+
+
+@BOOK.query(
+    """SELECT p.*, coalesce(link_occurrences, 0) AS link_occurrences, coalesce(links, 0) AS links, resources, fetch_state_counts, http_status_counts, depth_counts
+    FROM (SELECT scan_id, count(*) AS pages, count(*) FILTER (WHERE http_status BETWEEN 200 AND 399 AND response_time_ms % 9 <> 0) AS succeeded, count(*) FILTER (WHERE response_time_ms % 9 = 0) AS with_errors, max(crawl_depth) AS max_depth FROM snapshots GROUP BY 1) p
+    LEFT JOIN (SELECT scan_id, count(*) AS link_occurrences, count(DISTINCT (source_snapshot_id, target_resource_id)) AS links FROM occurrences GROUP BY 1) USING (scan_id) LEFT JOIN (SELECT scan_id, count(DISTINCT resource_id) AS resources FROM evidence GROUP BY 1) USING (scan_id)
+    LEFT JOIN fetch_state_counts USING (scan_id) LEFT JOIN http_status_counts USING (scan_id) LEFT JOIN depth_counts USING (scan_id)""",
+    "snapshots", "occurrences", extra=EVIDENCE | COUNTS,
+)
+def scan_summary_full(v: Views) -> DataFrame:
+    s = v.snapshots().withColumn("error_type", F.when(F.col("response_time_ms") % 9 == 0, "timeout"))
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return projection.full_scan_summary(s, v.occurrences(), _evidence(v)).withColumns({c: text(c) for c in COUNTS})
+
+
+AUDITED = {
+    "audits": "SELECT *, CAST(floor(metric) AS BIGINT) % 5 AS violation_rules, CAST(floor(metric) AS BIGINT) % 7 AS violation_nodes, rule_id % 3 AS incomplete_rules FROM observations",
+    "last": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_id, profile ORDER BY observed_at DESC, id DESC) AS rn FROM audits) WHERE rn = 1",
+}
+
+
+def _audits(v: Views) -> DataFrame:
+    whole = F.floor("metric").cast("long")
+    return v.observations().withColumns({"violation_rules": whole % 5, "violation_nodes": whole % 7, "incomplete_rules": F.col("rule_id") % 3})
+
+
+@BOOK.query(
+    """SELECT count(DISTINCT resource_id) AS pages_audited, count(DISTINCT profile) AS profiles_audited, count(DISTINCT resource_id) FILTER (WHERE violation_rules > 0) AS pages_with_violations, CAST(coalesce(sum(violation_rules), 0) AS BIGINT) AS violation_rules,
+    CAST(coalesce(sum(violation_nodes), 0) AS BIGINT) AS affected_nodes, CAST(coalesce(sum(incomplete_rules), 0) AS BIGINT) AS needs_review_rules, count(*) FILTER (WHERE outcome = 'failed') AS failed_latest, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S') AS latest_observed_at FROM last""",
+    "observations", extra=AUDITED,
+)
+def audit_summary(v: Views) -> DataFrame:
+    return observations.audit_summary(_audits(v)).withColumn("latest_observed_at", F.date_format("latest_observed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@BOOK.query("SELECT CASE rule_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'serious' WHEN 2 THEN 'minor' ELSE 'unknown' END AS impact, count(*) AS n FROM last WHERE outcome = 'ready' AND id % 3 > 0 GROUP BY 1", "observations", extra=AUDITED)
+def audit_impact_counts(v: Views) -> DataFrame:
+    kind = F.col("rule_id") % 4
+    rules = v.observations().select(F.col("id").alias("observation_id"), F.when(F.col("id") % 3 > 0, "violation").otherwise("pass").alias("result_type"), F.when(kind == 0, "critical").when(kind == 1, "serious").when(kind == 2, "minor").alias("impact"))
+    return observations.impact_counts(_audits(v), rules)
+
+
 # ---- deletion ----
 
 DELETION = {

@@ -24,12 +24,12 @@ EVIDENCE = {
 
 def _evidence(v: Views) -> DataFrame:
     seen = v.snapshots().select(F.col("id").alias("evidence_id"), "scan_id", "resource_id", F.lit(None).cast("long").alias("source_snapshot_id"), "http_status", F.col("response_time_ms").alias("size"), F.when(F.col("http_status") == 200, "html_page").alias("kind"), F.lit(None).cast("boolean").alias("in_scope"), "fetched_at")
-    o = v.occurrences()
-
-    def refs(which, kind: str, add: int) -> DataFrame:
-        return o.where(which).select((F.col("source_snapshot_id") * 10 + add).alias("evidence_id"), "scan_id", F.col("target_resource_id").alias("resource_id"), "source_snapshot_id", F.lit(kind).alias("kind"), "in_scope")
-
-    return inventory.evidence_union(seen, refs(F.col("link_role") == "R", "image", 0), refs(F.col("link_role") != "R", "unknown", 1))
+    embedded = F.col("link_role") == "R"
+    refs = v.occurrences().select(
+        F.when(embedded, "embedded").otherwise("anchor").alias("evidence"), (F.col("source_snapshot_id") * 10 + F.when(embedded, 0).otherwise(1)).alias("evidence_id"), "scan_id", F.col("target_resource_id").alias("resource_id"), "source_snapshot_id",
+        F.when(embedded, "image").otherwise("unknown").alias("kind"), "in_scope",
+    )
+    return inventory.evidence_of(seen, refs)
 
 
 @BOOK.query("SELECT evidence, count(*) AS n, count(DISTINCT resource_id) AS resources, CAST(sum(size) AS BIGINT) AS total_size FROM evidence GROUP BY 1", "snapshots", "occurrences", extra=EVIDENCE)
