@@ -281,3 +281,8 @@ def test_where_shared_folders_are(spark):
     assert common.shared_folder(spark, "x") != common.shared_folder(spark, "x")
     with pytest.raises(ValueError):
         common.shared_folder(type("Far", (), {"conf": type("C", (), {"get": lambda self, k, d=None: None})(), "sparkContext": type("S", (), {"master": "yarn", "getConf": lambda self: {}})()})(), "x")
+
+
+def test_numerals_are_no_letters():
+    model = langid.fit([("the cat sat", "en"), ("der Hund lief", "de")], landmarks=2)
+    assert model.predict(["², ½ Ⅷ 12", "a²", "²b"])[0][0] == "und" and "und" not in model.predict(["a²", "²b"])[0]

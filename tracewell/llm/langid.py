@@ -48,11 +48,16 @@ REJECT = 0.3
 TAIL, DEVIATIONS, FOREIGN = 0.01, 3, 0.05
 #: Characters of a text that are coded at once.
 SPAN = 1 << 20
+#: Letters, and numerals that aren't digits.
 LETTER = re.compile(r"[^\W\d_]")
 #: Words with digits (numbers, keys) tell nothing about the language.
 CODED = re.compile(r"\S*\d\S*")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -87,7 +92,7 @@ class Model:
         return out / len(ORDERS)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        some = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        some = [k for k, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         for at in range(0, len(some), 256):
             part = some[at : at + 256]
@@ -100,7 +105,7 @@ class Model:
 
     def strange(self, text: str) -> tuple[int, int]:
         """3-grams (occurrences) of the text that no landmark has, and all of them."""
-        if LETTER.search(plain := CODED.sub(" ", text)):
+        if has_letter(plain := CODED.sub(" ", text)):
             text = plain
         none = n = 0
         for grams in list(gram_codes(" ".join(text.split()), self.codes))[len(ORDERS) - 1 :: len(ORDERS)]:
@@ -138,7 +143,7 @@ def gram_codes(text: str, codes: np.ndarray) -> Iterator[np.ndarray]:
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """A model from (text, language) pairs."""
-    rows = [(t, y) for t, y in rows if t and LETTER.search(t)]
+    rows = [(t, y) for t, y in rows if t and has_letter(t)]
     langs = sorted({y for _, y in rows})
     counts = Counter(c for t, _ in rows for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
     codes = np.zeros(0x10001, dtype=np.int32)
@@ -181,7 +186,7 @@ def with_limits(model: Model, rows: list[tuple[str, str]]) -> Model:
     halves: tuple[list[tuple[str, str]], list[tuple[str, str]]] = ([], [])
     turn: Counter[str] = Counter()
     for t, y in rows:
-        if t and LETTER.search(t):
+        if t and has_letter(t):
             halves[turn[y] % 2].append((t, y))
             turn[y] += 1
     if not halves[1]:  # one row a language tells nothing about others
