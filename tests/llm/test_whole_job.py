@@ -286,3 +286,18 @@ def test_where_shared_folders_are(spark):
 def test_numerals_are_no_letters():
     model = langid.fit([("the cat sat", "en"), ("der Hund lief", "de")], landmarks=2)
     assert model.predict(["², ½ Ⅷ 12", "a²", "²b"])[0][0] == "und" and "und" not in model.predict(["a²", "²b"])[0]
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(1, k, k if k % 3 else None) for k in range(400)] + [(2, 7, None), (3, 9, 5), (3, 9, 5)], "k int, by int, v int")
+    got = [(r.k, r.m) for r in simhash.with_least(rows, "k", "v", "by").collect()]
+    assert sorted(got, key=str) == sorted([(1, 1)] * 400 + [(2, None), (3, 5), (3, 5)], key=str)
+    table = spark.createDataFrame([(1, "a"), (3, "c"), (4, "d")], "k int, name string")
+    assert sorted((r.k, r.name) for r in simhash.spread(table, rows, "k", "by").collect()) == [(1, "a")] * 400 + [(3, "c")] * 2
+    assert simhash.spread(table, rows.limit(0), "k", "by").count() == simhash.with_least(rows.limit(0), "k", "v", "by").count() == 0
+
+
+def test_null_and_repeated_ids_keep_one_of_each(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "x y z w v u"), (1, "one two three"), (1, "other words here now"), (1, "one two three"), (2, "one two three")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert got == [("1", "one two three"), ("1", "other words here now"), ("None", "a b c"), ("None", "x y z w v u")]

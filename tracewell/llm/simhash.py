@@ -6,7 +6,8 @@ by a pair of quarters. Inside a group nodes lie in order and their bit planes ve
 counters add up the differing bits of a query against a whole word at once, and words in which all nodes have left the
 radius are abandoned after every eight planes. Each group sends on a spanning forest of its
 links (never all pairs), and the forest's components are found by alternating large-star and small-star rounds.
-A group of more than ``TILE`` nodes is split into tiles that are compared pair by pair in tasks of their own.
+A group of more than ``TILE`` nodes is split into tiles that are compared pair by pair in tasks of their own, and the
+rows of a node with many links or of a fingerprint with many documents are spread over ``SALTS`` tasks.
 
 Defined results: a text without words has fingerprint zero and links like any other; fewer than three words give one
 shingle of all words; null text counts as empty; rows with the same doc_id share a component if their texts link,
@@ -32,6 +33,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 2
 QUARTERS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 #: Nodes of a group that one task compares with each other or with another such tile.
 TILE = 8192
+#: Tasks over which the rows of one node or fingerprint are spread.
+SALTS = 16
 #: A longer text is hashed in slices.
 LONG_BYTES = 4 << 20
 
@@ -268,6 +271,22 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 # ---- components ----
 
 
+def spread(table: DataFrame, rows: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each ``key``. Hot keys are split: a key's rows are
+    dealt by ``by`` to ``SALTS`` tasks, and its row of ``table`` goes to those tasks that have some."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), SALTS))
+    asked = salted.select(key, "salt").distinct()
+    return salted.join(table.join(asked, key), [key, "salt"]).drop("salt")
+
+
+def with_least(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """``rows`` with ``m``, the least ``value`` of their ``key``, null if none has one; hot keys are split as in ``spread``."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), SALTS))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))  # at most SALTS of them
+    return salted.join(least.select(key, "m", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 
@@ -277,11 +296,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     last = None
     for _ in range(limit):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u")
-        edges = store(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = with_least(both, "u", "v", "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+        # A node's lower neighbours, and the node itself, go to the least of them.
+        small = with_least(large, "u", "v", "v").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = store(small.where("u != v").distinct(), "links")
         # Sizes and sums of a round tell whether it changed anything; the sums are of hashes.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
@@ -304,21 +322,20 @@ def named(marked: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> tupl
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(edges_of(nodes))
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, store(member.join(names, "root").select("fp", "root", "component_id"), "labels")
+    return marked, store(with_least(member, "root", "least", "fp").select("fp", "root", F.col("m").alias("component_id")), "labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
     marked, label = _labelled(docs, doc_id, text)
-    return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread(label, marked, "fp", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled: Callable = _labelled, prints: Callable = fingerprints_of) -> DataFrame:
     """One row of each component of ``docs``, all columns: the one with its smallest doc_id; where several rows have
     this id, or a component has null ids only, the first by text. ``labelled`` and ``prints`` say what links."""
     marked, label = labelled(docs, doc_id, text)
-    first = marked.join(label, "fp").where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
+    first = spread(label, marked, "fp", "doc_id").where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
     kept = store(first.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     one, several = kept.where("n = 1 and doc_id is not null"), kept.where("n > 1 or doc_id is null")
     # Shuffled at every size: whether the ids could be broadcast must not change how the texts move.
@@ -326,7 +343,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labell
     if several.isEmpty():
         return out
     # Only rows that repeat an id, or have none, need their fingerprint beside all their columns.
-    again = docs.join(several, docs[doc_id].eqNullSafe(several["doc_id"]), "left_semi")
+    again = docs.where(docs[doc_id].isNull()).unionByName(docs.join(several, docs[doc_id] == several["doc_id"], "left_semi"))
     rows = _with_fingerprint(again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")), prints)
     rows = rows.join(label, "fp").where((F.col(f"row.`{doc_id}`") == F.col("component_id")) | F.col("component_id").isNull())
     chosen = rows.groupBy("root").agg(F.min_by("row", F.struct(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))).alias("row"))
