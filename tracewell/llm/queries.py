@@ -80,7 +80,31 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op5_substring_dedup, op6_secret_scan, op7_bpe, op8_lm_score, op9_quality_rules, op10_simhash_groups)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import clusters
+
+    return clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join
+
+    return join(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_html_extract, op3_token_store, op4_language_id, op5_substring_dedup, op6_secret_scan, op7_bpe, op8_lm_score, op9_quality_rules, op10_simhash_groups,
+        op11_centroid_clusters, op12_resample, op13_jaccard_join,
+    )
+}
 
 WORDS_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM w)"""
@@ -108,5 +132,44 @@ OP9_SQL = f"""WITH {WORDS_SQL}, {_repeated(8)}, {_repeated(20)}, {_repeated(101)
     judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.2 * n_words AND NOT too_long AS kept FROM judged"""
 
+
+
+def _op11_sql(rounds: int = 5) -> str:
+    """Rounds of assignment and exact means, unrolled; pairs of vectors and centroids are compared in full."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (SELECT r, c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS dist FROM flat v JOIN m{k} m USING (d) GROUP BY r, c) GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""m{k + 1} AS MATERIALIZED (SELECT c, d, coalesce(n.x, o.x) AS x FROM m{k} o LEFT JOIN (SELECT c, d, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM flat JOIN a{k} USING (r) GROUP BY c, d) n USING (c, d))""")
+    return f"""WITH kept AS (SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    flat AS MATERIALIZED (SELECT r, d, CAST(floor(256 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) t(d)),
+    m0 AS MATERIALIZED (SELECT c, d, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 40) JOIN flat USING (r)),
+    {", ".join(steps)},
+    said AS (SELECT c, sha256(string_agg(x, ',' ORDER BY d)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM kept JOIN a{rounds} USING (r) JOIN said USING (c)"""
+
+
+#: crc32 by its table, which is made by the rule of its polynomial, folded over the bytes of a word.
+OP12_SQL = r"""WITH tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(256) r(i))),
+    texts AS (SELECT doc_id, NULL AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    target AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+    words AS (SELECT doc_id, unnest(ws) AS w FROM texts),
+    hashed AS MATERIALIZED (SELECT w, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex(encode(w))) // 2), lambda k: CAST('0x' || substr(hex(encode(w)), 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) % 10000 AS b FROM (SELECT DISTINCT w FROM words UNION SELECT w FROM target), tbl),
+    s AS (SELECT b, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM target JOIN hashed USING (w) GROUP BY b),
+    sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS ss, (SELECT coalesce(sum(n), 0) FROM t) AS tt),
+    gain AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (CAST(ss AS DOUBLE) + 10000) / ((CAST(s.n AS DOUBLE) + 1) * (CAST(tt AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b), sums),
+    weights AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM words JOIN hashed USING (w) JOIN gain USING (b) GROUP BY doc_id),
+    scored AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM texts LEFT JOIN weights USING (doc_id)),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+#: All pairs that share a shingle, and who is reached by links.
+OP13_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sh AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0))),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sh x JOIN sh y USING (g) WHERE x.doc_id != y.doc_id GROUP BY 1, 2) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 180 * shared >= 80 * (p.n + q.n)),
+    reach AS (SELECT doc_id, doc_id AS seen FROM sizes UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = seen)
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(lowest, w.doc_id) AS component_id FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS lowest FROM reach GROUP BY doc_id) USING (doc_id)"""
+
 #: The others have no SQL form: hashes, kernels, merges or files that it lacks. Tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_centroid_clusters": _op11_sql(), "op12_resample": OP12_SQL, "op13_jaccard_join": OP13_SQL}
