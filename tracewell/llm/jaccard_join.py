@@ -15,10 +15,10 @@ sets are one node. The join goes through these steps, each written to the shared
    share a bit with another one of their set). A dual traversal from the root against itself drops a pair of tree nodes
    if the size ranges rule out 0.8, if the bits that both have plus the slack can't reach the overlap that the smallest
    sizes need, or if both lie in one component already; pairs of leaves that are left are compared exactly.
-4. First each node meets the others in its largest and its smallest group, which links nearly all copies. Groups that
-   still hold several components then go through their trees again with all members, first by bitmaps alone, then
-   those with a possible partner in another component with their sets. So every pair that shares a prefix shingle is
-   ruled out by a bound, compared, or joined by a chain of links: no link is lost, no pairs are listed.
+4. The first traversal of all groups is by coarse bitmaps, made in step 1, alone: only members with a possible partner go
+   on, with their sets. Then each node meets the others in its largest and its smallest group, which links nearly all
+   copies, and groups that still hold several components go through their trees again. So every pair that shares a
+   prefix shingle is ruled out by a bound, compared, or joined by a chain of links: no link is lost, no pairs are listed.
 
 Groups of more than ``TILE`` sets or ``TILE_TOKENS`` shingles are split into tiles that are compared pair by pair in tasks of
 their own. Sets are read from the texts again for nodes in some group, found by a filter of bounded size.
@@ -53,12 +53,14 @@ LEAST_HOT, HOT_TOKENS = 128, 1 << 22
 COUNTED, BLOCK, SHARD = 1 << 22, 1 << 20, 1 << 20
 #: Sets and shingles of a group that one task compares with each other or with another such tile.
 TILE, TILE_TOKENS = 2048, 1 << 21
-#: Children of a tree node; bits of a leaf's bitmap for each shingle.
-FAN, BITS_EACH = 4, 4
+#: Children of a tree node; bits of a leaf's bitmap for each shingle: of coarse ones, and of those made from sets.
+FAN, COARSE, FINE = 4, 2, 4
 #: Bits of the filter of asked nodes: FILTER_EACH for each, at most FILTER_BITS.
 FILTER_EACH, FILTER_BITS = 16, 1 << 27
 #: Rows that are compared come in partitions of about this size.
 PARTITION_BYTES = 64 << 20
+#: A root that no node has: of leaves that are asked anyway.
+ASKED = -(1 << 63)
 #: Distinct sets that a task remembers having sent.
 SEEN = 1 << 20
 
@@ -98,26 +100,28 @@ def _sets(part: pa.RecordBatch, words: WordHash) -> tuple[list[np.ndarray], np.n
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node, n of each row of ``docs`` (node is null without words), and rows with neither whose tokens and
-    counts tell which shingles occur in several sets of a block."""
+    """doc_id, node, n, least (hash), bits (coarse) of each row of ``docs`` (node is null without words), and rows
+    without these whose tokens and counts tell which shingles occur in several sets of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, names = WordHash(), ["doc_id", "node", "n", "tokens", "counts"]
+        words, names = WordHash(), ["doc_id", "node", "n", "least", "bits", "tokens", "counts"]
         held: dict[int, np.ndarray] = {}
         size = 0
 
         def counted() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
             token, n = token[n > 1], n[n > 1].astype("<i8")
-            none = pa.array([None], pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array([None], pa.int64()), pa.array([token.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
+            none = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (token, n))], names=names)
 
         for batch in batches:
             for part in sub_batches(batch, batch.schema.names[1]):
                 sets, keys = _sets(part, words)
                 n = np.array([s.size for s in sets], dtype=np.int64)
                 nothing = pa.nulls(len(sets), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(keys.view(np.int64), mask=n == 0), pa.array(n), nothing, nothing], names=names)
+                least = pa.array([int(s[0] >> U(1)) if s.size else None for s in sets], pa.int64())
+                bits = pa.array([bitmap_of(s, COARSE).tobytes() if s.size else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(keys.view(np.int64), mask=n == 0), pa.array(n), least, bits, nothing, nothing], names=names)
                 for key, s in zip(keys.tolist(), sets, strict=True):
                     if s.size and key not in held:
                         held[key] = s
@@ -128,7 +132,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, node long, n long, tokens binary, counts binary")
+    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, node long, n long, least long, bits binary, tokens binary, counts binary")
 
 
 def hot_tokens(marked: DataFrame, total: int) -> np.ndarray:
@@ -303,9 +307,9 @@ def sets_of(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
 # ---- 3: signature trees ----
 
 
-def bitmap_of(tokens: np.ndarray) -> np.ndarray:
-    """The bitmap of a set, as words: a power of two of bits, BITS_EACH for each shingle at least."""
-    bits = max(64, 1 << (BITS_EACH * tokens.size - 1).bit_length())
+def bitmap_of(tokens: np.ndarray, each: int) -> np.ndarray:
+    """The bitmap of a set, as words: a power of two of bits, ``each`` for each shingle at least."""
+    bits = max(64, 1 << (each * tokens.size - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(mix(tokens + U(7)) & U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -392,22 +396,29 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def trees_of(run: np.ndarray, crossing: np.ndarray, second: np.ndarray, n: np.ndarray, least: np.ndarray, root: np.ndarray, bitmaps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, Trees, np.ndarray, np.ndarray]]:
-    """Trees over the rows of groups (``run``), groups of one width of bitmaps at a time: which rows the leaves are, the
-    trees, and the pairs of top nodes to begin with. Groups that are ``crossing`` hold two tiles, of which pairs meet."""
+    """Trees over the rows of groups (``run``): which rows the leaves are, the trees, and the pairs of top nodes to begin
+    with. Groups that are ``crossing`` hold two tiles, of which pairs meet.
+
+    Bitmaps of linked sets have the same width or one is twice as wide, as sizes differ by a quarter at most. So leaves
+    of one width meet each other, and those of each width meet those of twice the width, folded."""
     size = np.array([b.size for b in bitmaps], dtype=np.int64)
-    begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    width = np.minimum.reduceat(size, begin)[run]
-    side = np.where(crossing, second, False)
-    for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
-        rows = rows[np.lexsort((n[rows], least[rows], side[rows], run[rows]))]
-        trees = Trees(2 * run[rows] + side[rows], n[rows], root[rows], np.stack([bitmaps[k] if bitmaps[k].size == w else folded(bitmaps[k], w) for k in rows.tolist()]))
-        top = trees.levels[-1]["tree"]
-        cross = np.zeros(run[-1] + 1, dtype=bool)
-        cross[run] = crossing
-        alone = np.flatnonzero(~cross[top // 2])
-        met = np.flatnonzero(cross[top[:-1] // 2] & (top[:-1] // 2 == top[1:] // 2))
-        yield rows, trees, np.r_[alone, met], np.r_[alone, met + 1]
+    side = crossing & second
+    for w in np.unique(size).tolist():
+        narrow, wide = size == w, size == 2 * w
+        ways = [(narrow, side, crossing)]
+        if wide.any():
+            ways += [((narrow | wide) & ~crossing, wide, ~crossing), (crossing & np.where(second, wide, narrow), side, crossing), (crossing & np.where(second, narrow, wide), side, crossing)]
+        for chosen, half, cross in ways:
+            rows = np.flatnonzero(chosen)
+            if rows.size > 1:
+                rows = rows[np.lexsort((n[rows], least[rows], half[rows], run[rows]))]
+                trees = Trees(2 * run[rows] + half[rows], n[rows], root[rows], np.stack([bitmaps[k] if bitmaps[k].size == w else folded(bitmaps[k], w) for k in rows.tolist()]))
+                top = trees.levels[-1]["tree"]
+                meets = np.zeros(run[-1] + 1, dtype=bool)
+                meets[run[rows]] = cross[rows]
+                alone = np.flatnonzero(~meets[top // 2])
+                met = np.flatnonzero(meets[top[:-1] // 2] & (top[:-1] // 2 == top[1:] // 2))
+                yield rows, trees, np.r_[alone, met], np.r_[alone, met + 1]
 
 
 # ---- 4: links ----
@@ -419,27 +430,22 @@ def _dealt(rows: DataFrame, size: int) -> DataFrame:
     return rows.repartition(parts, "g", "t1", "t2").sortWithinPartitions("g", "t1", "t2")
 
 
-def with_bitmaps(sets: DataFrame) -> DataFrame:
-    """node, least (hash), bits of each row of ``sets``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(t[0] >> U(1)) for t in tokens], pa.int64()), pa.array([bitmap_of(t).tobytes() for t in tokens], pa.binary())], names=["node", "least", "bits"])
-
-    return sets.select("node", "set").mapInArrow(run, "node long, least long, bits binary")
-
-
 def asked_again(rows: DataFrame, bitmaps: DataFrame, size: int) -> DataFrame:
-    """The rows of ``rows`` (as ``tiled`` gives them) that may link with one of another component, by bitmaps."""
+    """The rows of ``rows`` (as ``tiled`` gives them) that may link with one of another component, by ``bitmaps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g", "t1", "t2", "second", "node", "n", "root"]
         for g, t1, t2, second, node, n, root, least, bits in simhash._whole_groups(batches):
             ask = np.zeros(g.size, dtype=bool)
             for at, trees, i, j in trees_of(_runs(g, t1, t2), t1 != t2, second, n, least, root, [np.frombuffer(x, np.uint64) for x in bits]):
+                part, known = root[at], np.zeros(at.size, dtype=bool)
                 for a, b in trees.traverse(i, j):
-                    ask[at[a]] = ask[at[b]] = True
+                    before = np.count_nonzero(known)
+                    known[a] = known[b] = True
+                    if np.count_nonzero(known) > before:
+                        # Leaves that are asked anyway need not meet: from now on they count as one component.
+                        trees.relabel(np.where(known, ASKED, part))
+                ask[at[known]] = True
             yield pa.RecordBatch.from_arrays([pa.array(x[ask]) for x in (g, t1, t2, second, node, n, root)], names=names)
 
     joined = rows.join(bitmaps, "node").select("g", "t1", "t2", "second", "node", "n", "root", "least", "bits")
@@ -476,12 +482,16 @@ def linked(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
             least = np.array([t[0] >> U(1) for t in tokens], dtype=np.int64)
             group = _runs(g, t1, t2)
             found: list[tuple[int, int]] = []
-            for at, trees, i, j in trees_of(group, t1 != t2, second, n, least, root, [bitmap_of(t) for t in tokens]):
-                # Components are known for each group apart: numbers of (group, root).
-                numbers = np.unique(root[at], return_inverse=True)[1]
-                own = np.unique(group[at] * (numbers.max() + 1) + numbers, return_inverse=True)[1]
-                trees.relabel(own)
-                found += [(int(at[x]), int(at[y])) for x, y in compared(trees, i, j, [tokens[k] for k in at.tolist()], own)]
+            # Components are known for each group apart: numbers of (group, root).
+            numbers = np.unique(root, return_inverse=True)[1]
+            own = np.unique(group * (numbers.max() + 1) + numbers, return_inverse=True)[1]
+            for at, trees, i, j in trees_of(group, t1 != t2, second, n, least, own, [bitmap_of(t, FINE) for t in tokens]):
+                before, after = own[at], own[at]
+                trees.relabel(after)
+                found += [(int(at[x]), int(at[y])) for x, y in compared(trees, i, j, [tokens[k] for k in at.tolist()], after)]
+                label = np.arange(own.max() + 1)
+                label[before] = after
+                own = label[own]
             a, b = np.array([x for x, _ in found], dtype=np.int64), np.array([y for _, y in found], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b]), pa.int64()), pa.array(np.maximum(node[a], node[b]), pa.int64())], names=["a", "b"])
 
@@ -493,20 +503,31 @@ def _tokens(rows: DataFrame) -> int:
     return rows.agg(F.sum("n")).first()[0] or 0
 
 
-def edges(docs: DataFrame, doc_id: str, text: str, hot: np.ndarray, total: int) -> DataFrame:
-    """Links (a, b) of nodes that join all that the similarity links."""
-    groups = store(distinct_groups(store(members(docs, doc_id, text, hot, total), "members")), "groups")
-    sets = store(sets_of(docs, text, groups.select("node").distinct()), "sets")
+def _met_again(asked: DataFrame, purpose: str) -> DataFrame:
+    """The groups that are left of the rows of ``asked``; many have the same members now."""
+    return store(distinct_groups(store(asked.select("g", "node", "n", "root").distinct(), f"{purpose}-rows")), purpose)
+
+
+def edges(docs: DataFrame, doc_id: str, text: str, marked: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) of nodes that join all that the similarity links; ``marked`` are the signatures."""
+    found = members(docs, doc_id, text, hot_tokens(marked, total), total)
+    groups = store(distinct_groups(store(found, "members")), "groups").select("g", "node", "n")
+    inside = groups.select("node").distinct()
+    bitmaps = store(marked.select("node", "least", "bits").join(inside, "node").dropDuplicates(["node"]), "bitmaps")
+    bytes_each = COARSE / 6  # of a shingle; a power of two of bits has 1.5 times as many as are needed on average
+    possible = asked_again(tiled(groups.withColumn("root", F.col("node"))), bitmaps, int(bytes_each * _tokens(groups)))
+    rows = _met_again(possible, "possible")
+    sets = store(sets_of(docs, text, rows.select("node").distinct()), "sets")
     best = F.struct("count", "g")
-    chosen = groups.groupBy("node").agg(F.array_distinct(F.array(F.max(best), F.min(best))).alias("x")).select("node", F.explode("x.g").alias("g"))
-    first = store(tiled(groups.select("g", "node", "n").join(chosen, ["g", "node"]).withColumn("root", F.col("node"))), "first")
-    found = store(linked(first, sets, 8 * _tokens(first)).distinct(), "links")
-    roots = simhash.components(found)
-    rows = groups.select("g", "node", "n").join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("root"))
+    chosen = rows.groupBy("node").agg(F.array_distinct(F.array(F.max(best), F.min(best))).alias("x")).select("node", F.explode("x.g").alias("g"))
+    first = store(tiled(rows.select("g", "node", "n").join(chosen, ["g", "node"]).withColumn("root", F.col("node"))), "first")
+    links = store(linked(first, sets, 8 * _tokens(first)).distinct(), "links")
+    roots = simhash.components(links)
+    rows = rows.select("g", "node", "n").join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("root"))
     several = rows.groupBy("g").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("g")
     rest = store(tiled(rows.join(several, "g")), "rest")
-    asked = store(asked_again(rest, with_bitmaps(sets), BITS_EACH * _tokens(rest) // 4), "asked")
-    return found.unionByName(linked(asked, sets, 8 * _tokens(asked)).distinct())
+    asked = store(tiled(_met_again(asked_again(rest, bitmaps, int(bytes_each * _tokens(rest))), "again")), "asked")
+    return links.unionByName(linked(asked, sets, 8 * _tokens(asked)).distinct())
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -514,9 +535,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     marked = store(signatures(docs, doc_id, text), "sizes")
     total = _tokens(marked)
     rows = marked.where("tokens is null").select("doc_id", F.col("node").alias("fp"), F.col("n").alias("n_shingles"))
-    hot = hot_tokens(marked, total)
     with_words = rows.where("fp is not null")
-    _, label = simhash.named(with_words, lambda nodes: edges(docs, doc_id, text, hot, total))
+    _, label = simhash.named(with_words, lambda nodes: edges(docs, doc_id, text, marked, total))
     linked_rows = simhash.spread(label, with_words, "fp", "doc_id").select("doc_id", "n_shingles", "component_id")
     return linked_rows.unionByName(rows.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
