@@ -1,12 +1,10 @@
-"""From extracted facts to evidence rows, and trees over them (inventory rows X7, X10-X13, A26, A27, J26, P17, L14, T3-T7, G2, F21, J19, Q9)."""
+"""From extracted facts to evidence rows, and trees over them (inventory rows X7, X10-X13, A26, A27, J26, P17, L14, T7, G2, F21, J19, Q9)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .projection import stored
-
 # ---- identities and occurrences ----
 
 
@@ -97,38 +95,6 @@ def parent_counts(references: DataFrame) -> DataFrame:
     return references.where("child_id is not null").groupBy("child_id").agg(F.count("*").alias("parents"), F.countDistinct("parent_id").alias("distinct_parents"))
 
 
-def document_tree(references: DataFrame, roots: DataFrame, max_depth: int = 5, max_documents: int | None = None) -> DataFrame:
-    """(id, depth, path, cycle) of documents reached from ``roots`` (id) over (parent_id, child_id), level by level.
-
-    A reference to an ancestor is reported once with ``cycle`` and not followed; a document met again elsewhere is
-    followed from its first level only (ties by smallest path)."""
-    pairs = references.where("child_id is not null").select("parent_id", "child_id").distinct()
-    found = roots.select("id").distinct().select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(False).alias("cycle"))
-    frontier, seen = found, found.select("id")
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(pairs, F.col("id") == F.col("parent_id")).select(F.col("child_id").alias("id"), F.lit(depth).alias("depth"), "path")
-        cycle = F.array_contains("path", F.col("id"))
-        loops = step.where(cycle).select("id", "depth", F.concat("path", F.array("id")).alias("path"), F.lit(True).alias("cycle"))
-        fresh = step.where(~cycle).groupBy("id", "depth").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        frontier = stored(fresh.select("id", "depth", F.concat("path", F.array("id")).alias("path"), F.lit(False).alias("cycle")), "tree-level")
-        found = found.unionByName(frontier).unionByName(loops)
-        seen = seen.union(frontier.select("id"))
-    if max_documents is not None:
-        found = found.orderBy("depth", "cycle", "id").limit(max_documents)
-    return found
-
-
-def crawl_order(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
-    """(id, depth) of the pages that a breadth-first crawl over recorded links (a, b) would fetch, by depth then id."""
-    found = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = found
-    for depth in range(1, max_depth + 1):
-        step = links.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = stored(step.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)), "crawl-level")
-        found = found.unionByName(frontier)
-    return found.orderBy("depth", "id").limit(max_pages)
-
-
 def url_hierarchy(pages: DataFrame) -> DataFrame:
     """(host, path, parent_path): the longest recorded path of the host above each path; null at the top.
 

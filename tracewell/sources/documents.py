@@ -173,30 +173,31 @@ def expand_sitemaps(bodies: DataFrame, roots: DataFrame, max_depth: int = 5, max
     """Sitemaps reached from ``roots`` (url) over recorded ``bodies`` (url, body), level by level, and their entries.
 
     The first frame has url, depth, state and truncated: ``urlset`` or ``sitemapindex``, ``invalid`` for a body that can't be
-    read, ``not_recorded`` without one, ``cycle`` for an index that names one of its own ancestors (it is not followed), and
-    ``depth_limit`` beyond ``max_depth``. Of an index the first ``max_children`` are followed. The second frame has
-    sitemap_url, depth, loc, lastmod, changefreq and priority. A sitemap that several indexes name is read once, at its
-    first level. Bodies are parsed once; a level is a join, and what is to be read next is written out, so that the plan
-    does not grow with the depth; the expansion ends with the first level that has nothing new."""
+    read, ``not_recorded`` without one, ``depth_limit`` beyond ``max_depth``, and ``cycle`` for a sitemap that an index names
+    again although it reaches that index (at the depth that it would have there). Of an index the first ``max_children``
+    are followed. The second frame has sitemap_url, depth, loc, lastmod, changefreq and priority. A sitemap that several
+    indexes name without a cycle is no error here: it is read once, at its first level. Bodies are parsed once; a level
+    is a join, and what is to be read next is written out, so that the plan does not grow with the depth."""
+    from ..operators.frontier import closing
     from ..operators.projection import stored
 
     parsed = bodies.select("url", sitemap_column(F.col("body"), F.col("url")).alias("s"))
     parsed = stored(parsed, "sitemaps")
-    frontier = roots.select("url").distinct().select("url", F.array("url").alias("path"))
-    maps, entries, seen = None, None, None
+    frontier = stored(roots.where("url is not null").select("url").distinct(), "sitemap-level")
+    maps, entries, links, seen = None, None, None, frontier
     for depth in range(max_depth + 1):
-        got = frontier.join(parsed, "url", "left")
+        got = stored(frontier.join(parsed, "url", "left"), "sitemap-level")
         state = F.when(F.col("s").isNull(), "not_recorded").when(F.col("s.error").isNotNull(), "invalid").otherwise(F.col("s.kind"))
-        index = got.where(F.col("s.kind") == "sitemapindex").select("path", F.explode(F.slice("s.entries", 1, max_children)).alias("e")).select(F.col("e.loc").alias("url"), "path")
-        loop = F.array_contains("path", F.col("url"))
+        index = got.where(F.col("s.kind") == "sitemapindex")
+        named = index.select(F.col("url").alias("parent"), F.explode(F.slice("s.entries", 1, max_children)).alias("e")).select("parent", F.col("e.loc").alias("child"), F.lit(depth).alias("depth")).where("child is not null").distinct()
         level = got.select("url", F.lit(depth).alias("depth"), state.alias("state"), F.coalesce((F.col("s.kind") == "sitemapindex") & (F.size("s.entries") > max_children), F.lit(False)).alias("truncated"))
-        level = level.unionByName(index.where(loop).select("url", F.lit(depth + 1).alias("depth"), F.lit("cycle").alias("state"), F.lit(False).alias("truncated")).distinct())
         rows = got.where(F.col("s.kind") == "urlset").select(F.col("url").alias("sitemap_url"), F.lit(depth).alias("depth"), F.explode("s.entries").alias("e")).select("sitemap_url", "depth", "e.*")
-        maps, entries = (level, rows) if maps is None else (maps.unionByName(level), entries.unionByName(rows))
-        seen = frontier.select("url") if seen is None else seen.union(frontier.select("url"))
-        fresh = index.where(~loop & F.col("url").isNotNull()).groupBy("url").agg(F.min("path").alias("path")).join(seen, "url", "left_anti")
-        frontier = stored(fresh.select("url", F.concat("path", F.array("url")).alias("path")), "sitemap-level")
+        maps, entries, links = (level, rows, named) if maps is None else (maps.unionByName(level), entries.unionByName(rows), links.unionByName(named))
+        frontier = stored(named.select(F.col("child").alias("url")).distinct().join(seen, "url", "left_anti"), "sitemap-level")
+        seen = seen.union(frontier)
         if frontier.isEmpty():
             break
-    beyond = frontier.select("url", F.lit(max_depth + 1).alias("depth"), F.lit("depth_limit").alias("state"), F.lit(False).alias("truncated"))
-    return maps.unionByName(beyond), entries
+    loops = closing(links, maps.select(F.col("url").alias("id"), "depth"), "parent", "child").where("closes_loop")
+    note = lambda rows, depth, state: rows.select("url", depth.alias("depth"), F.lit(state).alias("state"), F.lit(False).alias("truncated"))
+    maps = maps.unionByName(note(loops.select(F.col("child").alias("url"), "depth").distinct(), F.col("depth") + 1, "cycle"))
+    return maps.unionByName(note(frontier, F.lit(max_depth + 1), "depth_limit")), entries
