@@ -113,6 +113,11 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, markup, urls
-from ..operators import retention
+from ..operators import artifacts, compare, retention
+from ..operators.projection import shared_folder
 from ..sources import documents as sources
 from ..sources.fixtures import Views
 from .book import Book
@@ -155,3 +156,52 @@ def edge_ids(v: Views) -> DataFrame:
 @BOOK.query("SELECT page_id, regexp_replace(url, '(?i)([?&](?:token|access_token|api_key|apikey|key|password|secret|signature|sig|auth|session)=)[^&#]*', '\\1[REDACTED]', 'g') AS shown FROM pages")
 def url_redaction(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", urls.redacted(F.col("url")).alias("shown"))
+
+
+def _changed(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Two scans of the recorded pages: in the second, each seventh differs in one way, by the id's remainder."""
+    kind = F.col("page_id") % 7
+    tag = lambda value: F.concat(F.lit('<script src="/_Incapsula_Resource?a=1&cb='), F.lit(value), F.lit('"></script>'))
+    sheet = lambda value: F.concat(F.lit('<link href="/wp-content/a.css?ver=6.'), F.lit(value), F.lit('">'))
+    p = v.table("pages").where("html is not null").select("page_id", "url", F.concat(tag("1"), sheet("1"), "html").alias("html"))
+    html = F.when(kind == 1, F.replace("html", tag("1"), tag("22"))).when(kind == 2, F.replace("html", sheet("1"), sheet("2"))).when(kind == 3, F.replace("html", F.lit("<body>"), F.lit("<body><p>entirely new words</p>")))
+    html = html.when(kind == 4, F.concat(F.lit('<meta name="description" content="said otherwise">'), "html")).when(kind == 5, F.concat("html", F.lit("<!-- built again -->"))).otherwise(F.col("html"))
+    return p, p.where(kind != 6).select("page_id", "url", html.alias("html"))
+
+
+@BOOK.query(
+    """SELECT page_id AS resource_id, CASE page_id % 7 WHEN 6 THEN 'not_observed_in_target' ELSE 'observed_in_both' END AS presence_state, ['same', 'changed', 'changed', 'changed', 'changed', 'changed', 'not_applicable'][page_id % 7 + 1] AS exact_source_state,
+    ['same', 'same', 'changed', 'changed', 'changed', 'changed', 'not_applicable'][page_id % 7 + 1] AS normalized_source_state, ['same', 'same', 'same', 'changed', 'same', 'same', 'not_applicable'][page_id % 7 + 1] AS document_content_state,
+    ['', 'volatile', 'dependency', 'document_content', 'metadata', 'unclassified', ''][page_id % 7 + 1] AS categories,
+    ['no_tracked_change', 'normalization_only', 'technical_change', 'substantive_change', 'metadata_change', 'technical_change', 'not_applicable'][page_id % 7 + 1] AS primary_change_class FROM pages WHERE html IS NOT NULL"""
+)
+def page_source_changes(v: Views) -> DataFrame:
+    """From the bodies of two scans to the class of each page's change, over one store of artifacts."""
+    store = artifacts.ArtifactStore(v.spark, shared_folder(v.spark, "artifacts"))
+    sides = _changed(v)
+    store.prepare(sides[0].unionByName(sides[1]))
+    diff = compare.full_page_diff(*(artifacts.source_side(store.attach(s), "page_id") for s in sides))
+    return diff.select("resource_id", "presence_state", "exact_source_state", "normalized_source_state", "document_content_state", F.array_join("source_difference_categories", ",").alias("categories"), "primary_change_class")
+
+
+@BOOK.query(
+    """WITH n AS (SELECT count(*) AS pages, count(*) FILTER (WHERE page_id % 7 IN (1, 2, 3, 4, 5)) AS changed FROM (SELECT DISTINCT page_id FROM pages WHERE html IS NOT NULL))
+    SELECT 'first' AS run, pages AS parsed FROM n UNION ALL SELECT 'changed', changed FROM n UNION ALL SELECT 'again', 0 UNION ALL SELECT 'forced', pages FROM n UNION ALL SELECT 'other_config', pages FROM n"""
+)
+def artifact_reuse(v: Views) -> DataFrame:
+    """How many bodies each run of a parser parses: pages differ by their URLs."""
+    folder = shared_folder(v.spark, "artifacts")
+    store, other = artifacts.ArtifactStore(v.spark, folder), artifacts.ArtifactStore(v.spark, folder, config={**artifacts.CONFIG, "max_sections": 5})
+    one, two = (s.withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string"))) for s in _changed(v))
+    runs = [("first", store.prepare(one)), ("changed", store.prepare(two)), ("again", store.prepare(one.unionByName(two))), ("forced", store.prepare(one, force=True)), ("other_config", other.prepare(one))]
+    return v.spark.createDataFrame(runs, "run string, parsed long")
+
+
+@BOOK.query("SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS anchors, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language, 1 AS dependencies, sha256(encode('<link href=\"/wp-content/a.css?ver=6.1\">' || html)) AS bare FROM pages WHERE html IS NOT NULL")
+def artifact_parts(v: Views) -> DataFrame:
+    """Everything that one stored parse of a page feeds, read together."""
+    store = artifacts.ArtifactStore(v.spark, shared_folder(v.spark, "artifacts"))
+    p = v.table("pages").where("html is not null").select("page_id", "url", F.concat(F.lit('<link href="/wp-content/a.css?ver=6.1">'), "html").alias("html"))
+    store.prepare(p)
+    got = store.attach(p)
+    return got.select("page_id", F.size("anchors").cast("long").alias("anchors"), "page.language", F.size("source.versions").alias("dependencies"), F.col("source.exact_sha256").alias("bare"))
