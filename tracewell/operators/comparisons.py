@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -17,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import compare, observations
-from .projection import ProjectionStore, checksum, remove_folder
+from .manifest import Manifest, latest
+from .projection import BuildLost, ProjectionStore, checksum, remove_folder
 
 VERSION = "comparison-1"
 OPEN = ("waiting_for_projections", "queued", "building")
@@ -74,14 +74,10 @@ class ComparisonStore:
 
     def __init__(self, spark: SparkSession, folder: str, projections: ProjectionStore):
         self.spark, self.folder, self.projections = spark, folder.rstrip("/"), projections
+        self.log = Manifest(spark, f"{self.folder}/manifest")
 
     def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
-        except Exception as e:  # no build yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.createDataFrame([tuple(e.get(f) for f in ["build_id", *FIELDS]) for e in self.log.entries()], MANIFEST)
 
     def states(self) -> DataFrame:
         """The last state of each build; a ready build that a newer ready one replaced is superseded."""
@@ -90,10 +86,14 @@ class ComparisonStore:
         return last.withColumn("status", F.when((F.col("status") == "ready") & (F.col("sequence") < newest), "superseded").otherwise(F.col("status")))
 
     def _record(self, state: dict, **change: object) -> dict:
-        last = self.manifest().agg(F.max("sequence")).first()[0] or 0
-        state = {**state, **change, "sequence": max(last + 1, time.time_ns())}
-        self.spark.createDataFrame([tuple(state.get(f) for f in ["build_id", *FIELDS])], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-        return state
+        return self.log.commit(lambda _: {**state, **change})
+
+    def _move(self, state: dict, allowed: Sequence[str], **change: object) -> dict:
+        """``_record``, only if the build's last entry has one of the ``allowed`` states; else the build is lost."""
+        moved = self.log.commit(lambda entries: {**state, **change} if latest(entries)[state["build_id"]]["status"] in allowed else None)
+        if moved is None:
+            raise BuildLost(state["build_id"])
+        return moved
 
     def _one(self, condition) -> dict | None:
         row = self.states().where(condition).orderBy(F.desc("sequence")).first()
@@ -110,12 +110,18 @@ class ComparisonStore:
         queued if both projections are ready, waiting otherwise."""
         compare.eligible(baseline, target)
         comparison = f"{baseline['scan_id']}-{target['scan_id']}"
-        if found := self._one((F.col("comparison_id") == comparison) & (F.col("version") == VERSION) & F.col("status").isin(*OPEN)):
-            return found
-        if not force and (found := self.current(comparison)):
-            return found
-        state = {"build_id": uuid.uuid4().hex, "comparison_id": comparison, "baseline_scan_id": baseline["scan_id"], "target_scan_id": target["scan_id"], "version": VERSION, "warnings": [], "rows": {}}
-        return self._record(state, status="queued" if self._prepared(state) else "waiting_for_projections")
+        state = {"build_id": uuid.uuid4().hex, "comparison_id": comparison, "baseline_scan_id": baseline["scan_id"], "target_scan_id": target["scan_id"], "version": VERSION, "rows": {}}
+        state |= {k: v for k, v in coverage(baseline, target).items() if k in FIELDS}
+        state["status"] = "queued" if self._prepared(state) else "waiting_for_projections"
+        found: list[dict] = []
+
+        def decide(entries: list[dict]) -> dict | None:
+            own = [e for e in latest(entries).values() if e["comparison_id"] == comparison and e["version"] == VERSION]
+            ready = [e for e in own if e["status"] == "ready" and not force]
+            found[:] = sorted([e for e in own if e["status"] in OPEN] or ready, key=lambda e: e["sequence"])[-1:]
+            return None if found else state
+
+        return self.log.commit(decide) or found[0]
 
     def wake(self, scan_id: int) -> list[str]:
         """Queue the waiting builds of a scan whose projections are both ready now; their ids."""
@@ -130,11 +136,14 @@ class ComparisonStore:
         row = previous_finished(scans).where((F.col("scan_id") == scan_id) & F.col("previous_scan_id").isNotNull()).first()
         if row is None:
             return None
-        sides = [{"scan_id": k, "site_id": row.site_id, "status": "completed"} for k in (row.previous_scan_id, scan_id)]
-        return self.request(*sides)
+        ends = (row.previous_scan_id, scan_id)
+        known = {r.scan_id: r.asDict() for r in scans.where(F.col("scan_id").isin(*ends)).collect()}
+        return self.request(*(known[k] for k in ends))
 
     def execute(self, build_id: str, sides: Sides, keys: dict[str, Sequence[str]], covered: dict | None = None, cancelled: Callable[[], bool] = lambda: False) -> dict:
-        """Build: ``sides`` makes the rows of each kind from the two projections. A failure leaves the former build current.
+        """Build: ``sides`` makes the rows of each kind from the two projections. A failure leaves the former build current;
+        a build that is cancelled or taken over meanwhile raises ``BuildLost``. ``covered`` replaces the coverage that the
+        request found.
 
         Each kind's rows must have a presence_state and be one a key; the checksum is over all kinds and ignores the order."""
         state = self._one(F.col("build_id") == build_id)
@@ -145,7 +154,7 @@ class ComparisonStore:
             raise ProjectionsMissing(build_id)
         pinned = {f"{side}_build": self.projections.active(state[f"{side}_scan_id"]) for side in ("baseline", "target")}
         digests = {r.build_id: r.checksum for r in self.projections.states().where(F.col("build_id").isin(*pinned.values())).collect()}
-        state = self._record(state, status="building", **pinned, **{k.replace("_build", "_checksum"): digests[b] for k, b in pinned.items()}, **{k: (covered or {}).get(k, empty) for k, empty in (("coverage_state", None), ("warnings", []))})
+        state = self._move(state, OPEN, status="building", **pinned, **{k.replace("_build", "_checksum"): digests[b] for k, b in pinned.items()}, **{k: covered[k] for k in ("coverage_state", "warnings") if covered})
         path = f"{self.folder}/data/build_id={build_id}"
         rows, parts = {}, []
         try:
@@ -154,16 +163,16 @@ class ComparisonStore:
                     raise Cancelled(build_id)
                 df.write.mode("overwrite").parquet(f"{path}/{kind}")
                 stored = self.spark.read.schema(df.schema).parquet(f"{path}/{kind}")
-                n = stored.agg(F.count("*").alias("n"), F.countDistinct(F.struct(*keys[kind])).alias("keys"), F.count("presence_state").alias("placed")).first()
+                n = stored.agg(F.count("*").alias("n"), F.countDistinct(F.struct(*keys[kind])).alias("keys"), F.count_if(F.col("presence_state").isin(compare.BOTH, compare.NEW, compare.GONE)).alias("placed")).first()
                 if not n.n == n.keys == n.placed:
-                    raise ValueError(f"{kind}: {n.n} rows, {n.keys} keys, {n.placed} with a presence state")
+                    raise ValueError(f"{kind}: {n.n} rows, {n.keys} keys, {n.placed} with a known presence state")
                 rows[kind] = n.n
                 parts.append(f"{kind}:{checksum(stored).first()[0]}")
         except Exception as e:
             remove_folder(self.spark, path)
-            self._record(state, status="cancelled" if isinstance(e, Cancelled) else "failed")
+            self._move(state, ("building",), status="cancelled" if isinstance(e, Cancelled) else "failed")
             raise
-        return self._record(state, status="ready", rows=rows, checksum=hashlib.sha256("\n".join(parts).encode()).hexdigest())
+        return self._move(state, ("building",), status="ready", rows=rows, checksum=hashlib.sha256("\n".join(parts).encode()).hexdigest())
 
     def read(self, comparison_id: str, kind: str) -> DataFrame | None:
         """Rows of the current build, for the lists of compared pages, resources and links; None without a build."""

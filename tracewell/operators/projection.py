@@ -1,7 +1,7 @@
 """Materialised projections: build, validate, checksum, activate, route (inventory rows M1-M11, D14, D15, A16, SC14-SC16).
 
 A build writes Parquet under ``build_id=`` folders, is validated against what it was built from, and becomes active by
-one small manifest row written last. Readers take the newest compatible ready build, or the dynamic query.
+one small manifest entry written last. Readers take the newest compatible ready build, or the dynamic query.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import graph, inventory
+from .manifest import Manifest, latest
 
 VERSION = "projection-1"
-STATES = ("queued", "building", "ready", "failed", "cancelled", "superseded")
-MANIFEST = "build_id string, scan_id long, version string, status string, rows long, checksum string, sequence long"
+STATES = ("queued", "building", "ready", "failed", "cancelled", "interrupted", "superseded")
+OPEN = ("queued", "building")
+MANIFEST = "build_id string, scan_id long, version string, status string, rows long, checksum string, sources map<string, long>, sequence long"
+MANIFEST_FIELDS = ("build_id", "scan_id", "version", "status", "rows", "checksum", "sources", "sequence")
 
 
 def page_projection(snapshots: DataFrame, occurrences: DataFrame, resources: DataFrame) -> DataFrame:
@@ -118,52 +122,109 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class BuildOpen(RuntimeError):
+    """Another build of the scan is open."""
+
+
+class BuildLost(RuntimeError):
+    """The build was cancelled or replaced while it ran."""
+
+
 class ProjectionStore:
-    """Builds of one kind under a folder."""
+    """Builds of one kind under a folder. A scan has one open build at most: builders that start side by side see the
+    first one's entry, and a build becomes active only if its own entry is still the last one it wrote."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, stale_after: float = 6 * 3600):
+        """An open build that wrote nothing for ``stale_after`` seconds counts as failed."""
+        self.spark, self.folder, self.stale_after = spark, folder.rstrip("/"), stale_after
+        self.log = Manifest(spark, f"{self.folder}/manifest")
 
     def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
-        except Exception as e:  # no build yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], MANIFEST)
-
-    def _record(self, build_id: str, scan_id: int, status: str, rows: int = 0, digest: str = "") -> None:
-        # The time in nanoseconds, so that builders that run side by side don't take the same number.
-        last = self.manifest().agg(F.max("sequence")).first()[0] or 0
-        row = [(build_id, scan_id, VERSION, status, rows, digest, max(last + 1, time.time_ns()))]
-        self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-
-    def build(self, build_id: str, scan_id: int, df: DataFrame, expected_rows: int | None = None) -> str:
-        """Write, validate and activate a build; returns its checksum. A failure leaves the former build active."""
+        return self.spark.createDataFrame([tuple(e.get(f) for f in MANIFEST_FIELDS) for e in self.log.entries()], MANIFEST)
+
+    def _entry(self, build_id: str, scan_id: int, status: str, rows: int = 0, digest: str = "", sources: dict[str, int] | None = None) -> dict:
+        return {"build_id": build_id, "scan_id": scan_id, "version": VERSION, "status": status, "rows": rows, "checksum": digest, "sources": sources or {}, "written": time.time()}
+
+    def _record(self, build_id: str, scan_id: int, status: str) -> None:
+        self.log.commit(lambda _: self._entry(build_id, scan_id, status))
+
+    def claim(self, build_id: str, scan_id: int) -> None:
+        """Open a build of a scan, or go on with it if it was interrupted."""
+
+        def decide(entries: list[dict]) -> dict:
+            for e in latest(entries).values():
+                if e["scan_id"] == scan_id and e["status"] in OPEN and e["build_id"] != build_id and time.time() - e["written"] < self.stale_after:
+                    raise BuildOpen(e["build_id"])
+            return self._entry(build_id, scan_id, "building")
+
+        self.log.commit(decide)
+
+    def build(
+        self, build_id: str, scan_id: int, df: DataFrame | Callable[..., DataFrame], expected_rows: int | None = None, inputs: dict[str, DataFrame] | None = None,
+        reconcile: dict[str, Column] | None = None, chunks: int = 1, key: str | None = None, progress: Callable[[int, int], None] = lambda done, of: None,
+    ) -> str:
+        """Write, validate and activate a build; returns its checksum. A failure leaves the former build active.
+
+        With ``inputs``, ``df`` is a function of them by name; their rows are counted by the pass that writes the build, and the
+        counts are kept in the manifest as what the build was made from. ``reconcile`` names, for an input, the aggregate of
+        the stored rows that must equal its count. With ``chunks``, rows are dealt by the hash of ``key`` and written chunk by
+        chunk; a build that fails meanwhile is ``interrupted``, and building it again goes on after the last whole chunk."""
         path = f"{self.folder}/data/build_id={build_id}"
-        self._record(build_id, scan_id, "building")
+        self.claim(build_id, scan_id)
+        seen = {name: Observation() for name in inputs or {}}
         try:
-            df.write.mode("overwrite").parquet(path)
-            stored = self.spark.read.schema(df.schema).parquet(path)
-            rows, digest = stored.count(), checksum(stored).first()[0]
-            if expected_rows is not None and rows != expected_rows:
-                raise ValueError(f"{rows} rows stored, {expected_rows} expected")
-        except Exception:
-            remove_folder(self.spark, path)
-            self._record(build_id, scan_id, "failed")
+            if inputs is not None:
+                df = df(**{name: d.observe(seen[name], F.count("*").alias("n")) for name, d in inputs.items()})
+            for k in range(chunks):
+                part = f"{path}/chunk={k}" if chunks > 1 else path
+                if chunks == 1 or not folder_exists(self.spark, f"{part}/_SUCCESS"):
+                    (df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == k) if chunks > 1 else df).write.mode("overwrite").parquet(part)
+                progress(k + 1, chunks)
+            stored = self._rows(build_id, df.schema)
+            # Where all chunks were there already, or some were, the inputs are counted on their own.
+            sources = {name: o.get["n"] if chunks == 1 else inputs[name].count() for name, o in seen.items()}
+            sums = stored.agg(F.count("*").alias("__n"), *[c.alias(name) for name, c in (reconcile or {}).items()]).first()
+            digest = checksum(stored).first()[0]
+            if expected_rows is not None and sums["__n"] != expected_rows:
+                raise ValueError(f"{sums['__n']} rows stored, {expected_rows} expected")
+            for name in reconcile or {}:
+                if (sums[name] or 0) != sources[name]:
+                    raise ValueError(f"{name}: {sources[name]} read, {sums[name]} in the build")
+        except Exception as e:
+            if chunks == 1:
+                remove_folder(self.spark, path)
+            if self._end(build_id, self._entry(build_id, scan_id, "failed" if chunks == 1 else "interrupted")) is None:
+                raise BuildLost(build_id) from e
             raise
-        self._record(build_id, scan_id, "ready", rows, digest)
+        if self._end(build_id, self._entry(build_id, scan_id, "ready", sums["__n"], digest, sources)) is None:
+            remove_folder(self.spark, path)
+            raise BuildLost(build_id)
         return digest
 
+    def _end(self, build_id: str, entry: dict) -> dict | None:
+        """Commit the end of a build; None if it is no longer building."""
+        return self.log.commit(lambda entries: entry if latest(entries)[build_id]["status"] == "building" else None)
+
+    def _rows(self, build_id: str, schema: T.StructType | None = None) -> DataFrame:
+        path = f"{self.folder}/data/build_id={build_id}"
+        parts = [f"{path}/{x}" for x in folder_names(self.spark, path) if x.startswith("chunk=")]
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        return reader.parquet(*(parts or [path]))
+
     def states(self) -> DataFrame:
         """The last state of each build; a ready build that a newer ready one of its scan replaced is superseded."""
-        last = self.manifest().groupBy("build_id").agg(F.max_by(F.struct("scan_id", "version", "status", "rows", "checksum", "sequence"), "sequence").alias("r")).select("build_id", "r.*")
+        last = self.manifest().groupBy("build_id").agg(F.max_by(F.struct(*MANIFEST_FIELDS[1:]), "sequence").alias("r")).select("build_id", "r.*")
         newest = F.max(F.when(F.col("status") == "ready", F.col("sequence"))).over(Window.partitionBy("scan_id"))
         return last.withColumn("status", F.when((F.col("status") == "ready") & (F.col("sequence") < newest), "superseded").otherwise(F.col("status")))
 
@@ -177,20 +238,20 @@ class ProjectionStore:
         return self.stored(build) if build else dynamic()
 
     def stored(self, build_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/data/build_id={build_id}")
+        return self._rows(build_id)
 
     def status(self, scan_id: int) -> str:
         """active, else the newest failed or cancelled, else version_mismatch, else missing."""
         rows = self.states().where(F.col("scan_id") == scan_id).orderBy(F.desc("sequence")).collect()
         if any(r.status == "ready" and r.version == VERSION for r in rows):
             return "active"
-        if rows and rows[0].status in ("failed", "cancelled", "building", "queued"):
+        if rows and rows[0].status in ("failed", "cancelled", "interrupted", *OPEN):
             return rows[0].status
         return "version_mismatch" if rows else "missing"
 
     def delete(self, scan_id: int) -> None:
         """Cancel all builds of a scan and remove their folders."""
-        for r in self.states().where((F.col("scan_id") == scan_id) & F.col("status").isin("ready", "superseded")).collect():
+        for r in self.states().where((F.col("scan_id") == scan_id) & F.col("status").isin("ready", "superseded", "interrupted", *OPEN)).collect():
             self._record(r.build_id, scan_id, "cancelled")
             remove_folder(self.spark, f"{self.folder}/data/build_id={r.build_id}")
 
