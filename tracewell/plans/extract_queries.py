@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, markup, urls
-from ..operators import artifacts, compare, retention
+from ..operators import artifacts, compare, retention, source_diff
 from ..operators.projection import shared_folder
 from ..sources import documents as sources
 from ..sources.fixtures import Views
@@ -205,3 +205,31 @@ def artifact_parts(v: Views) -> DataFrame:
     store.prepare(p)
     got = store.attach(p)
     return got.select("page_id", F.size("anchors").cast("long").alias("anchors"), "page.language", F.size("source.versions").alias("dependencies"), F.col("source.exact_sha256").alias("bare"))
+
+
+SOURCE_DIFF_SQL = """SELECT page_id, CASE WHEN page_id % 7 = 6 THEN 'target_missing' WHEN page_id % 11 = 0 THEN 'too_large' WHEN page_id % 13 = 0 THEN 'decoding_failed' WHEN page_id % 7 {same} THEN 'identical' ELSE 'available' END AS state,
+    CASE WHEN page_id % 7 = 6 OR page_id % 11 = 0 OR page_id % 13 = 0 OR page_id % 7 {same} THEN 0 WHEN page_id % 7 = 3 THEN 2 ELSE 1 END AS lines_added, CASE WHEN page_id % 7 = 6 OR page_id % 11 = 0 OR page_id % 13 = 0 OR page_id % 7 {same} OR page_id % 7 = 3 THEN 0 ELSE 1 END AS lines_removed FROM pages WHERE html IS NOT NULL"""
+
+
+def _source_pairs(v: Views) -> DataFrame:
+    """Sources of two scans in three lines: the second differs as its id's remainder says; some are long, some no UTF-8."""
+    k, text = F.col("page_id"), F.regexp_replace("html", "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", " ")
+    head = lambda n: F.concat(F.lit("<script src='/_Incapsula_Resource?a=1&cb="), F.lit(n), F.lit("'></script>"))
+    before, after = (F.concat_ws("\n", head(n), text, F.lit("<p>last</p>")) for n in ("1", "2"))
+    kind = k % 7
+    changed = F.when(kind == 0, before).when(kind == 1, after).when(kind == 3, F.concat(before, F.lit("\n<p>one</p>\n<p>two</p>"))).otherwise(F.concat(before, F.lit(" more")))
+    long = lambda c: F.when(k % 11 == 0, F.repeat(c, F.ceil(F.lit(40_000) / F.octet_length(c)).cast("int") + 1)).otherwise(c)
+    raw = lambda c: F.when(k % 13 == 0, F.concat(F.unhex(F.lit("FF")), c.cast("binary"))).otherwise(c.cast("binary"))
+    p = v.table("pages").where("html is not null")
+    return p.select("page_id", raw(long(before)).alias("before"), F.when(kind != 6, raw(long(changed))).alias("after"))
+
+
+@BOOK.query(SOURCE_DIFF_SQL.format(same="= 0"))
+def source_diff_exact(v: Views) -> DataFrame:
+    return source_diff.source_diffs(_source_pairs(v), ["page_id"], max_input=40_000).drop("diff_text")
+
+
+@BOOK.query(SOURCE_DIFF_SQL.format(same="IN (0, 1)"))
+def source_diff_meaningful(v: Views) -> DataFrame:
+    """Pages whose cache-busting value alone changed are identical."""
+    return source_diff.source_diffs(_source_pairs(v), ["page_id"], meaningful=True, max_input=40_000).drop("diff_text")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, graph
+from ..operators import catalog, graph, projected
+from ..operators.projection import shared_folder, stored
 from ..sources.fixtures import Views
 from .book import Book
 
@@ -206,3 +207,49 @@ def inbound_links_page(v: Views) -> DataFrame:
     keys = ["anchor_text", "source_snapshot_id", "target_resource_id", "link_role", "rel", "dom_path", "discovered_at"]
     top = catalog.page(rows.orderBy(*keys), 50)
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("source_snapshot_id", "target_resource_id", "anchor_text", "link_role", "place")
+
+
+# ---- projected reads ----
+
+NEAR = {
+    "p": PAIRS, "u": "SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p",
+    "near": "SELECT * FROM (SELECT id, CAST(min(hop) AS INT) AS hop FROM (SELECT 7 AS id, 0 AS hop UNION ALL SELECT y, 1 FROM u WHERE x = 7 UNION ALL SELECT u2.y, 2 FROM u u1 JOIN u u2 ON u1.y = u2.x WHERE u1.x = 7) GROUP BY 1) ORDER BY hop, id LIMIT 60",
+    "e": "SELECT source_resource_id AS source_id, target_resource_id AS target_id, count(*) AS occurrences FROM occurrences WHERE scan_id = 1996 GROUP BY 1, 2",
+    "nodes": "SELECT source_id AS id FROM e UNION SELECT target_id FROM e",
+}
+
+
+def _projected(v: Views) -> projected.ProjectedScan:
+    """The scan's pages, links and summary, laid out by key."""
+    links = graph.page_links(v.occurrences(), SCAN).groupBy(F.col("source_resource_id").alias("source_id"), F.col("target_resource_id").alias("target_id")).agg(F.count("*").alias("occurrences"))
+    links = stored(links, "links")
+    pages = links.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    out = projected.ProjectedScan(v.spark, shared_folder(v.spark, "projected"))
+    out.write(pages, links, links.agg(F.count("*").alias("links"), F.sum("occurrences").alias("occurrences"), F.countDistinct("source_id").alias("sources"), F.countDistinct("target_id").alias("targets")))
+    return out
+
+
+@BOOK.query("SELECT id, hop FROM near", "occurrences", extra=NEAR)
+def projected_neighbourhood(v: Views) -> DataFrame:
+    return v.spark.createDataFrame(_projected(v).around(7, 2, 60), "id long, hop int")
+
+
+@BOOK.query("SELECT source_id, target_id, occurrences FROM e WHERE source_id IN (SELECT id FROM near) AND target_id IN (SELECT id FROM near)", "occurrences", extra=NEAR)
+def projected_graph_links(v: Views) -> DataFrame:
+    return _projected(v).graph(7, 2, 60)[1]
+
+
+@BOOK.query("SELECT count(*) AS links, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM e", "occurrences", extra=NEAR)
+def projected_summary(v: Views) -> DataFrame:
+    return _projected(v).summary()
+
+
+@BOOK.query(
+    """SELECT id, coalesce(o.n, 0) AS links_out, CAST(coalesce(o.s, 0) AS BIGINT) AS links_out_occurrences, coalesce(i.n, 0) AS links_in, CAST(coalesce(i.s, 0) AS BIGINT) AS links_in_occurrences FROM (SELECT id FROM near WHERE id IN (SELECT id FROM nodes)) LEFT JOIN (SELECT source_id AS id, count(*) AS n, sum(occurrences) AS s FROM e GROUP BY 1) o USING (id)
+    LEFT JOIN (SELECT target_id AS id, count(*) AS n, sum(occurrences) AS s FROM e GROUP BY 1) i USING (id)""",
+    "occurrences", extra=NEAR,
+)
+def projected_page_details(v: Views) -> DataFrame:
+    """Keyed reads of the pages around one: their links in and out."""
+    p = _projected(v)
+    return p.detail([i for i, _ in p.around(7, 2, 60)])
