@@ -187,6 +187,56 @@ def link_diff(baseline: DataFrame, target: DataFrame, fields: list[str]) -> Data
     return out.withColumn("change_state", F.when(F.col("presence_state") != BOTH, F.col("presence_state")).when(F.col("changed_field_count") > 0, "changed").otherwise("same"))
 
 
+#: The fields of a resource and of a link that count as a change.
+RESOURCE_FIELDS = [
+    "kind", "classification_source", "observed", "discovered_only", "final_url", "http_status", "mime_type", "filename", "declared_size", "occurrence_count", "source_page_count", "anchor_count", "embedded_count",
+    "in_scope_count", "out_scope_count", "observed_count",
+]
+LINK_FIELDS = [
+    "occurrence_count", "unique_anchor_text_count", "empty_anchor_occurrence_count", "follow_count", "nofollow_occurrence_count", "self_link", "in_scope_count", "out_scope_count", "role_counts", "scope_counts", "region_counts",
+]
+
+
+def tracked(pairs: DataFrame, fields: list[str]) -> DataFrame:
+    """changed_fields, changed_field_count and change_state of ``full_outer`` pairs: which ``fields`` differ, nulls being a
+    value, where both sides were observed. Maps must come as sorted entries."""
+    changed = F.filter(F.array(*[F.when(differs(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    state = F.when(F.col("presence_state") != BOTH, "not_applicable").when(F.size("changed_fields") > 0, "changed").otherwise("no_tracked_change")
+    return pairs.withColumn("changed_fields", changed).withColumns({"changed_field_count": F.size("changed_fields").cast("long"), "change_state": state})
+
+
+def full_resource_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
+    """Resources of two inventories (``inventory.resource_aggregate``) by id with all tracked fields of both sides.
+
+    A side that never saw a resource has nulls; deltas are null unless both sides have the number."""
+
+    def side(df: DataFrame) -> DataFrame:
+        return df.withColumns({"observed": F.col("observed_count") > 0, "discovered_only": F.col("observed_count") == 0}).select("resource_id", "normalized_url", "host", "path", "snapshot_id", *RESOURCE_FIELDS)
+
+    own = ["normalized_url", "host", "path"]
+    out = tracked(full_outer(side(baseline), side(target), ["resource_id"], [*own, "snapshot_id", *RESOURCE_FIELDS]), RESOURCE_FIELDS)
+    out = out.withColumns({c: F.coalesce(f"b_{c}", f"t_{c}") for c in own}).drop(*[f"{s}_{c}" for s in "bt" for c in own])
+    out = out.withColumns({"status_changed": differs("http_status"), "observed_state_changed": differs("observed")})
+    return out.withColumns({f"{n}_delta": delta(c) for n, c in (("occurrence", "occurrence_count"), ("source_page", "source_page_count"), ("declared_size", "declared_size"))})
+
+
+def full_link_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
+    """Links of two scans by (source resource, target resource) with all tracked fields, maps of roles, scopes and regions
+    included. A side has source_snapshot_id and ``LINK_FIELDS``; of several snapshots of a source the greatest id counts.
+
+    A missing side counts as no occurrences in the delta; its other fields are null."""
+    keys = ["source_resource_id", "target_resource_id"]
+    maps = {f: F.array_sort(F.map_entries(f)) for f in LINK_FIELDS if f.endswith("_counts")}
+
+    def side(df: DataFrame) -> DataFrame:
+        best = df.withColumns(maps).groupBy(*keys).agg(F.max_by(F.struct("source_snapshot_id", *LINK_FIELDS), "source_snapshot_id").alias("r"))
+        return best.select(*keys, "r.*")
+
+    out = tracked(full_outer(side(baseline), side(target), keys, ["source_snapshot_id", *LINK_FIELDS]), LINK_FIELDS)
+    count = lambda s: F.coalesce(f"{s}_occurrence_count", F.lit(0))
+    return out.withColumn("occurrence_delta", count("t") - count("b"))
+
+
 def topology(links: DataFrame) -> DataFrame:
     """Per page: newly observed, not observed and changed edges, outgoing and incoming."""
     ends = F.explode(F.array(F.struct(F.lit("outgoing").alias("way"), F.col("source_resource_id").alias("id")), F.struct(F.lit("incoming").alias("way"), F.col("target_resource_id").alias("id")))).alias("e")

@@ -78,6 +78,20 @@ def edges(occurrences: DataFrame, snapshots: DataFrame, self_links: bool = True)
     return grouped.join(target, ["scan_id", "target_resource_id"], "left").withColumn("body_dom_count", residual)
 
 
+def tracked_edges(occurrences: DataFrame) -> DataFrame:
+    """Edges with everything that a comparison of two scans tracks: counts, self link, maps of roles, scopes and regions."""
+    keys = ["source_snapshot_id", "target_resource_id"]
+    known = occurrences.where("target_resource_id is not null")
+    rows = known.groupBy("scan_id", *keys).agg(
+        F.max("source_resource_id").alias("source_resource_id"), F.count("*").alias("occurrence_count"), F.countDistinct(F.nullif(F.trim("anchor_text"), F.lit(""))).alias("unique_anchor_text_count"),
+        F.count_if(blank(F.col("anchor_text"))).alias("empty_anchor_occurrence_count"), F.count_if(~is_nofollow(F.col("rel"))).alias("follow_count"), F.count_if(is_nofollow(F.col("rel"))).alias("nofollow_occurrence_count"),
+        F.count_if("in_scope").alias("in_scope_count"), F.count_if(~F.col("in_scope")).alias("out_scope_count"),
+    )
+    maps = counter_maps(edge_counters(known.withColumn("region", dom_region(F.col("dom_path"))), "role=link_role", "scope=scope_decision", "region=region"))
+    wide = maps.groupBy(*keys).pivot("kind", ["region", "role", "scope"]).agg(F.first("counts")).select(*keys, *[F.col(k).alias(f"{k}_counts") for k in ("region", "role", "scope")])
+    return rows.withColumn("self_link", F.col("source_resource_id") == F.col("target_resource_id")).join(wide, keys, "left")
+
+
 def edge_page(found: DataFrame, limit: int = 250) -> DataFrame:
     """The first edges by source, then fetched targets before others, then target."""
     return found.orderBy("source_snapshot_id", F.asc_nulls_last("target_snapshot_id"), "target_resource_id").limit(limit)

@@ -58,6 +58,27 @@ def deletion_impact(snapshots: DataFrame, occurrences: DataFrame, scan_id: int)
     return rows.agg(*[F.max(name).alias(name) for name in kinds])
 
 
+def deletion_preview(snapshots: DataFrame, occurrences: DataFrame, comparisons: DataFrame, blobs: DataFrame, scan_id: int, pinned: Sequence[DataFrame] = ()) -> DataFrame:
+    """One row: what deleting a scan would remove, blobs that it alone refers to included, with their bytes.
+
+    ``snapshots`` has scan_id, resource_id and sha256, ``blobs`` sha256 and size, ``comparisons`` both scans' ids. Resources
+    count that no other scan, no link of one and nothing in ``pinned`` (tables of one column of ids) knows."""
+    own, others = snapshots.where(F.col("scan_id") == scan_id), snapshots.where(~F.col("scan_id").eqNullSafe(F.lit(scan_id)))
+    own_links, other_links = occurrences.where(F.col("scan_id") == scan_id), occurrences.where(~F.col("scan_id").eqNullSafe(F.lit(scan_id)))
+    known = own.select("resource_id").union(own_links.select("target_resource_id")).where("resource_id is not null").distinct()
+    released = unreferenced(known, "resource_id", [others.select("resource_id").union(other_links.select("target_resource_id")), *pinned])
+    used = own.select("sha256").where("sha256 is not null").distinct().join(blobs, "sha256")
+    shared = others.select("sha256").distinct().withColumn("shared", F.lit(True))
+    used = used.join(shared, "sha256", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    sums = used.agg(F.count_if(~F.col("shared")).alias("blobs_released"), F.coalesce(F.sum(F.when(~F.col("shared"), F.col("size"))), F.lit(0)).alias("bytes_released"), F.count_if("shared").alias("blobs_shared"))
+    pairs = comparisons.where((F.col("baseline_scan_id") == scan_id) | (F.col("target_scan_id") == scan_id))
+    for name, df in (("snapshots", own), ("occurrences", own_links), ("comparisons", pairs), ("resources_released", released)):
+        sums = sums.unionByName(df.agg(F.count("*").alias(name)), allowMissingColumns=True)
+    names = ("snapshots", "occurrences", "comparisons", "resources_released", "blobs_released", "bytes_released", "blobs_shared")
+    return sums.agg(*[F.max(n).alias(n) for n in names])
+
+
+
 def delete_scan(snapshots: DataFrame, occurrences: DataFrame, comparisons: DataFrame, resources: DataFrame, blobs: DataFrame, scan_id: int, pinned: Sequence[DataFrame] = ()) -> dict[str, DataFrame]:
     """What is left of each table without a scan. Blobs go that only it used, and resources that it alone knew and that
     nothing in ``pinned`` (tables of one column of resource ids) refers to. Rows without a scan stay."""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ OPERATORS = ("equals", "starts_with", "ends_with", "contains", "glob", "regex")
 MAX_LENGTH = 8192
 #: A repeated group that holds a repetition can take exponential time; Spark has no time limit a row.
 NESTED = re.compile(r"\([^()]*[+*}][^()]*\)[+*{]")
+#: So can a repeated choice, if its branches match the same text.
+CHOICE = re.compile(r"\([^()]*\|[^()]*\)[+*{]")
 
 
 @dataclass(frozen=True)
@@ -105,6 +108,72 @@ def matches(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return pages.select("site_page_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("m")).select("site_page_id", "m.rule_id", "m.category_id")
 
 
+def needs_limit(c: Condition, jvm) -> bool:
+    """Whether a pattern may take exponential time, or uses what Java's patterns lack."""
+    if c.operator != "regex":
+        return False
+    if NESTED.search(c.value) or CHOICE.search(c.value):
+        return True
+    try:
+        jvm.java.util.regex.Pattern.compile(c.value)
+        return False
+    except Exception:
+        return True
+
+
+def evaluate(pages: DataFrame, rules: Sequence[Rule], limit_seconds: float = 0.02) -> DataFrame:
+    """(site_page_id, rule_id, category_id, error) of every active rule that a page meets, whatever its patterns.
+
+    Rules of plain conditions stay one expression in the JVM. Those with a pattern that needs a limit go through an Arrow
+    pass in which each match may take ``limit_seconds``; a pattern that takes longer, a wrong one included, is no match, and
+    its row says so in ``error`` (null otherwise), so that one page can't stop or distort a run unseen."""
+    import regex
+
+    jvm = pages.sparkSession.sparkContext._jvm
+    active = [r for r in rules if r.active]
+    slow = [r for r in active if any(needs_limit(c, jvm) for c in r.conditions)]
+    plain = matches(pages, [r for r in active if r not in slow]).withColumn("error", F.lit(None).cast("string"))
+    if not slow:
+        return plain
+    for c in (c for r in slow for c in r.conditions):
+        if c.operator not in OPERATORS or c.target not in TARGETS:
+            raise ValueError(f"unknown operator or target: {c.operator}, {c.target}")
+
+    def outcome(c: Condition, text: str, compiled: dict) -> bool:
+        exact = c.case_sensitive and c.target != "host"
+        if c.operator in ("regex", "glob"):
+            if c not in compiled:
+                # A glob is translated to a pattern of Java, whose end is called \\z; here that is \\Z.
+                pattern = c.value if c.operator == "regex" else glob_pattern(c.value)[:-2] + r"\Z"
+                compiled[c] = regex.compile(pattern, 0 if exact else regex.IGNORECASE)
+            hit = compiled[c].search(text, timeout=limit_seconds) is not None
+        else:
+            text, wanted = (text, c.value) if exact else (text.lower(), c.value.lower())
+            hit = {"equals": text == wanted, "starts_with": text.startswith(wanted), "ends_with": text.endswith(wanted), "contains": wanted in text}[c.operator]
+        return hit != c.negate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled: dict = {}
+        for batch in batches:
+            found = []
+            for page, *values in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                texts = dict(zip(TARGETS, values, strict=True))
+                for r in slow:
+                    try:
+                        hits = (outcome(c, texts[c.target], compiled) for c in r.conditions)
+                        if all(hits) if r.mode == "all" else any(hits):
+                            found.append((page, r.rule_id, r.category_id, None))
+                    except TimeoutError:
+                        found.append((page, r.rule_id, r.category_id, "pattern took too long"))
+                    except regex.error as e:
+                        found.append((page, r.rule_id, r.category_id, f"invalid pattern: {e}"))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["site_page_id", "rule_id", "category_id", "error"])
+
+    values = pages.select(F.col("site_page_id").cast("long"), *[target_value(t).alias(t) for t in TARGETS])
+    return plain.unionByName(values.mapInArrow(run, "site_page_id long, rule_id long, category_id long, error string"))
+
+
 def reconcile(desired: DataFrame, existing: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
     """Supports (site_page_id, category_id, rule_id) with what is to be done: add, remove, keep or suppressed.
 

@@ -236,3 +236,35 @@ def site_classification_keys(v: Views) -> DataFrame:
 @BOOK.query("SELECT event_id AS id, " + ", ".join(f"coalesce(strftime(CAST(ts AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE '{z}', '%Y-%m-%d %H:%M'), 'Not available') AS {n}" for n, z in (("new_york", "America/New_York"), ("kathmandu", "Asia/Kathmandu"))) + " FROM events")
 def times_in_zones(v: Views) -> DataFrame:
     return v.table("events").select(F.col("event_id").alias("id"), urls.in_zone(F.col("ts"), "America/New_York").alias("new_york"), urls.in_zone(F.col("ts"), "Asia/Kathmandu").alias("kathmandu"))
+
+
+# ---- all tracked fields of resources ----
+
+_SIDE = {"b": 1995, "t": 1996}
+TRACKED = dict(FULL)
+for _s, _scan in _SIDE.items():
+    TRACKED[f"evidence_{_s}"] = f"SELECT * FROM full_evidence WHERE scan_id = {_scan}"
+    TRACKED |= {f"{k}_{_s}": FULL[k].replace("full_evidence", f"evidence_{_s}") for k in ("newest", "sums")}
+    TRACKED[f"side_{_s}"] = f"""SELECT r.id AS resource_id, r.normalized_url, {{'kind': coalesce(n.kind, s.kind, 'unknown'), 'rule': coalesce(n.rule, s.rule, 'fallback_unknown'), 'observed': observed_count > 0, 'final_url': n.final_url, 'http_status': n.http_status, 'mime_type': n.mime_type, 'filename': n.filename, 'declared_size': n.declared_size,
+        'occurrence_count': occurrence_count, 'source_page_count': source_page_count, 'anchor_count': anchor_count, 'embedded_count': embedded_count, 'in_scope_count': in_scope_count, 'out_scope_count': out_scope_count, 'observed_count': observed_count}} AS f
+        FROM sums_{_s} s JOIN resources r ON r.id = s.resource_id LEFT JOIN newest_{_s} n ON n.resource_id = s.resource_id"""
+_NAMES = ["kind", "rule", "observed", "observed", "final_url", "http_status", "mime_type", "filename", "declared_size", "occurrence_count", "source_page_count", "anchor_count", "embedded_count", "in_scope_count", "out_scope_count", "observed_count"]
+
+
+@BOOK.query(
+    "SELECT resource_id, normalized_url, CASE WHEN b IS NULL THEN 'newly_observed' WHEN t IS NULL THEN 'not_observed_in_target' ELSE 'observed_in_both' END AS presence_state, CASE WHEN b IS NULL OR t IS NULL THEN 0 ELSE k END AS changed_field_count, CASE WHEN b IS NULL OR t IS NULL THEN 'not_applicable' WHEN k > 0 THEN 'changed' ELSE 'no_tracked_change' END AS change_state,"
+    " b IS NOT NULL AND t IS NOT NULL AND b.http_status IS DISTINCT FROM t.http_status AS status_changed, b IS NOT NULL AND t IS NOT NULL AND b.observed IS DISTINCT FROM t.observed AS observed_state_changed, t.occurrence_count - b.occurrence_count AS occurrence_delta, t.source_page_count - b.source_page_count AS source_page_delta, t.declared_size - b.declared_size AS declared_size_delta"
+    " FROM (SELECT *, " + " + ".join(f"CAST(b.{n} IS DISTINCT FROM t.{n} AS BIGINT)" for n in _NAMES) + " AS k FROM (SELECT coalesce(b.resource_id, t.resource_id) AS resource_id, coalesce(b.normalized_url, t.normalized_url) AS normalized_url, b.f AS b, t.f AS t FROM side_b b FULL JOIN side_t t ON b.resource_id = t.resource_id))",
+    "snapshots", "occurrences", "resources", extra=TRACKED,
+)
+def resource_diff_full(v: Views) -> DataFrame:
+    e, size = _evidence(v).where(F.col("scan_id").isin(*_SIDE.values())), F.col("size")
+    e = e.withColumns(
+        {
+            "snapshot_id": F.when(F.col("evidence") == "observed", F.col("evidence_id")), "final_url": F.concat(F.lit("u"), F.col("resource_id").cast("string")), "mime_type": F.when(F.col("http_status") == 200, "text/html"), "filename": F.concat(F.lit("f"), (size % 10).cast("string")),
+            "declared_size": size, "network_bytes": size * 2, "response_time_ms": size, "rule": F.concat(F.lit("rule_"), "kind"), "extension": F.when(F.col("evidence") == "embedded", "png"), "evidence_at": F.col("source_snapshot_id") % 1000,
+        }
+    )
+    r = v.resources().withColumn("path", F.concat(F.lit("/"), "host")).withColumn("path_extension", F.lit("htm"))
+    diff = compare.full_resource_diff(*(inventory.resource_aggregate(e.where(F.col("scan_id") == k), r) for k in _SIDE.values()))
+    return diff.select("resource_id", "normalized_url", "presence_state", "changed_field_count", "change_state", "status_changed", "observed_state_changed", "occurrence_delta", "source_page_delta", "declared_size_delta")

@@ -187,3 +187,28 @@ def occurrence_bag_diff(v: Views) -> DataFrame:
 @BOOK.query()
 def comparison_checksum(v: Views) -> DataFrame:
     return projection.checksum(_pages(v))
+
+
+# ---- all tracked fields ----
+
+_TEXT = lambda c: f"string_agg({c} || '=' || n, ',' ORDER BY {c})"
+TRACKED_LINKS = {
+    "d": "SELECT *, CASE WHEN dom_path LIKE '%header%' THEN 'header' WHEN dom_path LIKE '%footer%' THEN 'footer' WHEN dom_path LIKE '%nav%' THEN 'nav' WHEN dom_path LIKE '%aside%' THEN 'aside' WHEN dom_path LIKE '%main%' THEN 'main' ELSE 'body' END AS region FROM dense",
+    **{c: f"SELECT scan_id, source_snapshot_id, target_resource_id, {_TEXT(c)} AS counts FROM (SELECT scan_id, source_snapshot_id, target_resource_id, {c}, count(*) AS n FROM d GROUP BY ALL) GROUP BY 1, 2, 3" for c in ("link_role", "scope_decision", "region")},
+    "sides": """SELECT e.*, r.counts AS roles, s.counts AS scopes, g.counts AS regions FROM (SELECT scan_id, source_snapshot_id, target_resource_id, max(source_resource_id) AS source_resource_id, count(*) AS n, count(DISTINCT nullif(trim(anchor_text), '')) AS anchors, count(*) FILTER (WHERE trim(anchor_text) = '') AS blank,
+        count(*) FILTER (WHERE rel = 'nofollow') AS nf, count(*) FILTER (WHERE rel <> 'nofollow') AS fo, count(*) FILTER (WHERE in_scope) AS ins, count(*) FILTER (WHERE NOT in_scope) AS outs FROM d GROUP BY 1, 2, 3) e
+        JOIN link_role r USING (scan_id, source_snapshot_id, target_resource_id) JOIN scope_decision s USING (scan_id, source_snapshot_id, target_resource_id) JOIN region g USING (scan_id, source_snapshot_id, target_resource_id)""",
+    "paired": f"SELECT coalesce(b.source_resource_id, t.source_resource_id) AS source_resource_id, coalesce(b.target_resource_id, t.target_resource_id) AS target_resource_id, b, t FROM (SELECT sides AS b, * FROM sides WHERE scan_id = {BASE}) b FULL JOIN (SELECT sides AS t, * FROM sides WHERE scan_id = {TARGET}) t ON b.source_resource_id = t.source_resource_id AND b.target_resource_id = t.target_resource_id",
+    "counted": "SELECT *, " + " + ".join(f"CAST(b.{c} IS DISTINCT FROM t.{c} AS BIGINT)" for c in ("n", "anchors", "blank", "nf", "fo", "ins", "outs", "roles", "scopes", "regions")) + " AS k FROM paired",
+}
+
+
+@BOOK.query(
+    """SELECT source_resource_id, target_resource_id, CASE WHEN b IS NULL THEN 'newly_observed' WHEN t IS NULL THEN 'not_observed_in_target' ELSE 'observed_in_both' END AS presence_state, CASE WHEN b IS NULL OR t IS NULL THEN 0 ELSE k END AS changed_field_count,
+    CASE WHEN b IS NULL OR t IS NULL THEN 'not_applicable' WHEN k > 0 THEN 'changed' ELSE 'no_tracked_change' END AS change_state, coalesce(t.n, 0) - coalesce(b.n, 0) AS occurrence_delta FROM counted""",
+    "dense", extra=TRACKED_LINKS,
+)
+def link_diff_full(v: Views) -> DataFrame:
+    e = graph.tracked_edges(v.occurrences(dense=True).where(F.col("scan_id").isin(BASE, TARGET)))
+    diff = compare.full_link_diff(*(e.where(F.col("scan_id") == k) for k in (BASE, TARGET)))
+    return diff.select("source_resource_id", "target_resource_id", "presence_state", "changed_field_count", "change_state", "occurrence_delta")

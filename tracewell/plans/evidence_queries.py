@@ -313,6 +313,23 @@ def rule_provenance(v: Views) -> DataFrame:
     return rules.provenance(rules.after(_actions(v)), pages.where("site_page_id % 11 = 0").select("site_page_id", ten), pages.where("site_page_id % 7 = 0").select("site_page_id", ten))
 
 
+LIMITED = [
+    rules.Rule(21, 70, [rules.Condition("normalized_url", "regex", "^([a-z]+ )*[a-z]*oo[a-z]*( [a-z]+)*$")]), rules.Rule(22, 70, [rules.Condition("normalized_url", "regex", r"^(?P<a>\w)\w* (?:\w+ )*(?P=a)\w*$"), rules.Condition("path", "starts_with", "promo")]),
+    rules.Rule(23, 71, [rules.Condition("path", "contains", "brass")]), rules.Rule(24, 72, [rules.Condition("host", "regex", "^(b+r*a*n*d*)+#1"), rules.Condition("path", "glob", "*STEEL")], "any"), rules.Rule(25, 73, [rules.Condition("path", "regex", "([")]),
+]
+
+
+@BOOK.query(
+    """SELECT p_partkey AS site_page_id, rule_id, category_id, error FROM part, (SELECT CAST(a AS BIGINT) AS rule_id, CAST(b AS BIGINT) AS category_id, CASE WHEN a = 25 THEN 'invalid pattern' END AS error, a AS own FROM (VALUES (21, 70), (22, 70), (23, 71), (24, 72), (25, 73)) x(a, b)) k
+    WHERE CASE own WHEN 21 THEN regexp_matches(lower(p_name), '^([a-z]+ )*[a-z]*oo[a-z]*( [a-z]+)*$') WHEN 22 THEN len(string_split(p_name, ' ')) > 1 AND substr(lower(p_name), 1, 1) = substr(lower(string_split(p_name, ' ')[-1]), 1, 1) AND lower(p_type) LIKE 'promo%'
+    WHEN 23 THEN lower(p_type) LIKE '%brass%' WHEN 24 THEN lower(p_brand) LIKE 'brand#1%' OR lower(p_type) LIKE '%steel' ELSE TRUE END"""
+)
+def rule_matches_limited(v: Views) -> DataFrame:
+    """Rules with nested repetition, back references and a wrong pattern beside a plain one."""
+    got = rules.evaluate(_rule_pages(v), LIMITED, 1.0)
+    return got.withColumn("error", F.substring_index("error", ":", 1))
+
+
 # ---- retention and identity ----
 
 
@@ -391,3 +408,19 @@ def projection_checksum(v: Views) -> DataFrame:
 @BOOK.query()
 def seed_fingerprint(v: Views) -> DataFrame:
     return inventory.seed_fingerprint(inventory.seeds(v.table("part").select(F.col("p_type").alias("policy_key"), F.col("p_name").alias("url"), F.col("p_size").alias("priority"))))
+
+
+DELETION = {"kept": "SELECT *, 'b' || response_time_ms % 5000 AS sha256 FROM snapshots", "files": "SELECT sha256, min(response_time_ms) AS size FROM kept GROUP BY 1", "pairs": "SELECT scan_id - 1 AS baseline_scan_id, scan_id AS target_scan_id FROM scans"}
+
+
+@BOOK.query(
+    """SELECT (SELECT count(*) FROM snapshots WHERE scan_id = 1996) AS snapshots, (SELECT count(*) FROM occurrences WHERE scan_id = 1996) AS occurrences, (SELECT count(*) FROM pairs WHERE 1996 IN (baseline_scan_id, target_scan_id)) AS comparisons,
+    (SELECT count(*) FROM (SELECT resource_id AS r FROM snapshots WHERE scan_id = 1996 UNION SELECT target_resource_id FROM occurrences WHERE scan_id = 1996) WHERE r NOT IN (SELECT resource_id FROM snapshots WHERE scan_id <> 1996) AND r NOT IN (SELECT target_resource_id FROM occurrences WHERE scan_id <> 1996)) AS resources_released,
+    count(*) FILTER (WHERE NOT shared) AS blobs_released, CAST(coalesce(sum(size) FILTER (WHERE NOT shared), 0) AS BIGINT) AS bytes_released, count(*) FILTER (WHERE shared) AS blobs_shared FROM (SELECT *, sha256 IN (SELECT sha256 FROM kept WHERE scan_id <> 1996) AS shared FROM files WHERE sha256 IN (SELECT sha256 FROM kept WHERE scan_id = 1996))""",
+    "scans", "snapshots", "occurrences", extra=DELETION,
+)
+def deletion_preview(v: Views) -> DataFrame:
+    """What goes with a scan, the blobs that it alone refers to included."""
+    s = v.snapshots().withColumn("sha256", F.concat(F.lit("b"), (F.col("response_time_ms") % 5000).cast("string")))
+    pairs = v.scans().select((F.col("scan_id") - 1).alias("baseline_scan_id"), F.col("scan_id").alias("target_scan_id"))
+    return retention.deletion_preview(s, v.occurrences(), pairs, s.groupBy("sha256").agg(F.min("response_time_ms").alias("size")), 1996)

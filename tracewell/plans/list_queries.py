@@ -218,3 +218,79 @@ def bulk_assignment(v: Views) -> DataFrame:
     """Parts of a large size are to have it as their category, even ones have it, the others are to lose it."""
     p = v.table("part").select(F.col("p_partkey").alias("site_page_id"), F.col("p_size").alias("category_id"))
     return rules.bulk_assign(p.where("site_page_id % 2 = 0"), add=p.where("category_id > 25"), remove=p.where("category_id <= 25"))
+
+
+# ---- the other lists, each with rows ----
+
+
+@BOOK.query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, id DESC LIMIT 200")
+def list_scans(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return lists.SCANS.read(o, "created_at", True, 200, status="F").select("id", "status")
+
+
+@BOOK.query("SELECT o_orderkey AS id, round(CAST(o_totalprice AS DOUBLE), 3) AS seconds FROM orders ORDER BY o_totalprice DESC, id DESC LIMIT 100")
+def list_scans_by_duration(v: Views) -> DataFrame:
+    begun = F.lit("1996-01-01 00:00:00").cast("timestamp")
+    o = v.table("orders").select(F.col("o_orderkey").alias("id"), F.lit("F").alias("status"), begun.alias("started_at"), F.timestamp_micros((F.unix_micros(begun) + F.round(F.col("o_totalprice").cast("double") * 1_000_000).cast("long")).cast("long")).alias("finished_at"))
+    return lists.SCANS.read(o, "duration", True, 100).select("id", F.round(((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1_000_000).cast("double"), 3).alias("seconds"))
+
+
+@BOOK.query("SELECT n_nationkey AS id, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS scan_count FROM nation WHERE n_name ILIKE '%a%' AND n_nationkey % 3 <> 0 ORDER BY scan_count DESC, id DESC LIMIT 50")
+def list_active_sites(v: Views) -> DataFrame:
+    n = v.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("base_url"), F.lit("").alias("description"), (F.col("n_nationkey") % 3 != 0).alias("is_active"))
+    return lists.SITES.read(lists.counts_for_order(n, "id", scan_count=(v.table("customer"), "c_nationkey")), "scan_count", True, search="A", state="active").select("id", "name", "scan_count")
+
+
+@BOOK.query("SELECT p_partkey AS id, p_name AS normalized_url FROM part WHERE p_partkey % 2 = 0 AND p_size % 3 = 1 AND (p_name ILIKE '%a%' OR p_type ILIKE '%a%') ORDER BY p_name DESC, id LIMIT 250")
+def list_current_source_entries(v: Views) -> DataFrame:
+    e = v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("normalized_url"), F.col("p_type").alias("raw_url"), (F.col("p_partkey") % 2 == 0).alias("is_current"), (F.col("p_size") % 3).alias("source_type"))
+    return lists.SOURCE_ENTRIES.read(e, "url", True, 250, search="a", current_state="current", source_type=1).select("id", "normalized_url")
+
+
+@BOOK.query("SELECT doc_id AS id, n_chars AS size FROM documents WHERE lang = 'en' AND doc_id % 4 = 1 ORDER BY n_chars DESC NULLS LAST, id DESC LIMIT 250")
+def list_documents(v: Views) -> DataFrame:
+    d = v.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("requested_url"), F.lit(None).cast("string").alias("final_url"), F.lit("").alias("parsed_title"), F.col("lang").alias("document_kind"), (F.col("doc_id") % 4).alias("parent_depth_min"), F.col("n_chars").alias("network_bytes_transferred"))
+    return lists.DOCUMENTS.read(d, "size", True, 250, kind="en", depth=1).select("id", F.col("network_bytes_transferred").alias("size"))
+
+
+@BOOK.query("SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'R' AND l_tax = 0 ORDER BY id LIMIT 250")
+def list_document_references(v: Views) -> DataFrame:
+    r = v.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), (F.col("l_linestatus") == "O").alias("in_scope"), (F.col("l_returnflag") == "R").alias("optional"), F.when(F.col("l_tax") == 0, F.col("l_orderkey")).alias("child_snapshot_id"))
+    return lists.DOCUMENT_REFERENCES.read(r, "position", False, 250, in_scope=True, optional=False, fetched=True).select("id")
+
+
+@BOOK.query("SELECT event_id AS id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 250")
+def list_network(v: Views) -> DataFrame:
+    e = v.table("events").select(F.col("event_id").alias("id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("resource_type"), F.lit("").alias("redacted_url"))
+    return lists.NETWORK.read(e, "sequence", False, 250, resource_type="click").select("id")
+
+
+@BOOK.query("SELECT event_id AS id FROM events WHERE event_type ILIKE '%ic%' ORDER BY event_id LIMIT 250")
+def list_console_messages(v: Views) -> DataFrame:
+    e = v.table("events").select(F.col("event_id").alias("id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("text"), F.lit("log").alias("message_type"))
+    return lists.CONSOLE.read(e, "sequence", False, 250, search="IC", message_type="log").select("id")
+
+
+@BOOK.query("SELECT o_orderkey AS id, o_custkey - o_orderkey % 100 AS delta FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY delta DESC, id DESC LIMIT 100")
+def list_rule_runs(v: Views) -> DataFrame:
+    o = v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("trigger_type"), F.col("o_custkey").alias("rule_supports_added"), (F.col("o_orderkey") % 100).alias("rule_supports_removed"))
+    return lists.RULE_RUNS.read(o, "supports_delta", True, 100, status="O", trigger="1-URGENT").select("id", (F.col("rule_supports_added") - F.col("rule_supports_removed")).alias("delta"))
+
+
+@BOOK.query("SELECT p_partkey AS id, n AS condition_count FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_partkey % 2 = 1 AND p_name ILIKE '%o%' AND p_size < 30 ORDER BY n, id LIMIT 100")
+def list_rules(v: Views) -> DataFrame:
+    p = v.table("part").where("p_size < 30").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 2 == 1).alias("is_active"))
+    rows = lists.counts_for_order(p, "id", condition_count=(v.table("lineitem"), "l_partkey")).where("condition_count > 0")
+    return lists.RULES.read(rows, "condition_count", False, 100, search="O", state="active").select("id", "condition_count")
+
+
+@BOOK.query("SELECT id, resource_id FROM snapshots WHERE http_status = 200 AND scan_id = 1995 ORDER BY fetched_at DESC, id LIMIT 250", "snapshots")
+def list_page_history(v: Views) -> DataFrame:
+    s = v.snapshots().withColumn("website_property_id", F.col("scan_id"))
+    return lists.HISTORY.read(s, "fetched_at", True, 250, http_status=200, site=1995).select("id", "resource_id")
+
+
+@BOOK.query("SELECT n_nationkey AS id FROM nation ORDER BY n_name LIMIT 20")
+def list_categories(v: Views) -> DataFrame:
+    return lists.CATEGORIES.read(v.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("normalized_name")), "name", False, 20).select("id")
