@@ -6,6 +6,7 @@ one small manifest entry written last. Readers take the newest compatible ready
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -105,8 +106,13 @@ def hash_sums(hashes: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder for builds in the shared place that ``spark.checkpoint.dir`` names; the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder for builds in the shared place that ``spark.checkpoint.dir`` names. Where it is unset, a local session
+    takes the warehouse, and one with executors elsewhere, which might not see that, is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

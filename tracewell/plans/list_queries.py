@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,18 @@ def list_pages_projected(v: Views) -> DataFrame:
     return lists.PAGES.read(_stored(v, 0, _pages(v)), "inbound", True, 200, search="1", host="BUILDING", min_depth=2, max_depth=4, error_state="without_errors", rendered_state="not_requested", path_prefix="/build").select("id", "requested_url", "inbound_occurrences")
 
 
+def projected_reads(v: Views) -> dict[str, Callable[[], DataFrame]]:
+    """The projected lists as what they are meant for: reads of builds that were made before. For the bench."""
+    resources, pages = _stored(v, 0, _inventory(v)), _stored(v, 0, _pages(v))
+    asked = dict(kind="image", mime_type="X-2", evidence_state="observed", scope_state="out_of_scope", min_size=100, max_size=100_000, multiple_sources=True, external_to="Brand#13", search="A")
+    of_pages = dict(search="1", host="BUILDING", min_depth=2, max_depth=4, error_state="without_errors", rendered_state="not_requested", path_prefix="/build")
+    return {
+        "read_resources_projected": lambda: lists.RESOURCES.read(resources, "occurrence_count", True, 250, **asked).select("resource_id", "occurrence_count", "source_page_count"),
+        "read_pages_projected": lambda: lists.PAGES.read(pages, "inbound", True, 200, **of_pages).select("id", "requested_url", "inbound_occurrences"),
+        "read_resource_summary_projected": lambda: resources.groupBy("kind").agg(F.count("*").alias("n"), F.sum("occurrence_count").alias("occurrences")),
+    }
+
+
 EDGES = {
     "sides": "SELECT scan_id, source_resource_id AS s, target_resource_id AS t, count(*) AS n, count(*) FILTER (WHERE link_role = 'A') AS a FROM dense WHERE scan_id IN (1995, 1996) GROUP BY 1, 2, 3",
     "diffs": """SELECT coalesce(b.s, g.s) * 100 + coalesce(b.t, g.t) AS id, CASE WHEN b.s IS NULL THEN 'newly_observed' WHEN g.s IS NULL THEN 'not_observed' ELSE 'observed_in_both' END AS presence_state, coalesce(b.a, 0) AS ba, coalesce(g.a, 0) AS ta, coalesce(b.n, 0) AS baseline_occurrence_count, coalesce(g.n, 0) AS target_occurrence_count
