@@ -106,3 +106,17 @@ def test_comparisons_know_their_coverage_and_refuse_other_states(spark, tmp_path
     again = stores[1].request(*SCANS)
     assert stores[1].execute(again["build_id"], made("observed_in_both"), {"pages": ["resource_id"]})["coverage_state"] == "comparable_with_warnings"
     assert stores[0].current("1-2")["build_id"] == again["build_id"]
+
+
+def test_details_of_a_stored_comparison(spark, tmp_path):
+    p = projection.ProjectionStore(spark, f"file://{tmp_path}/p")
+    c = comparisons.ComparisonStore(spark, f"file://{tmp_path}/c", p)
+    for k in (1, 2):
+        p.build(f"p{k}", k, rows(spark, *((i, str(i * k)) for i in range(100 * k))))
+    assert c.detail("1-2", "pages", resource_id=3) is None
+    from tracewell.operators import compare
+
+    c.execute(c.request(*SCANS)["build_id"], lambda b, t: {"pages": compare.tracked(compare.full_outer(b, t, ["resource_id"], ["x"]), ["x"])}, {"pages": ["resource_id"]})
+    got = c.detail("1-2", "pages", resource_id=3)
+    assert (got["b_x"], got["t_x"], got["changed_fields"], got["change_state"]) == ("3", "6", ["x"], "changed")
+    assert c.detail("1-2", "pages", resource_id=150)["presence_state"] == "newly_observed" and c.detail("1-2", "pages", resource_id=999) is None

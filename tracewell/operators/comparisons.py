@@ -161,7 +161,9 @@ class ComparisonStore:
             for kind, df in sorted(sides(*(self.projections.stored(pinned[f"{side}_build"]) for side in ("baseline", "target"))).items()):
                 if cancelled():
                     raise Cancelled(build_id)
-                df.write.mode("overwrite").parquet(f"{path}/{kind}")
+                # In order of the key, so that a read of some keys skips the other files and row groups.
+                spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                df.repartitionByRange(spread, *keys[kind]).sortWithinPartitions(*keys[kind]).write.mode("overwrite").parquet(f"{path}/{kind}")
                 stored = self.spark.read.schema(df.schema).parquet(f"{path}/{kind}")
                 n = stored.agg(F.count("*").alias("n"), F.countDistinct(F.struct(*keys[kind])).alias("keys"), F.count_if(F.col("presence_state").isin(compare.BOTH, compare.NEW, compare.GONE)).alias("placed")).first()
                 if not n.n == n.keys == n.placed:
@@ -179,6 +181,13 @@ class ComparisonStore:
         found = self.current(comparison_id)
         return self.spark.read.parquet(f"{self.folder}/data/build_id={found['build_id']}/{kind}") if found else None
 
+    def detail(self, comparison_id: str, kind: str, **key: object) -> dict | None:
+        """The one row of a kind with this key in the current build, all fields of both sides; None where there is none.
+        A page, resource or link that does not belong to the comparison is none either."""
+        rows = self.read(comparison_id, kind)
+        found = None if rows is None else rows.where(" AND ".join(f"`{k}` = {int(x)}" for k, x in key.items())).first()
+        return None if found is None else found.asDict(recursive=True)
+
     def overview(self, comparison_id: str, states: dict[str, str]) -> DataFrame | None:
         """kind, presence_state, state, n over the current build; ``states`` names each kind's column of changes."""
         out = None

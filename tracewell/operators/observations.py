@@ -103,6 +103,17 @@ def change_history(snapshots: DataFrame, scans: DataFrame, tracked: dict[str, st
     return out.select("resource_id", "scan_id", "id", "previous_id", *[f.alias(f"{n}_changed") for n, f in flags.items()], label.alias("label"), F.coalesce("between", F.lit(0)).alias("scans_between"))
 
 
+def page_history(snapshots: DataFrame, scans: DataFrame, sites: DataFrame, artifacts: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Every observation of a page with its scan, and where there are any its site, the artifact of its body and what was
+    rendered of it. ``scans`` has scan_id, site_id, scan_status, created_at; ``sites`` site_id, site_name; ``artifacts``
+    sha256, parse_state; ``rendered`` snapshot_id, capture_state, one row a key each. Of several artifacts of a body, or
+    captures of a snapshot, the least state counts, so that an observation stays one row."""
+    one = lambda df, key, value: df.groupBy(key).agg(F.min(value).alias(value))
+    out = snapshots.join(scans.select("scan_id", "site_id", "scan_status", "created_at"), "scan_id").join(one(sites, "site_id", "site_name"), "site_id", "left")
+    out = out.join(one(artifacts, "sha256", "parse_state"), "sha256", "left")
+    return out.join(one(rendered, "snapshot_id", "capture_state").withColumnRenamed("snapshot_id", "id"), "id", "left")
+
+
 def latest_scan(snapshots: DataFrame, by: str) -> DataFrame:
     """Per key: number of scans, latest scan id and its newest observation."""
     return snapshots.groupBy(by).agg(F.countDistinct("scan_id").alias("scans"), F.max("scan_id").alias("latest_scan_id"), F.max_by("id", F.struct("scan_id", "fetched_at", "id")).alias("latest_snapshot_id"))

@@ -251,13 +251,15 @@ for _s, _scan in _SIDE.items():
 _NAMES = ["kind", "rule", "observed", "observed", "final_url", "http_status", "mime_type", "filename", "declared_size", "occurrence_count", "source_page_count", "anchor_count", "embedded_count", "in_scope_count", "out_scope_count", "observed_count"]
 
 
-@BOOK.query(
+ORACLE_RESOURCES = (
     "SELECT resource_id, normalized_url, CASE WHEN b IS NULL THEN 'newly_observed' WHEN t IS NULL THEN 'not_observed_in_target' ELSE 'observed_in_both' END AS presence_state, CASE WHEN b IS NULL OR t IS NULL THEN 0 ELSE k END AS changed_field_count, CASE WHEN b IS NULL OR t IS NULL THEN 'not_applicable' WHEN k > 0 THEN 'changed' ELSE 'no_tracked_change' END AS change_state,"
     " b IS NOT NULL AND t IS NOT NULL AND b.http_status IS DISTINCT FROM t.http_status AS status_changed, b IS NOT NULL AND t IS NOT NULL AND b.observed IS DISTINCT FROM t.observed AS observed_state_changed, t.occurrence_count - b.occurrence_count AS occurrence_delta, t.source_page_count - b.source_page_count AS source_page_delta, t.declared_size - b.declared_size AS declared_size_delta"
-    " FROM (SELECT *, " + " + ".join(f"CAST(b.{n} IS DISTINCT FROM t.{n} AS BIGINT)" for n in _NAMES) + " AS k FROM (SELECT coalesce(b.resource_id, t.resource_id) AS resource_id, coalesce(b.normalized_url, t.normalized_url) AS normalized_url, b.f AS b, t.f AS t FROM side_b b FULL JOIN side_t t ON b.resource_id = t.resource_id))",
-    "snapshots", "occurrences", "resources", extra=TRACKED,
-)
-def resource_diff_full(v: Views) -> DataFrame:
+    " FROM (SELECT *, " + " + ".join(f"CAST(b.{n} IS DISTINCT FROM t.{n} AS BIGINT)" for n in _NAMES) + " AS k FROM (SELECT coalesce(b.resource_id, t.resource_id) AS resource_id, coalesce(b.normalized_url, t.normalized_url) AS normalized_url, b.f AS b, t.f AS t FROM side_b b FULL JOIN side_t t ON b.resource_id = t.resource_id))"
+)
+
+
+def _inventories(v: Views) -> dict[int, DataFrame]:
+    """The full inventory of each of two scans."""
     e, size = _evidence(v).where(F.col("scan_id").isin(*_SIDE.values())), F.col("size")
     e = e.withColumns(
         {
@@ -266,5 +268,40 @@ def resource_diff_full(v: Views) -> DataFrame:
         }
     )
     r = v.resources().withColumn("path", F.concat(F.lit("/"), "host")).withColumn("path_extension", F.lit("htm"))
-    diff = compare.full_resource_diff(*(inventory.resource_aggregate(e.where(F.col("scan_id") == k), r) for k in _SIDE.values()))
+    return {k: inventory.resource_aggregate(e.where(F.col("scan_id") == k), r) for k in _SIDE.values()}
+
+
+@BOOK.query(ORACLE_RESOURCES, "snapshots", "occurrences", "resources", extra=TRACKED)
+def resource_diff_full(v: Views) -> DataFrame:
+    diff = compare.full_resource_diff(*_inventories(v).values())
     return diff.select("resource_id", "normalized_url", "presence_state", "changed_field_count", "change_state", "status_changed", "observed_state_changed", "occurrence_delta", "source_page_delta", "declared_size_delta")
+
+
+@BOOK.query(
+    "SELECT 'resources' AS kind, presence_state, change_state AS state, count(*) AS n FROM (" + ORACLE_RESOURCES + ") GROUP BY ALL", "snapshots", "occurrences", "resources", extra=TRACKED,
+)
+def comparison_resources_overview(v: Views) -> DataFrame:
+    """A stored comparison of two inventories, each a validated build, read as its overview."""
+    builds = projection.ProjectionStore(v.spark, projection.shared_folder(v.spark, "inventories"))
+    for scan, rows in _inventories(v).items():
+        builds.build(f"resources-{scan}", scan, rows)
+    store = comparisons.ComparisonStore(v.spark, projection.shared_folder(v.spark, "comparison"), builds)
+    asked = store.request(*({"scan_id": k, "site_id": 1, "status": "completed"} for k in _SIDE.values()))
+    store.execute(asked["build_id"], lambda b, t: {"resources": compare.full_resource_diff(b, t)}, {"resources": ["resource_id"]})
+    return store.overview(asked["comparison_id"], {"resources": "change_state"})
+
+
+@BOOK.query(
+    """SELECT s.id, s.resource_id, s.scan_id, k.site_name, CASE WHEN s.response_time_ms % 3 = 0 THEN 'parsed' WHEN s.response_time_ms % 3 = 1 THEN 'failed' END AS parse_state, r.capture_state
+    FROM snapshots s JOIN scans USING (scan_id) LEFT JOIN (SELECT n_nationkey AS site_id, n_name AS site_name FROM nation) k ON k.site_id = s.scan_id % 30 LEFT JOIN (SELECT event_id AS id, min(event_type) AS capture_state FROM events GROUP BY 1) r ON r.id = s.id""",
+    "scans", "snapshots",
+)
+def page_history(v: Views) -> DataFrame:
+    """Observations with their scan, and site, artifact and rendering where there are any."""
+    third = F.col("response_time_ms") % 3
+    s = v.snapshots().withColumn("sha256", F.when(third < 2, F.concat(F.lit("b"), F.col("response_time_ms").cast("string"))))
+    scans = v.scans().withColumns({"site_id": F.col("scan_id") % 30, "scan_status": F.lit("completed")})
+    artifacts = s.where("sha256 is not null").select("sha256", F.when(third == 0, "parsed").otherwise("failed").alias("parse_state"))
+    sites = v.table("nation").select(F.col("n_nationkey").cast("long").alias("site_id"), F.col("n_name").alias("site_name"))
+    got = observations.page_history(s, scans, sites, artifacts, v.table("events").select(F.col("event_id").alias("snapshot_id"), F.col("event_type").alias("capture_state")))
+    return got.select("id", "resource_id", "scan_id", "site_name", "parse_state", "capture_state")
