@@ -139,3 +139,19 @@ def top_audits(audits: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` audits with most savings of each report."""
     w = Window.partitionBy("report_id").orderBy(F.desc_nulls_last("savings"), "audit_id")
     return audits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def top_diagnostics(audits: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` worst audits of each report (report_id, audit_id, score): known scores first, the lowest of them first."""
+    w = Window.partitionBy("report_id").orderBy(F.asc_nulls_last("score"), "audit_id")
+    return audits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def site_first_candidate(asked: DataFrame, snapshots: DataFrame, reusable: Column, n: int = 20) -> DataFrame:
+    """For each asked page (resource_id, site_id): of the newest ``n`` snapshots (id, resource_id, site_id, fetched_at), those
+    of its own site before all others, the first that can be used again. Without a site only time counts."""
+    own = asked.select("resource_id", F.col("site_id").alias("__site")).distinct()
+    rows = snapshots.join(own, "resource_id").withColumn("__same", F.coalesce((F.col("site_id") == F.col("__site")) & F.col("__site").isNotNull(), F.lit(False)))
+    w = Window.partitionBy("resource_id", "__site").orderBy(F.desc("__same"), F.desc_nulls_last("fetched_at"), F.desc("id"))
+    rows = rows.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= n) & reusable)
+    return rows.groupBy("resource_id", F.col("__site").alias("asked_site_id")).agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))

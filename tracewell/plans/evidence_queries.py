@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import privacy
 from ..operators import catalog, inventory, observations, projection, retention, rules
 from ..sources.fixtures import Views
 from .book import Book
@@ -424,3 +425,30 @@ def deletion_preview(v: Views) -> DataFrame:
     s = v.snapshots().withColumn("sha256", F.concat(F.lit("b"), (F.col("response_time_ms") % 5000).cast("string")))
     pairs = v.scans().select((F.col("scan_id") - 1).alias("baseline_scan_id"), F.col("scan_id").alias("target_scan_id"))
     return retention.deletion_preview(s, v.occurrences(), pairs, s.groupBy("sha256").agg(F.min("response_time_ms").alias("size")), 1996)
+
+
+@BOOK.query(
+    """SELECT resource_id, asked_site_id, min_by(id, rank) AS id, CAST(min(rank) AS INT) AS rank FROM (SELECT s.resource_id, a.site_id AS asked_site_id, s.id, fetch_state, row_number() OVER (PARTITION BY s.resource_id, a.site_id ORDER BY s.scan_id % 2 = a.site_id DESC, fetched_at DESC, s.id DESC) AS rank
+    FROM snapshots s JOIN (SELECT DISTINCT resource_id, resource_id % 2 AS site_id FROM snapshots) a USING (resource_id)) WHERE rank <= 20 AND fetch_state = 'F' GROUP BY 1, 2""",
+    "snapshots",
+)
+def site_first_candidates(v: Views) -> DataFrame:
+    s = v.snapshots().withColumn("site_id", F.col("scan_id") % 2)
+    return observations.site_first_candidate(s.select("resource_id", (F.col("resource_id") % 2).alias("site_id")), s, F.col("fetch_state") == "F")
+
+
+@BOOK.query("SELECT report_id, audit_id, CAST(rank AS INT) AS rank FROM (SELECT l_orderkey AS report_id, l_partkey AS audit_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY score NULLS LAST, l_partkey) AS rank FROM (SELECT l_orderkey, l_partkey, min(CASE WHEN l_returnflag <> 'R' THEN l_quantity END) AS score FROM lineitem GROUP BY 1, 2)) WHERE rank <= 3")
+def top_diagnostics(v: Views) -> DataFrame:
+    a = v.table("lineitem").groupBy(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("audit_id")).agg(F.min(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).alias("score"))
+    return observations.top_diagnostics(a, 3).select("report_id", "audit_id", "rank")
+
+
+_BASE = "split_part(split_part(url, '?', 1), '#', 1)"
+
+
+@BOOK.query(f"SELECT page_id, 'see ' || {_BASE} || '?token=%5BREDACTED%5D&x=' || page_id || ' and ' || {_BASE} || '?Key=%5BREDACTED%5D&b=2 end' AS shown FROM pages")
+def text_redaction(v: Views) -> DataFrame:
+    """Texts with two URLs: secrets, a user and a fragment go."""
+    base, k = F.substring_index(F.substring_index("url", "?", 1), "#", 1), F.col("page_id").cast("string")
+    text = F.concat(F.lit("see "), F.regexp_replace(base, "://", "://me:pw@"), F.lit("?token=T&x="), k, F.lit("#top and "), base, F.lit("?Key=1&b=2 end"))
+    return v.table("pages").select("page_id", privacy.redacted_text(text, 10_000).alias("shown"))
