@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.classify import json_hash
 from ..functions.markup import difference_categories
 
 BOTH, NEW, GONE = "observed_in_both", "newly_observed", "not_observed_in_target"
@@ -267,3 +268,12 @@ def bag_diff(baseline: DataFrame, target: DataFrame, key: list[str]) -> DataFram
     out = b.join(t, key, "full").fillna(0, subset=["b", "t"])
     zero = F.lit(0).cast("long")
     return out.select(*key, F.least("b", "t").alias("present_in_both"), F.greatest(zero, F.col("t") - F.col("b")).alias("newly_observed"), F.greatest(zero, F.col("b") - F.col("t")).alias("not_observed_in_target"))
+
+
+#: Fields that tell occurrences of a link apart.
+OCCURRENCE_FIELDS = ("raw_href", "resolved_url", "anchor_text", "title", "aria_label", "rel", "target", "dom_path", "scope_decision", "link_role", "link_role_rule", "link_context")
+
+
+def occurrence_fingerprint() -> Column:
+    """SHA-256 of an occurrence's canonical JSON: all ``OCCURRENCE_FIELDS``, nulls too, sorted, text as it is."""
+    return json_hash({f: F.col(f) for f in OCCURRENCE_FIELDS})

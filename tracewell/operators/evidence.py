@@ -57,6 +57,28 @@ def content_status(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
     return pages.join(a, "sha256", "left").withColumn("content_status", state)
 
 
+#: Why content is partial, missing or can't be read.
+CONTENT_REASONS = {
+    "not_applicable": "This observation has no retained HTML ContentBlob.", "not_prepared": "Structured content has not been prepared for this retained HTML blob.",
+    "partial": "Extraction completed with deterministic bounds.", "unavailable": "The retained HTML could not be parsed.",
+}
+
+
+def content_page(pages: DataFrame, artifacts: DataFrame, sections: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One page of the sections of each of ``pages`` (with sha256), as rows with content_status, reason and total; a page
+    without sections there is one row whose section columns are null.
+
+    ``artifacts`` has sha256, extraction_state and section_count, ``sections`` sha256, position and others. Positions run from
+    zero without gaps (``section_faults``), so a page of them is a filter that reaches the scan, not a sort."""
+    if limit < 1 or offset < 0:
+        raise ValueError("page out of range")
+    status = content_status(pages, artifacts)
+    total = artifacts.select("sha256", F.col("section_count").alias("total"))
+    reason = F.element_at(F.create_map(*[F.lit(x) for pair in CONTENT_REASONS.items() for x in pair]), F.col("content_status"))
+    shown = sections.where(F.col("position").between(offset, offset + limit - 1))
+    return status.withColumn("reason", reason).join(total, "sha256", "left").withColumn("total", F.coalesce("total", F.lit(0))).join(shown, "sha256", "left")
+
+
 # ---- rendered pages ----
 
 ARTIFACTS = ("screenshot", "dom", "network_log")

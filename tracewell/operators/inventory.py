@@ -147,6 +147,23 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, values: list[str]
     return out.select(key, *[F.when(F.col("new").isNull(), F.col(f"old.{v}")).otherwise(F.col(f"new.{v}")).alias(v) for v in values], action.alias("action"))
 
 
+def add_lines(existing: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What adding lines to a source by hand does: ``lines`` with outcome, and the entries (policy_key, raw_url) after it.
+
+    ``lines`` has position, raw_url, policy_key (null for what is no URL) and in_scope; ``existing`` policy_key and raw_url, one
+    row a key. A line whose key an entry or an earlier line has is a duplicate and gives the entry its spelling; others are
+    accepted, or rejected if they are out of scope. Lines that are no URL are entries of their own, and rejected."""
+    by_key = lines.where("policy_key is not null").groupBy("policy_key").agg(F.min("position").alias("first"), F.max_by("raw_url", "position").alias("last_raw"))
+    known = existing.where("policy_key is not null").select("policy_key", F.col("raw_url").alias("old_raw"), F.lit(True).alias("there"))
+    keys = by_key.join(known, "policy_key", "full")
+    found = lines.join(keys.select("policy_key", "first", "there"), "policy_key", "left")
+    again = F.coalesce("there", F.lit(False)) | (F.col("position") > F.col("first"))
+    outcome = F.when(F.col("policy_key").isNull(), "rejected").when(again, "duplicate").when(F.coalesce("in_scope", F.lit(False)), "accepted").otherwise("rejected")
+    single = existing.where("policy_key is null").select("policy_key", "raw_url").unionByName(lines.where("policy_key is null").select("policy_key", "raw_url"))
+    after = keys.select("policy_key", F.coalesce("last_raw", "old_raw").alias("raw_url")).unionByName(single)
+    return found.withColumn("outcome", outcome).select(*lines.columns, "outcome"), after
+
+
 def seeds(origins: DataFrame, limit: int | None = None) -> DataFrame:
     """Seeds of a scan: origins (policy_key, url, origin, priority) once each by policy key, first origin first."""
     out = origins.groupBy("policy_key").agg(F.min_by("url", F.struct("priority", "url")).alias("url"), F.min("priority").alias("priority"), F.count("*").alias("origins"))
@@ -159,3 +176,20 @@ def seed_fingerprint(seed_rows: DataFrame) -> DataFrame:
 
     h = F.sha2(F.concat_ws("\x1f", "policy_key", "url", F.col("priority").cast("string")), 256).alias("h")
     return hash_sums(seed_rows.select(h)).select(F.col("x").alias("fingerprint"))
+
+
+def ordered_seed_fingerprint(seed_rows: DataFrame, origins: DataFrame) -> DataFrame:
+    """One hash over a scan's seeds (id, normalized_url, requested_url, depth, scope_decision) with their origins (id, seed_id,
+    origin_type, source_id, raw_url, metadata), in the order of URL, seed and origin; seeds without an origin count too.
+
+    Rows are numbered by range partitions and hashed with their number, and the hashes are added up, so that the order
+    counts and yet no task holds the list."""
+    from ..functions.classify import json_hash
+    from .ordering import numbered
+    from .projection import hash_sums
+
+    o = origins.select(F.col("seed_id").alias("id"), F.col("id").alias("origin_id"), "origin_type", "source_id", "raw_url", "metadata")
+    rows = numbered(seed_rows.join(o, "id", "left"), [F.col("normalized_url").asc_nulls_first(), F.col("id"), F.col("origin_id").asc_nulls_first()])
+    fields = {"depth": "depth", "scope": "scope_decision", "origin": "origin_type", "source": "source_id", "raw_url": "raw_url", "metadata": "metadata", "number": "number"}
+    h = json_hash({"url": F.coalesce("normalized_url", "requested_url")} | {k: F.col(c) for k, c in fields.items()})
+    return hash_sums(rows.select(h.alias("h"))).select(F.col("x").alias("fingerprint"))

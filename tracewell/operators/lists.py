@@ -199,6 +199,14 @@ SITE_PAGES = Listing(
     same(url="normalized_url", observations="observation_count", first_observed="first_observed_at", latest_observed="latest_observed_at", owner="owner_label", workflow="workflow_status") | {"categories": zero("category_count"), "notes": zero("note_count")},
 )
 
+NODES = Listing(
+    {
+        "min_depth": from_("crawl_depth"), "max_depth": at_most("crawl_depth"), "host": lowered("host"), "path_prefix": prefix("path"), "status": lambda x: None if x == "any" else catalog.status_family(str(x)),
+        "fetch_state": equals("fetch_state"), "error_state": named(with_errors=lambda: F.col("error_type").isNotNull(), without_errors=lambda: F.col("error_type").isNull()), "min_inbound": at_least("inbound_occurrences"), "min_outbound": at_least("outbound_occurrences"),
+    },
+    same(depth="crawl_depth", inbound="inbound_occurrences", outbound="outbound_occurrences", url="normalized_url"),
+)
+
 SITES = Listing(
     {"search": contains("name", "base_url", "description"), "group": equals("group_key"), "locale": equals("locale"), "platform": equals("platform_key"), "ownership": equals("ownership_key"), "state": named(active=lambda: F.col("is_active"), inactive=lambda: ~F.col("is_active"))},
     same("name", "base_url", "created_at", "updated_at", "latest_scan_at", classification="group_key", state="is_active") | {"scan_count": zero("scan_count")},
@@ -262,6 +270,18 @@ def counts_for_order(df: DataFrame, key: str, **others: tuple[DataFrame, str]) -
     return df
 
 
+def site_pages(pages: DataFrame, assigned: DataFrame, notes: DataFrame, category: int | None = None, uncategorized: bool = False, has_notes: bool | None = None, **filters: object) -> DataFrame:
+    """``pages`` (id and the columns of ``SITE_PAGES``) under all filters of the list: those over columns, and those that ask
+    whether there are assignments (site_page_id, category_id), of one category or of any, or notes (site_page_id)."""
+    keyed = lambda df: df.withColumn("id", F.col("site_page_id"))
+    out = SITE_PAGES.where(pages, **filters)
+    if category is not None:
+        out = catalog.has_any(out, keyed(assigned.where(F.col("category_id") == category)), "id", True)
+    if uncategorized:
+        out = catalog.has_any(out, keyed(assigned), "id", False)
+    return catalog.has_any(out, keyed(notes), "id", has_notes)
+
+
 def target_notes(notes: DataFrame, search: str | None = None, pinned: bool | None = None, **target: int | None) -> DataFrame:
     """Notes of exactly one target (site, scan or page), pinned ones first, then the newest."""
     given = {k: v for k, v in target.items() if v is not None}

@@ -114,6 +114,14 @@ def page_history(snapshots: DataFrame, scans: DataFrame, sites: DataFrame, artif
     return out.join(one(rendered, "snapshot_id", "capture_state").withColumnRenamed("snapshot_id", "id"), "id", "left")
 
 
+def latest_content(snapshots: DataFrame, scans: DataFrame, site_pages: DataFrame) -> DataFrame:
+    """Per page of a site (``site_pages``: site_id, resource_id) its latest fetched observation with a body: site_id,
+    resource_id, id. Time is fetched_at, else when the scan (scan_id, site_id, created_at) was made; ties go to the greater id."""
+    rows = snapshots.where("fetch_state = 'fetched' and sha256 is not null").join(scans.select("scan_id", "site_id", "created_at"), "scan_id")
+    best = rows.groupBy("site_id", "resource_id").agg(F.max(F.struct(F.coalesce("fetched_at", "created_at").alias("at"), "id")).alias("b")).select("site_id", "resource_id", F.col("b.id").alias("id"))
+    return best.join(site_pages.select("site_id", "resource_id").distinct(), ["site_id", "resource_id"], "left_semi")
+
+
 def latest_scan(snapshots: DataFrame, by: str) -> DataFrame:
     """Per key: number of scans, latest scan id and its newest observation."""
     return snapshots.groupBy(by).agg(F.countDistinct("scan_id").alias("scans"), F.max("scan_id").alias("latest_scan_id"), F.max_by("id", F.struct("scan_id", "fetched_at", "id")).alias("latest_snapshot_id"))

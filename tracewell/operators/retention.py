@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,36 @@ def read_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     return rows.join(blobs.select("sha256", "content"), "sha256", "left")
 
 
+def gunzipped(content: Column, most: int = 64 << 20) -> Column:
+    """content and blob_state of gzip data: stored, missing for null, corrupt, or too_large where it has more than ``most``
+    bytes. It is read in steps, so that a small file can't fill a task."""
+
+    def one(data: bytes | None) -> tuple[bytes | None, str]:
+        if data is None:
+            return None, "missing"
+        out, rest = bytearray(), bytes(data)
+        try:
+            while rest or not out:
+                member = zlib.decompressobj(31)
+                out += member.decompress(rest, most + 1 - len(out))
+                if len(out) > most:
+                    return None, "too_large"
+                if not member.eof:
+                    return None, "corrupt"
+                rest = member.unused_data
+                if not rest:
+                    break
+        except zlib.error:
+            return None, "corrupt"
+        return bytes(out), "stored"
+
+    @F.pandas_udf("content binary, blob_state string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in s], columns=["content", "blob_state"])
+
+    return run(content)
+
+
 def missing_artifacts(blobs: DataFrame, artifacts: DataFrame, keys: Sequence[str] = ("sha256",)) -> DataFrame:
     """Blobs without a current artifact for the key."""
     return blobs.join(artifacts.select(*keys).distinct(), list(keys), "left_anti")
@@ -168,6 +200,69 @@ def audit_severity(classes: DataFrame, ambiguous_pages: int = 0) -> DataFrame:
     return classes.agg(*[c.alias(name) for name, c in n.items()], grave.alias("severity"))
 
 
+def _path(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def _query(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+#: Patterns of an encoded dot segment, and of encoded reserved characters in a query.
+DOT_SEGMENT, RESERVED_IN_QUERY = r"(?i)/(?:%2e)(?:%2e)?(?:/|$)", r"(?i)%(?:2f|3f|23|26|2c|2a|3b|3a|40|3d)"
+
+
+def collision_reasons(evidence: DataFrame) -> DataFrame:
+    """reason, resources: how the candidate identities (resource_id, candidate) of resources that have several differ.
+
+    A resource may have several reasons. Parts differ if their least and greatest value do, so that all is one partial
+    aggregate and no resource's spellings are collected."""
+    path, query = _path(F.col("candidate")), _query(F.col("candidate"))
+    rows = evidence.where("candidate is not null").select("resource_id", "candidate", path.alias("p"), query.alias("q"))
+    rows = rows.withColumn("parts", F.array_join(F.array_sort(F.split("q", "&")), "&"))
+    some = lambda c: F.bool_or(c)
+    differ = lambda c: F.min(c) != F.max(c)
+    p, q = F.col("p"), F.col("q")
+    facts = rows.groupBy("resource_id").agg(
+        differ("candidate").alias("several"), differ("p").alias("paths"), differ("q").alias("queries"), differ("parts").alias("parts"), differ(p.endswith("/")).alias("ends"), some(F.lower(p).contains("%2f")).alias("slash"), some(p.contains("//")).alias("double"),
+        some(p.rlike(DOT_SEGMENT)).alias("dot"), some(p.rlike("(?i)%3f|%23")).alias("reserved"), some(q.contains("+")).alias("plus"), some(F.lower(q).contains("%20")).alias("space"), some(q.rlike(RESERVED_IN_QUERY)).alias("encoded"),
+    ).where("several")
+    c = F.col
+    of_path = {"encoded_slash_path": c("slash"), "repeated_slash_path": c("double"), "trailing_slash_path": c("ends"), "encoded_dot_path": c("dot"), "other_encoded_reserved_path": c("reserved")}
+    of_query = {"query_component_order": ~c("parts"), "query_plus_percent_space": c("plus") & c("space"), "query_encoded_reserved": c("encoded")}
+
+    def named(reasons: dict[str, Column], where: str, other: str) -> Column:
+        found = F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in reasons.items()]), lambda x: x.isNotNull())
+        return F.when(~c(where), F.array().cast("array<string>")).when(F.size(found) == 0, F.array(F.lit(other))).otherwise(found)
+
+    reasons = F.concat(named(of_path, "paths", "other_path_difference"), named(of_query, "queries", "other_query_difference"))
+    reasons = F.when(F.size(reasons) == 0, F.array(F.lit("unknown"))).otherwise(reasons)
+    return facts.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("resources"))
+
+
+#: Spellings of a URL that may change its identity.
+SIGNALS = {
+    "encoded_slash": r"(?i)%2f", "encoded_question_mark": r"(?i)%3f", "encoded_fragment_delimiter": r"(?i)%23", "encoded_dot_segment": DOT_SEGMENT, "key_only_query_parameter": r"[?&][^&=]+(?:&|$)", "plus_in_query": r"\?[^#]*\+",
+    "percent_space_in_query": r"(?i)\?[^#]*%20", "explicit_default_port": r"(?i)^http://[^/]+:80(?:/|$)|^https://[^/]+:443(?:/|$)", "idna_host": r"(?i)^https?://(?:[^/@]+@)?[^/]*xn--",
+}
+ENCODED = {"encoded_slash": "%2f", "encoded_question_mark": "%3f", "encoded_fragment_delimiter": "%23"}
+
+
+def signal_counts(evidence: DataFrame, url: str = "url") -> DataFrame:
+    """signal, rows, distinct_spellings: recorded URLs whose spelling may change their identity. Spellings are counted first,
+    then all signals are sums of one pass. A parameter is repeated if two of a query have one name, in either case."""
+    spelled = evidence.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("u")).agg(F.count("*").alias("n"))
+    u = F.col("u")
+    given = F.transform(F.filter(F.split(_query(u), "&"), lambda x: x.contains("=")), lambda x: F.lower(F.substring_index(x, "=", 1)))
+    flags = {name: u.rlike(pattern) for name, pattern in SIGNALS.items()} | {"repeated_query_parameter": F.size(F.array_distinct(given)) < F.size(given)}
+    for name, code in ENCODED.items():
+        flags |= {f"{name}_in_path": F.lower(_path(u)).contains(code), f"{name}_in_query": F.lower(_query(u)).contains(code)}
+    sums = spelled.agg(*[x for name, hit in flags.items() for x in (F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"{name}_rows"), F.count_if(hit).alias(f"{name}_urls"))])
+    each = [F.struct(F.lit(name).alias("signal"), F.col(f"{name}_rows").alias("rows"), F.col(f"{name}_urls").alias("distinct_spellings")) for name in flags]
+    both = F.struct(F.lit("plus_space_ambiguity").alias("signal"), *[(F.col(f"plus_in_query_{k}") + F.col(f"percent_space_in_query_{k}")).alias(n) for k, n in (("rows", "rows"), ("urls", "distinct_spellings"))])
+    return sums.select(F.inline(F.array(*each, both)))
+
+
 def distinction_counts(resources: DataFrame, url: str = "url") -> DataFrame:
     """kind, groups: sets of URLs that differ in the case of the path, in a trailing slash or in the order of the query only."""
     part = lambda name: F.coalesce(F.parse_url(F.col(url), F.lit(name)), F.lit(""))

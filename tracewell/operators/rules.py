@@ -234,6 +234,22 @@ def category_counts(categories: DataFrame, supports: DataFrame) -> DataFrame:
     return categories.join(n, "category_id", "left").fillna(0, subset=["pages", "manual_pages", "automatic_pages"])
 
 
+def category_overview(categories: DataFrame, assigned: DataFrame, supports: DataFrame, exclusions: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """Categories (category_id and others) with five numbers, zero where there is none: assignments, assignments that hand
+    work (``manual``) or rules (``automatic``) support, exclusions and rules.
+
+    ``assigned`` has id and category_id, ``supports`` assignment_id and support_type (manual or rule). Each table is
+    counted by category before it is joined, so that no category's rows meet each other."""
+    kinds = {"manual_count": "manual", "automatic_count": "rule"}
+    flags = supports.groupBy(F.col("assignment_id").alias("id")).agg(*[F.bool_or(F.col("support_type") == t).alias(n) for n, t in kinds.items()])
+    by_kind = assigned.join(flags, "id").groupBy("category_id").agg(*[F.count_if(n).alias(n) for n in kinds])
+    numbers = [n.groupBy("category_id").agg(F.count("*").alias(c)) for n, c in ((assigned, "assignment_count"), (exclusions, "exclusion_count"), (rule_rows, "rule_count"))]
+    out = categories
+    for n in (numbers[0], by_kind, *numbers[1:]):
+        out = out.join(n, "category_id", "left")
+    return out.fillna(0, subset=["assignment_count", *kinds, "exclusion_count", "rule_count"])
+
+
 def bulk_assign(assigned: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
     """Manual assignments (site_page_id, category_id) with what a bulk edit does: added, kept or removed.
 
