@@ -9,7 +9,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import compare, evidence, inventory, lists, observations, presentation, retention, rules
+from tracewell.operators import compare, evidence, graph, inventory, lists, observations, presentation, retention, rules
 from tracewell.sources import documents
 
 
@@ -157,3 +157,23 @@ def test_axe_report(spark):
     assert (node.position, node.target, len(node.html), node.html_original_length, node.html_truncated, node.failure_summary) == (1, ["a", '["b"]'], 4096, 5000, True, "") and r.rules[2].tags == ["a", "b"]
     value = {k: node[k] for k in ("position", "impact", "target", "html", "html_original_length", "html_truncated", "failure_summary")}
     assert node.sha256 == hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_rule_preview(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "h" if i % 2 else None, "/", None) for i in range(1, 9)], "site_page_id int, normalized_url string, host string, path string, query string")
+    rule = rules.Rule(5, 1, (rules.Condition("host", "equals", "H"),), active=False)
+    held = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (3, 5), (5, 6)], "site_page_id int, rule_id int")
+    barred = spark.createDataFrame([(3, 1), (5, 1), (7, 2), (4, 1)], "site_page_id int, category_id int")
+    counts, samples = rules.rule_preview(pages, rule, spark.createDataFrame([(8, 1), (8, 1), (7, 2)], "site_page_id int, category_id int"), held, barred, 3, 2)
+    assert counts.first().asDict() == {"total_pages": 8, "matching_pages": 4, "currently_assigned": 1, "would_gain": 1, "would_lose": 2, "excluded_matches": 2}
+    assert sorted((r.site_page_id, r.matched) for r in samples.collect()) == [(1, True), (2, False), (3, True), (4, False), (5, True)]
+    assert rules.rule_preview(pages.where("false"), rule, held.withColumn("category_id", F.lit(1)), held, barred)[0].first().total_pages == 0
+
+
+def test_index_column_and_truncation(spark):
+    df = spark.createDataFrame([(b"# T\n## Docs\n- [A](a.md): note\n", "https://e.test/x/llms.txt"), (None, "https://e.test/"), (b"\xff", None)], "data binary, base string")
+    got = [r.x for r in df.select(documents.ai_index_column(F.col("data"), F.col("base")).alias("x")).collect()]
+    assert (got[0].title, got[0].links[0].url, got[0].links[0].note, got[0].links[0].optional, got[0].warnings) == ("T", "https://e.test/x/a.md", "note", False, [])
+    assert got[1] is None and got[2].warnings == ["invalid_utf8", "missing_title", "no_references"]
+    n = spark.createDataFrame([(101, 250, None), (100, 251, 101), (None, None, None)], "n int, e int, u int").select(graph.truncated(graph.GraphLimits(), F.col("n"), F.col("e"), F.col("u")).alias("r"))
+    assert [r.r for r in n.collect()] == [["node_limit"], ["edge_limit", "unfetched_node_limit"], []]

@@ -148,6 +148,12 @@ def truncation_reasons(available: dict[str, int], limits: GraphLimits) -> list[s
     return [name for name, (key, most) in asked.items() if available.get(key, 0) > most]
 
 
+def truncated(limits: GraphLimits, nodes: Column, edges: Column, unfetched: Column) -> Column:
+    """``truncation_reasons`` of numbers in columns, for many graphs at once; null counts as zero."""
+    asked = {"node_limit": (nodes, limits.nodes), "edge_limit": (edges, limits.edges), "unfetched_node_limit": (unfetched, limits.unfetched)}
+    return F.filter(F.array(*[F.when(available > most, F.lit(name)) for name, (available, most) in asked.items()]), lambda x: x.isNotNull())
+
+
 def discovered_nodes(occurrences: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """Targets that were linked but not fetched in their scan, with occurrences and distinct sources."""
     seen = snapshots.select("scan_id", F.col("resource_id").alias("target_resource_id"))

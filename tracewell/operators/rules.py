@@ -213,6 +213,27 @@ def preview(actions: DataFrame, samples: int = 10) -> tuple[DataFrame, DataFrame
     return n, actions.withColumn("rank", rank).where(F.col("rank") <= samples)
 
 
+def rule_preview(pages: DataFrame, rule: Rule, assigned: DataFrame, supports: DataFrame, exclusions: DataFrame, matching: int = 10, others: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What a rule would do to the ``pages`` of a site before it is saved, active or not: one row of numbers, and the first
+    pages, by id, that match and that don't (site_page_id, normalized_url, matched).
+
+    ``assigned`` and ``exclusions`` have site_page_id and category_id, ``supports`` site_page_id and rule_id; a rule that is new
+    has no supports. An excluded match gains nothing, and a support that it has is lost."""
+    own = {"assigned": assigned.where(F.col("category_id") == rule.category_id), "supported": supports.where(F.col("rule_id") == rule.rule_id), "excluded": exclusions.where(F.col("category_id") == rule.category_id)}
+    judged = pages.select("site_page_id", "normalized_url", F.coalesce(rule_column(rule), F.lit(False)).alias("matched"))
+    rows = judged
+    for name, df in own.items():
+        rows = rows.join(df.select("site_page_id").distinct().withColumn(name, F.lit(True)), "site_page_id", "left")
+    is_ = lambda name: F.coalesce(F.col(name), F.lit(False))
+    desired = F.col("matched") & ~is_("excluded")
+    numbers = {
+        "matching_pages": F.col("matched"), "currently_assigned": is_("assigned"), "would_gain": desired & ~is_("supported"), "would_lose": is_("supported") & ~desired, "excluded_matches": F.col("matched") & is_("excluded"),
+    }
+    counts = rows.agg(F.count("*").alias("total_pages"), *[F.count_if(c).alias(n) for n, c in numbers.items()])
+    first = [judged.where(c).orderBy("site_page_id").limit(n) for c, n in ((F.col("matched"), matching), (~F.col("matched"), others))]
+    return counts, first[0].union(first[1])
+
+
 def deletion_preview(supports: DataFrame, rule_id: int) -> DataFrame:
     """What deleting a rule removes: its supports, and assignments that nothing else holds."""
     held = supports.groupBy("site_page_id", "category_id").agg(F.count_if(F.col("rule_id") == rule_id).alias("own"), F.count_if(F.col("rule_id") != rule_id).alias("others")).where("own > 0")

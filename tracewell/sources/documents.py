@@ -133,6 +133,19 @@ def ai_index(data: bytes, base: str) -> dict:
     return {"title": title, "summary": " ".join(summary) or None, "intro": "\n".join(intro) or None, "links": links, "warnings": warnings}
 
 
+INDEX_SCHEMA = "struct<title:string,summary:string,intro:string,links:array<struct<position:int,section:string,title:string,url:string,note:string,optional:boolean>>,warnings:array<string>>"
+
+
+def ai_index_column(data: Column, base: Column) -> Column:
+    """``ai_index`` of a body (binary) at its URL; null without a body."""
+
+    @F.udf(INDEX_SCHEMA, useArrow=True)
+    def run(data: bytes | None, base: str | None):
+        return None if data is None else ai_index(bytes(data), base or "")
+
+    return run(data, base)
+
+
 #: Audits of a page report that are metrics, and their units.
 PAGESPEED = {"first-contentful-paint": "millisecond", "largest-contentful-paint": "millisecond", "total-blocking-time": "millisecond", "cumulative-layout-shift": "unitless", "speed-index": "millisecond", "interactive": "millisecond"}
 FIELD_METRICS = ("largest_contentful_paint", "interaction_to_next_paint", "cumulative_layout_shift", "first_contentful_paint", "experimental_time_to_first_byte")
