@@ -137,10 +137,12 @@ def test_collision_reasons_and_signals(spark):
     assert {tuple(r)[1:] for r in retention.signal_counts(spark.createDataFrame([], "url string")).collect()} == {(0, 0)}
 
 
-def test_gunzipped(spark):
+def test_gunzipped(spark, monkeypatch):
     packed = gzip.compress(b"body" * 100)
     rows = [(1, packed), (2, None), (3, packed[:-9]), (4, b"plain"), (5, packed + gzip.compress(b"more")), (6, gzip.compress(b"")), (7, b""), (8, gzip.compress(b"x" * 1001))]
-    df = spark.createDataFrame(rows, "id int, data binary").select("id", retention.gunzipped(F.col("data"), 1000).alias("b")).select("id", "b.*")
+    df = retention.gunzipped(spark.createDataFrame(rows, "id int, data binary").withColumn("blob_state", F.lit("own")), "data", 1000)
+    assert retention.gunzipped(spark.createDataFrame([], "id int, content binary"), "content").columns == ["id", "content", "blob_state"]
+    monkeypatch.setattr(retention, "UNPACKED", 500)
     got = {r.id: (r.blob_state, None if r.content is None else bytes(r.content)) for r in df.collect()}
     assert got == {1: ("stored", b"body" * 100), 2: ("missing", None), 3: ("corrupt", None), 4: ("corrupt", None), 5: ("stored", b"body" * 100 + b"more"), 6: ("stored", b""), 7: ("corrupt", None), 8: ("too_large", None)}
 

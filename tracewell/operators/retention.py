@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,34 +35,51 @@ def read_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     return rows.join(blobs.select("sha256", "content"), "sha256", "left")
 
 
-def gunzipped(content: Column, most: int = 64 << 20) -> Column:
-    """content and blob_state of gzip data: stored, missing for null, corrupt, or too_large where it has more than ``most``
-    bytes. It is read in steps, so that a small file can't fill a task."""
-
-    def one(data: bytes | None) -> tuple[bytes | None, str]:
-        if data is None:
-            return None, "missing"
-        out, rest = bytearray(), bytes(data)
-        try:
-            while rest or not out:
-                member = zlib.decompressobj(31)
-                out += member.decompress(rest, most + 1 - len(out))
-                if len(out) > most:
-                    return None, "too_large"
-                if not member.eof:
-                    return None, "corrupt"
-                rest = member.unused_data
-                if not rest:
-                    break
-        except zlib.error:
-            return None, "corrupt"
-        return bytes(out), "stored"
-
-    @F.pandas_udf("content binary, blob_state string")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in s], columns=["content", "blob_state"])
-
-    return run(content)
+#: Bytes of unpacked content that a task hands on at a time.
+UNPACKED = 16 << 20
+
+
+def unpacked(data: bytes | None, most: int) -> tuple[bytes | None, str]:
+    """Content of gzip data and its state."""
+    if data is None:
+        return None, "missing"
+    out, rest = bytearray(), data
+    try:
+        while rest or not out:
+            member = zlib.decompressobj(31)
+            out += member.decompress(rest, most + 1 - len(out))
+            if len(out) > most:
+                return None, "too_large"
+            if not member.eof:
+                return None, "corrupt"
+            rest = member.unused_data
+            if not rest:
+                break
+    except zlib.error:
+        return None, "corrupt"
+    return bytes(out), "stored"
+
+
+def gunzipped(rows: DataFrame, packed: str, most: int = 64 << 20) -> DataFrame:
+    """``rows`` with content and blob_state of the gzip data in ``packed``, which goes: stored, missing for null, corrupt, or
+    too_large where there are more than ``most`` bytes. Columns of these names are replaced.
+
+    Rows leave the task once they hold ``UNPACKED`` bytes, so that a batch of small files can't fill it."""
+    kept = [c for c in rows.columns if c not in (packed, "content", "blob_state")]
+    schema = rows.select(*kept).schema.add("content", "binary").add("blob_state", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, out, size = 0, [], 0
+            for k, x in enumerate(batch.column(len(kept)), 1):
+                out.append(unpacked(x.as_py(), most))
+                size += len(out[-1][0] or b"")
+                if size >= UNPACKED or k == batch.num_rows:
+                    columns = [batch.column(i).slice(begin, k - begin) for i in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([c for c, _ in out], pa.binary()), pa.array([s for _, s in out], pa.string())], names=[*kept, "content", "blob_state"])
+                    begin, out, size = k, [], 0
+
+    return rows.select(*kept, F.col(packed).cast("binary")).mapInArrow(run, schema)
 
 
 def missing_artifacts(blobs: DataFrame, artifacts: DataFrame, keys: Sequence[str] = ("sha256",)) -> DataFrame:

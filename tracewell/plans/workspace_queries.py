@@ -196,7 +196,7 @@ def blob_gunzip(v: Views) -> DataFrame:
     k, packed = F.col("page_id"), F.col("packed")
     p = v.table("pages").select("page_id", _gzipped(F.col("html")).alias("packed"))
     given = F.when(k % 11 == 0, None).when(k % 7 == 0, F.substring(packed, F.lit(1), F.length(packed) - 9)).otherwise(packed)
-    return p.select("page_id", retention.gunzipped(given).alias("b")).select("page_id", "b.blob_state", F.sha2("b.content", 256).alias("sha256"))
+    return retention.gunzipped(p.select("page_id", given.alias("packed")), "packed").select("page_id", "blob_state", F.sha2("content", 256).alias("sha256"))
 
 
 # ---- lines, seeds, fingerprints ----
