@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,7 +201,7 @@ SITE_PAGES = Listing(
 
 NODES = Listing(
     {
-        "min_depth": from_("crawl_depth"), "max_depth": at_most("crawl_depth"), "host": lowered("host"), "path_prefix": prefix("path"), "status": lambda x: None if x == "any" else catalog.status_family(str(x)),
+        "min_depth": from_("crawl_depth"), "max_depth": at_most("crawl_depth"), "host": lowered("host"), "path_prefix": prefix("path"), "status": named(none=lambda: F.col("http_status").isNull(), **{f"{k}xx": partial(catalog.status_family, f"{k}xx") for k in range(1, 6)}),
         "fetch_state": equals("fetch_state"), "error_state": named(with_errors=lambda: F.col("error_type").isNotNull(), without_errors=lambda: F.col("error_type").isNull()), "min_inbound": at_least("inbound_occurrences"), "min_outbound": at_least("outbound_occurrences"),
     },
     same(depth="crawl_depth", inbound="inbound_occurrences", outbound="outbound_occurrences", url="normalized_url"),
