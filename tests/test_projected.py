@@ -52,6 +52,21 @@ def test_graph_and_details(scan):
         s.pages(range(projected.MOST_IDS + 1))
 
 
+def test_a_focus_that_the_scan_does_not_have(scan):
+    s, _ = scan
+    assert s.around(4711, 2, missing_ok=True) == [(4711, 0)]
+    pages, among = s.graph(4711, 2, missing_ok=True)
+    assert pages.collect() == [] and among.collect() == [] and s.detail([4711]).collect() == []
+
+
+def test_a_scan_without_links(spark, tmp_path):
+    s = projected.ProjectedScan(spark, f"file://{tmp_path}/s")
+    s.write(spark.range(0), spark.createDataFrame([], "source_id long, target_id long, occurrences long"), spark.createDataFrame([(0,)], "links long"))
+    assert s.around(7, 2, missing_ok=True) == [(7, 0)] and s.graph(7, 2, missing_ok=True)[1].collect() == [] and s.detail([7]).collect() == []
+    s.write(spark.range(1), spark.createDataFrame([(0, None, 1)], "source_id long, target_id long, occurrences long"), spark.createDataFrame([(1,)], "links long"))
+    assert s.around(0, 2) == [(0, 0)] and [r.links_out for r in s.detail([0]).collect()] == [1]
+
+
 def test_a_read_lists_only_the_folders_it_needs(scan):
     s, links = scan
     assert len({f for f in s.spark.read.parquet(f"{s.folder}/links-out").inputFiles()}) > 8

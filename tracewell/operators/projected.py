@@ -23,7 +23,10 @@ def lay_out(rows: DataFrame, path: str, key: str, count: int) -> None:
     """Write ``rows``, about ``count``, in folders by ``key``, sorted inside."""
     folders = max(1, -(-count // FOLDER_ROWS))
     placed = rows.withColumn("folder", F.pmod(F.col(key), F.lit(folders)).cast("int"))
-    placed.repartition(folders, "folder").sortWithinPartitions("folder", key).write.mode("overwrite").partitionBy("folder").parquet(path)
+    if count:
+        placed.repartition(folders, "folder").sortWithinPartitions("folder", key).write.mode("overwrite").partitionBy("folder").parquet(path)
+    else:  # no folder would be written, and a read would find no schema
+        placed.coalesce(1).write.mode("overwrite").parquet(path)
     rows.sparkSession.createDataFrame([(folders,)], "folders int").coalesce(1).write.mode("overwrite").parquet(f"{path}-folders")
 
 
@@ -34,10 +37,10 @@ class ProjectedScan:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def write(self, pages: DataFrame, links: DataFrame, summary: DataFrame) -> None:
-        n = links.count()
+        known = links.where("target_id is not null")
         lay_out(pages, f"{self.folder}/pages", "id", pages.count())
-        lay_out(links, f"{self.folder}/links-out", "source_id", n)
-        lay_out(links.where("target_id is not null"), f"{self.folder}/links-in", "target_id", n)
+        lay_out(links, f"{self.folder}/links-out", "source_id", links.count())
+        lay_out(known, f"{self.folder}/links-in", "target_id", known.count())
         summary.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/summary")
 
     def summary(self) -> DataFrame:
@@ -61,10 +64,13 @@ class ProjectedScan:
     def links_to(self, ids: Sequence[int]) -> DataFrame:
         return self._keyed("links-in", "target_id", ids)
 
-    def around(self, focus: int, hops: int, max_nodes: int = 500, self_links: bool = True) -> list[tuple[int, int]]:
+    def around(self, focus: int, hops: int, max_nodes: int = 500, self_links: bool = True, missing_ok: bool = False) -> list[tuple[int, int]]:
         """(id, hop) of the nodes within ``hops`` links of ``focus`` in either direction, nearest first, ties by ascending
-        id, ``max_nodes`` at most. Only what is still wanted of a hop leaves the executors."""
+        id, ``max_nodes`` at most. Only what is still wanted of a hop leaves the executors. A focus that the scan does not
+        have is an error, or, with ``missing_ok``, alone."""
         if self.pages([focus]).isEmpty():
+            if missing_ok:
+                return [(focus, 0)]
             raise ValueError(f"no page {focus} in this scan")
         seen = {focus: 0}
         frontier = [focus]
@@ -79,9 +85,9 @@ class ProjectedScan:
             seen |= dict.fromkeys(frontier, hop)
         return sorted(seen.items(), key=lambda x: (x[1], x[0]))
 
-    def graph(self, focus: int, hops: int, max_nodes: int = 500, self_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    def graph(self, focus: int, hops: int, max_nodes: int = 500, self_links: bool = True, missing_ok: bool = False) -> tuple[DataFrame, DataFrame]:
         """The pages around ``focus``, with their hop, and the links among them."""
-        found = self.around(focus, hops, max_nodes, self_links)
+        found = self.around(focus, hops, max_nodes, self_links, missing_ok)
         ids = [i for i, _ in found]
         near = F.broadcast(self.spark.createDataFrame(found, "id long, hop int"))
         links = self.links_from(ids).where(F.col("target_id").isin(ids))

@@ -236,7 +236,7 @@ def projected_neighbourhood(v: Views) -> DataFrame:
 
 @BOOK.query("SELECT source_id, target_id, occurrences FROM e WHERE source_id IN (SELECT id FROM near) AND target_id IN (SELECT id FROM near)", "occurrences", extra=NEAR)
 def projected_graph_links(v: Views) -> DataFrame:
-    return _projected(v).graph(7, 2, 60)[1]
+    return _projected(v).graph(7, 2, 60, missing_ok=True)[1]
 
 
 @BOOK.query("SELECT count(*) AS links, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(DISTINCT source_id) AS sources, count(DISTINCT target_id) AS targets FROM e", "occurrences", extra=NEAR)
