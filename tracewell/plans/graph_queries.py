@@ -231,7 +231,7 @@ def _projected(v: Views) -> projected.ProjectedScan:
 
 @BOOK.query("SELECT id, hop FROM near", "occurrences", extra=NEAR)
 def projected_neighbourhood(v: Views) -> DataFrame:
-    return v.spark.createDataFrame(_projected(v).around(7, 2, 60), "id long, hop int")
+    return v.spark.createDataFrame(_projected(v).around(7, 2, 60, missing_ok=True), "id long, hop int")
 
 
 @BOOK.query("SELECT source_id, target_id, occurrences FROM e WHERE source_id IN (SELECT id FROM near) AND target_id IN (SELECT id FROM near)", "occurrences", extra=NEAR)
