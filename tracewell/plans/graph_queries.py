@@ -252,4 +252,4 @@ def projected_summary(v: Views) -> DataFrame:
 def projected_page_details(v: Views) -> DataFrame:
     """Keyed reads of the pages around one: their links in and out."""
     p = _projected(v)
-    return p.detail([i for i, _ in p.around(7, 2, 60)])
+    return p.detail([i for i, _ in p.around(7, 2, 60, missing_ok=True)])
