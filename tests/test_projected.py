@@ -91,3 +91,23 @@ def test_differences_of_sources(spark):
     assert run(meaningful=True)[7].state == "identical"
     assert len(run(max_output=10)[6].diff_text.encode()) == 10
     assert source_diff.source_diffs(frame.where("false"), ["id"]).collect() == []
+
+
+def test_limits_of_pairs(spark):
+    frame = spark.createDataFrame([(1, b"a" * 30, b"b", 30), (2, b"a" * 31, b"b", 30), (3, b"a" * 99, b"b", 99), (4, None, b"b" * 99, 9)], "id long, before binary, after binary, most long")
+    got = source_diff.source_diffs(frame, ["id"], max_input=F.col("most")).collect()
+    assert {r.id: r.state for r in got} == {1: "available", 2: "too_large", 3: "available", 4: "baseline_missing"}
+
+
+@pytest.mark.parametrize("name", ["source_diff_exact"])
+def test_long_pages_are_compared(spark, tmp_path, name):
+    import duckdb
+
+    from tracewell.registry import ORACLE_SQL, QUERIES
+
+    pages = f"{tmp_path}/pages.parquet"
+    duckdb.execute(f"copy (select k as page_id, 'https://a.test/' || k as url, repeat('<p>é</p>', 10 * (1 + k % 3 * 1000)) as html from range(40) t(k)) to '{pages}' (format parquet)")
+    want = duckdb.connect()
+    want.execute(f"create view pages as select * from '{pages}'")
+    rows = QUERIES[name](spark, str(tmp_path)).select("page_id", "state", "lines_added", "lines_removed").collect()
+    assert sorted(map(tuple, rows)) == sorted(want.execute(f"select page_id, state, lines_added, lines_removed from ({ORACLE_SQL[name]})").fetchall())

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
@@ -37,11 +38,12 @@ def difference(before: bytes | None, after: bytes | None, meaningful: bool, enco
     return state, shown[:max_output].decode(errors="ignore"), added, gone
 
 
-def source_diffs(pairs: DataFrame, keys: list[str], before: str = "before", after: str = "after", encoding: str | None = None, meaningful: bool = False, max_input: int = MAX_INPUT, max_output: int = MAX_OUTPUT, max_lines: int = MAX_LINES) -> DataFrame:
+def source_diffs(pairs: DataFrame, keys: list[str], before: str = "before", after: str = "after", encoding: str | None = None, meaningful: bool = False, max_input: int | Column = MAX_INPUT, max_output: int = MAX_OUTPUT, max_lines: int = MAX_LINES) -> DataFrame:
     """``keys``, state, diff_text, lines_added, lines_removed of each pair of sources (bytes, null where there is none).
 
-    With ``meaningful``, values that only defeat caches are masked first. Equal pairs and pairs that are too large are told
-    apart before Python sees them; the others go through in Arrow batches, in partitions as they come."""
+    With ``meaningful``, values that only defeat caches are masked first. ``max_input`` may be a column: each pair's own
+    limit. Pairs that are too large are told apart before Python sees them; the others go through in Arrow batches, in
+    partitions as they come."""
     b, t = F.col(before).cast("binary"), F.col(after).cast("binary")
     large = F.coalesce(F.greatest(F.octet_length(b), F.octet_length(t)) > max_input, F.lit(False)) & b.isNotNull() & t.isNotNull()
     rows = pairs.select(*keys, F.when(~large, b).alias("__b"), F.when(~large, t).alias("__t"), (F.col(encoding) if encoding else F.lit(None).cast("string")).alias("__e"), large.alias("__large"))
@@ -53,7 +55,7 @@ def source_diffs(pairs: DataFrame, keys: list[str], before: str = "before", afte
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 columns = [part.column(k).to_pylist() for k in range(n, n + 4)]
-                found = [("too_large", "", 0, 0) if big else difference(x, y, meaningful, e, max_input, max_output, max_lines) for x, y, e, big in zip(*columns, strict=True)]
+                found = [("too_large", "", 0, 0) if big else difference(x, y, meaningful, e, sys.maxsize, max_output, max_lines) for x, y, e, big in zip(*columns, strict=True)]
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True))], names=[*keys, "state", "diff_text", "lines_added", "lines_removed"])
 
