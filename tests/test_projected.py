@@ -99,7 +99,7 @@ def test_limits_of_pairs(spark):
     assert {r.id: r.state for r in got} == {1: "available", 2: "too_large", 3: "available", 4: "baseline_missing"}
 
 
-@pytest.mark.parametrize("name", ["source_diff_exact"])
+@pytest.mark.parametrize("name", ["source_diff_exact", "source_diff_meaningful"])
 def test_long_pages_are_compared(spark, tmp_path, name):
     import duckdb
 
