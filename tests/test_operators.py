@@ -181,3 +181,15 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert {(r.key, r.id) for r in spark.table("s_latest").collect()} == {("k", 2), ("j", 3)}
     assert sorted((r.outcome, r.n) for r in spark.table("s_hourly").collect()) == [("failed", 1), ("ready", 1), ("ready", 1)]
+
+
+def test_tasks_of_occurrences_follow_the_rows(spark, small, monkeypatch):
+    from tracewell.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    v = fixtures.Views(spark, small)
+    o = v.occurrences(dense=True)
+    assert o.rdd.getNumPartitions() == -(-v.table("lineitem").count() // 100) > 8
+    # Counters of edges are grouped where the occurrences are.
+    counters = graph.edge_counters(o, "role=link_role", "scope=scope_decision")
+    assert counters.rdd.getNumPartitions() == o.rdd.getNumPartitions()
