@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -186,6 +187,8 @@ def axe_rules(doc: Column, max_nodes: int = 100) -> Column:
 
 #: Characters of a node's markup and of its failure summary that are kept.
 MAX_SNIPPET, MAX_FAILURE = 4096, 16_000
+NODE_FIELDS = ("position", "impact", "target", "html", "html_original_length", "html_truncated", "failure_summary")
+RULE_FIELDS = ("position", "rule_id", "result_type", "impact", "description", "help", "help_url", "tags", "nodes")
 _AXE_RULES = "array<struct<id:string,impact:string,description:string,help:string,helpUrl:string,tags:array<string>,nodes:array<struct<impact:string,target:array<string>,html:string,failureSummary:string>>>>"
 AXE_REPORT = f"struct<violations:{_AXE_RULES},incomplete:{_AXE_RULES},passes:array<variant>,inapplicable:array<variant>>"
 
@@ -196,32 +199,41 @@ def axe_report(doc: Column) -> Column:
     Violations come before incomplete rules, each by id with positions from 1. Markup and failure summaries are cut, and a
     node says so and how long its markup was. Rules and nodes have a hash of their canonical JSON. The state is ``malformed``
     for text that is no JSON object, else ``ready``; null is ``missing``. What has the wrong type counts as absent."""
-    parsed = F.from_json(doc, AXE_REPORT)
     variant = F.try_parse_json(doc)
     state = F.when(doc.isNull(), "missing").when(F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False)), "ready").otherwise("malformed")
     text = lambda x: F.coalesce(x, F.lit(""))
     listed = lambda x: F.coalesce(x, F.array())
 
+    # Values are made in one pass and hashed in the next: in one expression they would be made again for the hash, and
+    # those of nodes once more for each rule's.
     def node(n: Column, i: Column) -> Column:
         html = text(n["html"])
         values = {
             "position": i + 1, "impact": F.substring(n["impact"], 1, 32), "target": listed(n["target"]), "html": F.substring(html, 1, MAX_SNIPPET), "html_original_length": F.length(html),
             "html_truncated": F.length(html) > MAX_SNIPPET, "failure_summary": F.substring(text(n["failureSummary"]), 1, MAX_FAILURE),
         }
-        return F.struct(*[v.alias(k) for k, v in values.items()], json_hash(values).alias("sha256"))
+        return F.struct(*[v.alias(k) for k, v in values.items()])
 
     def rule(r: Column, i: Column, kind: str) -> Column:
         url = F.when(F.startswith(r["helpUrl"], F.lit("https://")), r["helpUrl"])
         values = {
             "position": i + 1, "rule_id": F.substring(text(r["id"]), 1, 128), "result_type": F.lit(kind), "impact": F.substring(r["impact"], 1, 32), "description": text(r["description"]), "help": text(r["help"]),
-            "help_url": url, "tags": F.array_sort(listed(r["tags"])), "nodes": F.transform(listed(r["nodes"]), node),
+            "help_url": url, "tags": F.array_sort(listed(r["tags"])), "nodes": hashed(F.transform(listed(r["nodes"]), node), NODE_FIELDS),
         }
-        return F.struct(*[v.alias(k) for k, v in values.items()], json_hash(values).alias("sha256"))
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def hashed(rows: Column, names: tuple[str, ...]) -> Column:
+        return F.transform(rows, lambda x: F.struct(*[x[k].alias(k) for k in names], json_hash({k: x[k] for k in names}).alias("sha256")))
 
     def rules(found: Column, kind: str) -> Column:
         by_id = F.array_sort(F.transform(listed(found), lambda r, i: F.struct(text(r["id"]).alias("id"), i.alias("i"), r.alias("r"))))
-        return F.transform(by_id, lambda x, i: rule(x["r"], i, kind))
+        return hashed(F.transform(by_id, lambda x, i: rule(x["r"], i, kind)), RULE_FIELDS)
+
+    # Bound to a name, the text is parsed once, not once for each field and use of it.
+    return F.transform(F.array(F.from_json(doc, AXE_REPORT)), lambda parsed: _axe_fields(parsed, state, listed, rules))[0]
+
 
+def _axe_fields(parsed: Column, state: Column, listed: Callable[[Column], Column], rules: Callable[[Column, str], Column]) -> Column:
     kinds = {"violation": parsed["violations"], "incomplete": parsed["incomplete"]}
     counts = [x for k, v in kinds.items() for x in (F.size(listed(v)).alias(f"{k}_rule_count"), F.aggregate(listed(v), F.lit(0), lambda n, r: n + F.size(listed(r["nodes"]))).alias(f"{k}_node_count"))]
     counts += [F.size(listed(parsed[k])).alias(f"{n}_rule_count") for k, n in (("passes", "pass"), ("inapplicable", "inapplicable"))]
