@@ -179,3 +179,11 @@ def test_index_column_and_truncation(spark):
     assert got[1] is None and got[2].warnings == ["invalid_utf8", "missing_title", "no_references"]
     n = spark.createDataFrame([(101, 250, None), (100, 251, 101), (None, None, None)], "n int, e int, u int").select(graph.truncated(graph.GraphLimits(), F.col("n"), F.col("e"), F.col("u")).alias("r"))
     assert [r.r for r in n.collect()] == [["node_limit"], ["edge_limit", "unfetched_node_limit"], []]
+
+
+def test_packed_blobs_are_made_in_slices(spark, small):
+    from tracewell.plans.workspace_queries import blob_gunzip
+    from tracewell.sources.fixtures import Views
+
+    plan = blob_gunzip(Views(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2

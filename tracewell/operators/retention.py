@@ -36,7 +36,7 @@ def read_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 #: Bytes of unpacked content that a task hands on at a time.
-UNPACKED = 16 << 20
+UNPACKED = 2 << 20
 
 
 def unpacked(data: bytes | None, most: int) -> tuple[bytes | None, str]:
