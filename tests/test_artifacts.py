@@ -40,3 +40,25 @@ def test_sources_feed_the_page_diff(spark, tmp_path):
     assert store.prepare(base.unionByName(target)) == 4
     diff = compare.full_page_diff(*(artifacts.source_side(store.attach(s), "page_id") for s in (base, target)))
     assert {r.resource_id: r.primary_change_class for r in diff.collect()} == {0: "no_tracked_change", 1: "technical_change", 2: "substantive_change", 3: "metadata_change", 4: "metadata_change"}
+
+
+def test_bodies_go_to_tasks_by_their_number_and_move_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "TASK_BODIES", 10, raising=False)
+    store = artifacts.ArtifactStore(spark, str(tmp_path))
+    rows = pages(spark, *((k, f"http://h/{k % 100}" if k % 100 else None, PAGE, None) for k in range(200)))
+    assert store.prepare(rows) == 100 and store.prepare(rows) == 0
+    files = [f for f in store.rows().inputFiles() if spark.read.parquet(f).count()]
+    assert len(files) > 10 and store.attach(rows).where("state = 'parsed'").count() == 200
+
+
+def test_a_body_is_read_once_for_all_its_parts(monkeypatch):
+    from html.parser import HTMLParser
+
+    from tracewell.functions import markup
+
+    read, feed = [], HTMLParser.feed
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, x: (read.append(len(x)), feed(self, x)))
+    source = '<script src="/_Incapsula_Resource?a=1&cb=1"></script><link href="/wp-content/a.css?ver=6.1">' + PAGE
+    root = markup.tree(source)
+    found = markup.analysed(source, root)
+    assert read == [len(source)] and (found["volatile"], found["versions"]) == (["1"], ["asset /wp-content/a.css 6.1"])

@@ -27,14 +27,19 @@ VERSION = "markup-1"
 CONFIG = {"max_sections": markup.MAX_SECTIONS, "max_characters": markup.MAX_CHARACTERS}
 PARTS = {"page": markup.PAGE_SCHEMA, "anchors": markup.ANCHOR_SCHEMA, "references": markup.REFERENCE_SCHEMA, "sections": markup.SECTION_SCHEMA, "source": markup.SOURCE_SCHEMA}
 KEY = ["blob", "base_url"]
-#: Bodies that a parse holds at a time.
-SLICE = 64
+#: Bodies that a parse holds at a time, and bodies of a task, about.
+SLICE, TASK_BODIES = 64, 4096
 
 
 def blob_of(html: str) -> F.Column:
     return F.sha2(F.col(html).cast("binary"), 256)
 
 
+def key_of(blob: str, base_url: str) -> F.Column:
+    """Hash and base URL as one text, whether there is a URL or not."""
+    return F.concat(F.col(blob), F.coalesce(F.concat(F.lit("1"), F.col(base_url)), F.lit("0")))
+
+
 def parse(bodies: DataFrame, config: dict) -> DataFrame:
     """blob, base_url, state, error and the parts of each row of ``bodies`` (blob, base_url, html)."""
     ddl = "blob string, base_url string, state string, error string, " + ", ".join(f"{n} {t}" for n, t in PARTS.items())
@@ -44,7 +49,7 @@ def parse(bodies: DataFrame, config: dict) -> DataFrame:
         row = {"blob": blob, "base_url": url, "state": "parsed", "error": None}
         try:
             root = markup.tree(html)
-            found = {**markup.page_parts(root, url or ""), "sections": markup.sections(root, **config)[0], "source": markup.analysed(html)}
+            found = {**markup.page_parts(root, url or ""), "sections": markup.sections(root, **config)[0], "source": markup.analysed(html, root)}
         except Exception as e:  # a body that breaks the parser must not break the run
             return {**row, "state": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
         return {**row, **found}
@@ -55,7 +60,7 @@ def parse(bodies: DataFrame, config: dict) -> DataFrame:
                 rows = batch.slice(at, SLICE).to_pylist()
                 yield pa.RecordBatch.from_pylist([one(r["blob"], r["base_url"], r["html"]) for r in rows], schema=schema)
 
-    return markup.for_all_cores(bodies.select("blob", "base_url", "html")).mapInArrow(run, ddl)
+    return bodies.select("blob", "base_url", "html").mapInArrow(run, ddl)
 
 
 class ArtifactStore:
@@ -81,12 +86,14 @@ class ArtifactStore:
     def prepare(self, pages: DataFrame, url: str = "url", html: str = "html", force: bool = False) -> int:
         """Parse the bodies of ``pages`` that have no artifact yet (all of them with ``force``); how many were parsed."""
         asked = pages.where(F.col(html).isNotNull()).select(blob_of(html).alias("blob"), F.col(url).alias("base_url"), F.col(html).alias("html"))
+        # Bodies are moved once, by key, to tasks that follow their number; what joins and groups them by key stays there.
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-pages.count() // TASK_BODIES))
+        asked = asked.withColumn("key", key_of(*KEY)).repartition(tasks, "key")
         stored = None if force else self._all()
         if stored is not None:
-            known = stored.select(*KEY).distinct()
-            asked = asked.join(known, (asked["blob"] == known["blob"]) & asked["base_url"].eqNullSafe(known["base_url"]), "left_anti")
+            asked = asked.join(stored.select(key_of(*KEY).alias("key")).repartition(tasks, "key"), "key", "left_anti")
         counted = Observation()
-        fresh = parse(asked.dropDuplicates(KEY), self.config).withColumn("generation", F.lit(time.time_ns()))
+        fresh = parse(asked.dropDuplicates(["key"]), self.config).withColumn("generation", F.lit(time.time_ns()))
         fresh.observe(counted, F.count("*").alias("n")).write.mode("append").option("compression", "zstd").parquet(self.path)
         return counted.get["n"]
 
