@@ -193,3 +193,38 @@ def test_tasks_of_occurrences_follow_the_rows(spark, small, monkeypatch):
     # Counters of edges are grouped where the occurrences are.
     counters = graph.edge_counters(o, "role=link_role", "scope=scope_decision")
     assert counters.rdd.getNumPartitions() == o.rdd.getNumPartitions()
+
+
+def test_resource_aggregate_deals_a_hot_resource_to_several_tasks(spark):
+    import random
+
+    from tracewell.operators import inventory
+
+    rng = random.Random(3)
+    fields = ("resource_id", "evidence", "evidence_id", "scan_id", "source_snapshot_id", "http_status", "kind", "rule", "extension", "in_scope", "evidence_at", "fetched_at")
+    made = []
+    for k in range(600):
+        kind = rng.choice(("observed", "anchor", "embedded"))
+        seen = kind == "observed"
+        made.append((0 if k % 3 else rng.randrange(5), kind, k, rng.choice((1, 2, None)), None if seen else rng.randrange(40), 200 + k if seen else None, rng.choice(("a", "b")), "r", None, rng.choice((True, False, None)), None if seen else rng.randrange(99), rng.choice((None, 1, 2)) if seen else None))
+    rows = [dict(zip(fields, r, strict=True)) for r in made]
+    e = spark.createDataFrame(made, "resource_id long, evidence string, evidence_id long, scan_id long, source_snapshot_id long, http_status long, kind string, rule string, extension string, in_scope boolean, evidence_at long, fetched_at long")
+    for c in inventory.LATEST:
+        e = e if c in e.columns else e.withColumn(c, F.col("evidence_id"))
+    resources = spark.createDataFrame([(k, "n", "h", "/", "htm") for k in range(5)], "id long, normalized_url string, host string, path string, path_extension string")
+    got = inventory.resource_aggregate(e, resources, tasks=7)
+    assert "hashpartitioning(resource_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
+    for found in (got, inventory.resource_aggregate(e, resources)):
+        rs = {r.resource_id: r for r in found.collect()}
+        assert len(rs) == 5
+        for k, r in rs.items():
+            own = [x for x in rows if x["resource_id"] == k]
+            seen, refs = [x for x in own if x["evidence"] == "observed"], [x for x in own if x["evidence"] != "observed"]
+            last = max(seen, key=lambda x: (x["fetched_at"] or 0, x["evidence_id"]))
+            assert (r.http_status, r.snapshot_id, r.kind) == (last["http_status"], last["evidence_id"], last["kind"])
+            assert (r.observed_count, r.occurrence_count) == (len(seen), len(refs))
+            assert r.source_page_count == len({x["source_snapshot_id"] for x in refs}) and r.scan_count == len({x["scan_id"] for x in own} - {None})
+            assert (r.in_scope_count, r.out_scope_count) == tuple(sum(x["in_scope"] is v for x in own) for v in (True, False))
+            assert (r.first_discovered, r.latest_discovered) == (min(x["evidence_at"] for x in refs), max(x["evidence_at"] for x in refs))
+    # The sources of one resource lie in several parts, each of which is grouped on its own.
+    assert e.where("resource_id = 0").select(F.pmod(F.xxhash64("source_snapshot_id"), F.lit(inventory.SOURCE_PARTS))).distinct().count() > 1

@@ -52,23 +52,35 @@ def resource_inventory(evidence: DataFrame) -> DataFrame:
 LATEST = ("snapshot_id", "final_url", "http_status", "mime_type", "filename", "declared_size", "network_bytes", "fetched_at", "response_time_ms")
 
 
-def resource_aggregate(evidence: DataFrame, resources: DataFrame) -> DataFrame:
+#: Parts of a resource's evidence that are grouped on their own, by source, and rows of evidence in a task, about.
+SOURCE_PARTS, TASK_ROWS = 8, 200_000
+
+
+def resource_aggregate(evidence: DataFrame, resources: DataFrame, tasks: int | None = None) -> DataFrame:
     """One full row a resource: all aggregates over its evidence, the latest observation's fields, its URL's parts.
 
     ``evidence`` has the fields of ``LATEST``, kind, rule, extension, source_snapshot_id, in_scope, evidence_at (when a
     reference was discovered) and scan_id; ``resources`` has id, normalized_url, host, path, path_extension. The latest
-    observation is one max_by over all its fields."""
+    observation is one max_by over all its fields.
+
+    Evidence is dealt to ``tasks`` tasks (None: it is counted first), which follow its rows, by resource and a part of its
+    sources; what a task sorts does not grow with the table, and a hot resource is in several. No source is in two
+    parts, so that their counts of sources add up."""
+    tasks = tasks or max(evidence.sparkSession.sparkContext.defaultParallelism, -(-evidence.count() // TASK_ROWS))
     observed = F.col("evidence") == "observed"
-    newest = F.max_by(F.when(observed, F.struct(*LATEST, "kind", "rule")), F.when(observed, F.struct("fetched_at", "evidence_id")))
-    rows = evidence.groupBy("resource_id").agg(
-        newest.alias("l"),
-        *[F.max(c).alias(f"any_{c}") for c in ("kind", "rule", "extension")],
-        F.count_if(observed).alias("observed_count"), F.count_if(~observed).alias("occurrence_count"),
-        *[F.count_if(F.col("evidence") == e).alias(f"{e}_count") for e in ("anchor", "embedded")],
-        F.count_if("in_scope").alias("in_scope_count"), F.count_if(~F.col("in_scope")).alias("out_scope_count"),
-        F.countDistinct("source_snapshot_id").alias("source_page_count"), F.countDistinct("scan_id").alias("scan_count"),
+    newest = F.when(observed, F.struct("fetched_at", "evidence_id"))
+    counts = {"observed_count": observed, "occurrence_count": ~observed, "anchor_count": F.col("evidence") == "anchor", "embedded_count": F.col("evidence") == "embedded", "in_scope_count": F.col("in_scope"), "out_scope_count": ~F.col("in_scope")}
+    part = F.pmod(F.xxhash64("source_snapshot_id"), F.lit(SOURCE_PARTS)).alias("part")
+    parts = evidence.select("*", part).repartition(tasks, "resource_id", "part").groupBy("resource_id", "part").agg(
+        F.max_by(F.when(observed, F.struct(*LATEST, "kind", "rule")), newest).alias("l"), F.max(newest).alias("l_at"),
+        *[F.max(c).alias(f"any_{c}") for c in ("kind", "rule", "extension")], *[F.count_if(c).alias(k) for k, c in counts.items()],
+        F.countDistinct("source_snapshot_id").alias("source_page_count"), F.collect_set("scan_id").alias("scans"),
         F.min(F.when(~observed, F.col("evidence_at"))).alias("first_discovered"), F.max(F.when(~observed, F.col("evidence_at"))).alias("latest_discovered"),
     )
+    rows = parts.repartition(tasks, "resource_id").groupBy("resource_id").agg(
+        F.max_by("l", "l_at").alias("l"), *[F.max(c).alias(c) for c in ("any_kind", "any_rule", "any_extension", "latest_discovered")], F.min("first_discovered").alias("first_discovered"),
+        *[F.sum(c).alias(c) for c in (*counts, "source_page_count")], F.size(F.array_distinct(F.flatten(F.collect_list("scans")))).cast("long").alias("scan_count"),
+    )
     named = resources.select(F.col("id").alias("resource_id"), "normalized_url", "host", "path", "path_extension")
     return rows.join(named, "resource_id").select(
         "resource_id", "normalized_url", "host", "path", F.coalesce("any_extension", "path_extension").alias("file_extension"),

@@ -76,7 +76,7 @@ def resource_aggregate_full(v: Views) -> DataFrame:
             "declared_size": size, "network_bytes": size * 2, "response_time_ms": size, "rule": F.concat(F.lit("rule_"), "kind"), "extension": F.when(F.col("evidence") == "embedded", "png"), "evidence_at": F.col("source_snapshot_id") % 1000,
         }
     )
-    return inventory.resource_aggregate(e, v.resources().withColumn("path", F.concat(F.lit("/"), "host")).withColumn("path_extension", F.lit("htm")))
+    return inventory.resource_aggregate(e, v.resources().withColumn("path", F.concat(F.lit("/"), "host")).withColumn("path_extension", F.lit("htm")), v.tasks())
 
 
 @BOOK.query(
@@ -268,7 +268,7 @@ def _inventories(v: Views) -> dict[int, DataFrame]:
         }
     )
     r = v.resources().withColumn("path", F.concat(F.lit("/"), "host")).withColumn("path_extension", F.lit("htm"))
-    return {k: inventory.resource_aggregate(e.where(F.col("scan_id") == k), r) for k in _SIDE.values()}
+    return {k: inventory.resource_aggregate(e.where(F.col("scan_id") == k), r, v.tasks()) for k in _SIDE.values()}
 
 
 @BOOK.query(ORACLE_RESOURCES, "snapshots", "occurrences", "resources", extra=TRACKED)
