@@ -161,6 +161,57 @@ def test_axe_report(spark):
     assert node.sha256 == hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def test_a_report_makes_what_is_asked(spark):
+    long = "<" * 4097
+    htmls = ["é" * 3000, "é" * 4097, long, "<p>" + "😀" * 4093, "😀" * 4094 + "<p>", "", None, 'a"\\\n\x01']
+    doc = json.dumps({"violations": [{"id": "b", "nodes": [{"html": x} for x in htmls]}, {"id": "a", "nodes": []}], "incomplete": [{"id": "a", "help": str(k)} for k in range(3)]}, ensure_ascii=False)
+    picked = (("rule_id", "nodes"), ("html_truncated", "sha256"), lambda n: n["position"] == 3)
+    df = spark.createDataFrame([(doc,)], "doc string").select(documents.axe_report(F.col("doc")).alias("r"), documents.axe_report(F.col("doc"), *picked).alias("p"))
+    r, p = df.first()
+    assert [(n.html, n.html_original_length, n.html_truncated) for n in r.rules[1].nodes] == [((x or "")[:4096], len(x or ""), len(x or "") > 4096) for x in htmls]
+    assert [x.help for x in r.rules[2:]] == ["0", "1", "2"]
+    value = lambda x, names: {k: ([y.asDict() for y in x[k]] if k == "nodes" else x[k]) for k in names}
+    sha = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert [n.sha256 for n in r.rules[1].nodes][:7] == [sha(value(n, documents.NODE_FIELDS)) for n in r.rules[1].nodes][:7]
+    assert r.rules[1].sha256 != r.rules[0].sha256 == sha(value(r.rules[0], documents.RULE_FIELDS))
+    assert [x.asDict(True) for x in p.rules] == [{"rule_id": x.rule_id, "nodes": [{"html_truncated": n.html_truncated, "sha256": n.sha256 if n.position == 3 else None} for n in x.nodes]} for x in r.rules]
+
+
+def test_a_report_is_an_object_or_malformed(spark):
+    # Repeated names and other text than strict JSON were malformed with rules; wrong types and what follows an object count no more than before.
+    docs = {'{"violations":[],"violations":[{"id":"a"}]}': ("ready", 1), "{'violations':[{'id':'a'}]}": ("malformed", 0), '{"violations":NaN}': ("malformed", 0), ' {"violations":[{"id":"a"}]} x': ("ready", 1), '[{"violations":[{"id":"a"}]}]': ("malformed", 0)}
+    docs |= {'{"violations":[{}],"passes":[{"a":1,"a":2}]}': ("ready", 1)}
+    docs |= {'{"violations":{"id":"a"},"incomplete":[{}],"passes":3}': ("ready", 1), '{"violations":[{"id":"a"}': ("malformed", 0), '{"violations":[{"id":"a"}],"fault":"x"}': ("ready", 1), "": ("malformed", 0), "null": ("malformed", 0), '"{"': ("malformed", 0)}
+    rows = spark.createDataFrame([(d,) for d in docs], "doc string").select("doc", documents.axe_report(F.col("doc")).alias("r")).collect()
+    assert {x.doc: (x.r.state, len(x.r.rules)) for x in rows} == docs
+
+
+def test_reports_are_made_in_the_tasks_that_read_them(spark, tmp_path):
+    from tracewell.plans.workspace_queries import _reports
+    from tracewell.sources.fixtures import Views
+
+    lines = [(1, 7, 1, 2.0, "R"), (1, 8, 2, 41.0, "A"), (1, 9, 3, 1.0, "R"), (2, 7, 2, 3.0, None), (3, None, 1, 1.0, "R"), (4, 5, None, 2.0, "N"), (5, 1, 2, None, "R"), (10, 1, 1, 1.0, "R"), (1234567890, 12345678901, 1, 0.0, "R")]
+    names = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = _reports(Views(spark, str(tmp_path)))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    # Lines are shuffled once and without their markup.
+    assert plan.count("Exchange ") == 1 and "repeat(" in plan and "repeat(" not in plan[plan.index("Exchange ") :]
+    want = {}
+    for key, *values in lines:
+        x = dict(zip(names[1:], values, strict=True))
+        node = {"target": ["html", "body"]} | ({} if x["l_quantity"] is None else {"html": "<" * int(x["l_quantity"]) * 100}) | {"failureSummary": "fix it"}
+        rule = {} if None in (x["l_partkey"], x["l_linenumber"]) else {"id": f"rule-{str(x['l_partkey'])[:9]:0>9}-{x['l_linenumber']}"}
+        rule |= {"impact": "serious"} | ({} if x["l_linenumber"] is None else {"nodes": [node] * (1 + x["l_linenumber"] % 2)})
+        report = want.setdefault(key, {"violations": [], "incomplete": []})
+        if x["l_returnflag"] is not None:
+            report["violations" if x["l_returnflag"] == "R" else "incomplete"].append(rule)
+    got = {r.id: r.doc for r in docs.collect()}
+    assert got.pop(10) == '{"violations":[{"id"' and got.pop(1234567890) == '{"violations":[{"id"' and want.keys() - got.keys() == {10, 1234567890}
+    by_id = lambda d: {k: sorted(map(json.dumps, v)) for k, v in d.items()}
+    assert {k: by_id(json.loads(d)) for k, d in got.items()} == {k: by_id(want[k]) for k in got}
+
+
 def test_rule_preview(spark):
     pages = spark.createDataFrame([(i, f"u{i}", "h" if i % 2 else None, "/", None) for i in range(1, 9)], "site_page_id int, normalized_url string, host string, path string, query string")
     rule = rules.Rule(5, 1, (rules.Condition("host", "equals", "H"),), active=False)

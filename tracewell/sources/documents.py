@@ -190,54 +190,93 @@ MAX_SNIPPET, MAX_FAILURE = 4096, 16_000
 NODE_FIELDS = ("position", "impact", "target", "html", "html_original_length", "html_truncated", "failure_summary")
 RULE_FIELDS = ("position", "rule_id", "result_type", "impact", "description", "help", "help_url", "tags", "nodes")
 _AXE_RULES = "array<struct<id:string,impact:string,description:string,help:string,helpUrl:string,tags:array<string>,nodes:array<struct<impact:string,target:array<string>,html:string,failureSummary:string>>>>"
-AXE_REPORT = f"struct<violations:{_AXE_RULES},incomplete:{_AXE_RULES},passes:array<variant>,inapplicable:array<variant>>"
+#: The field for the text of a document that could not be read, or not as these types.
+_FAULT = "fault"
+AXE_REPORT = f"struct<violations:{_AXE_RULES},incomplete:{_AXE_RULES},passes:array<string>,inapplicable:array<string>,{_FAULT}:string>"
+_STRICT = {"columnNameOfCorruptRecord": _FAULT, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def axe_report(doc: Column) -> Column:
+def axe_report(doc: Column, rule_fields: tuple[str, ...] = (*RULE_FIELDS, "sha256"), node_fields: tuple[str, ...] = (*NODE_FIELDS, "sha256"), hashed_nodes: Callable[[Column], Column] | None = None) -> Column:
     """An accessibility report's JSON in a fixed form: state, six counts, and all rules with all their nodes.
 
     Violations come before incomplete rules, each by id with positions from 1. Markup and failure summaries are cut, and a
     node says so and how long its markup was. Rules and nodes have a hash of their canonical JSON. The state is ``malformed``
-    for text that is no JSON object, else ``ready``; null is ``missing``. What has the wrong type counts as absent."""
-    variant = F.try_parse_json(doc)
-    state = F.when(doc.isNull(), "missing").when(F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False)), "ready").otherwise("malformed")
+    for text that is no JSON object, else ``ready``; null is ``missing``. What has the wrong type counts as absent; of a name
+    that an object repeats the last value counts.
+
+    Rules and nodes have the fields asked for, and no others are made, since Spark drops no unread fields of structs in
+    arrays; nodes that ``hashed_nodes`` is not true of (before they are cut) have a null hash. A rule's hash covers its
+    nodes, so with it they are whole and all have theirs."""
     text = lambda x: F.coalesce(x, F.lit(""))
     listed = lambda x: F.coalesce(x, F.array())
+    hashes_rules = "sha256" in rule_fields
+
+    def picked(values: dict[str, Column], names: tuple[str, ...], hashed: tuple[str, ...], asked: Column | None = None) -> Column:
+        def value(name: str) -> Column:
+            if name != "sha256":
+                return values[name]
+            got = json_hash({k: values[k] for k in hashed})
+            return got if asked is None else F.when(asked, got)
+
+        return F.struct(*[value(n).alias(n) for n in names])
 
     # Values are made in one pass and hashed in the next: in one expression they would be made again for the hash, and
     # those of nodes once more for each rule's.
     def node(n: Column, i: Column) -> Column:
         html = text(n["html"])
-        values = {
-            "position": i + 1, "impact": F.substring(n["impact"], 1, 32), "target": listed(n["target"]), "html": F.substring(html, 1, MAX_SNIPPET), "html_original_length": F.length(html),
-            "html_truncated": F.length(html) > MAX_SNIPPET, "failure_summary": F.substring(text(n["failureSummary"]), 1, MAX_FAILURE),
-        }
+        values = {"position": i + 1, "impact": F.substring(n["impact"], 1, 32), "target": listed(n["target"]), "html": html, "html_original_length": code_points(html), "failure_summary": _cut(text(n["failureSummary"]), MAX_FAILURE)}
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
+    def nodes(found: Column) -> Column:
+        def made(x: Column) -> Column:
+            n = x["html_original_length"]
+            cut = {"html": _cut(x["html"], MAX_SNIPPET, n), "html_truncated": n > MAX_SNIPPET}
+            values = {k: cut[k] if k in cut else x[k] for k in NODE_FIELDS}
+            if hashes_rules:
+                return picked(values, (*NODE_FIELDS, "sha256"), NODE_FIELDS)
+            return picked(values, node_fields, NODE_FIELDS, None if hashed_nodes is None else hashed_nodes(x))
+
+        return F.transform(F.transform(listed(found), node), made)
+
     def rule(r: Column, i: Column, kind: str) -> Column:
         url = F.when(F.startswith(r["helpUrl"], F.lit("https://")), r["helpUrl"])
         values = {
             "position": i + 1, "rule_id": F.substring(text(r["id"]), 1, 128), "result_type": F.lit(kind), "impact": F.substring(r["impact"], 1, 32), "description": text(r["description"]), "help": text(r["help"]),
-            "help_url": url, "tags": F.array_sort(listed(r["tags"])), "nodes": hashed(F.transform(listed(r["nodes"]), node), NODE_FIELDS),
+            "help_url": url, "tags": F.array_sort(listed(r["tags"])), "nodes": nodes(r["nodes"]),
         }
-        return F.struct(*[v.alias(k) for k, v in values.items()])
-
-    def hashed(rows: Column, names: tuple[str, ...]) -> Column:
-        return F.transform(rows, lambda x: F.struct(*[x[k].alias(k) for k in names], json_hash({k: x[k] for k in names}).alias("sha256")))
+        return picked(values, RULE_FIELDS if hashes_rules else rule_fields, ())
 
     def rules(found: Column, kind: str) -> Column:
-        by_id = F.array_sort(F.transform(listed(found), lambda r, i: F.struct(text(r["id"]).alias("id"), i.alias("i"), r.alias("r"))))
-        return hashed(F.transform(by_id, lambda x, i: rule(x["r"], i, kind)), RULE_FIELDS)
+        by_id = F.array_sort(listed(found), lambda a, b: F.when(text(a["id"]) < text(b["id"]), -1).when(text(a["id"]) > text(b["id"]), 1).otherwise(0))
+        made = F.transform(by_id, lambda r, i: rule(r, i, kind))
+        return F.transform(made, lambda x: picked({k: x[k] for k in RULE_FIELDS}, rule_fields, RULE_FIELDS)) if hashes_rules else made
+
+    def fields(parsed: Column) -> Column:
+        # Text that starts an object and was read without a fault is one; any other is parsed again to tell what it is.
+        read = F.startswith(doc, F.lit("{")) & parsed.isNotNull() & parsed[_FAULT].isNull()
+        is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(doc)).startswith("OBJECT"), F.lit(False))
+        state = F.when(doc.isNull(), "missing").when(read, "ready").when(is_object, "ready").otherwise("malformed")
+        kinds = {"violation": parsed["violations"], "incomplete": parsed["incomplete"]}
+        counts = [x for k, v in kinds.items() for x in (F.size(listed(v)).alias(f"{k}_rule_count"), F.aggregate(listed(v), F.lit(0), lambda n, r: n + F.size(listed(r["nodes"]))).alias(f"{k}_node_count"))]
+        counts += [F.size(listed(parsed[k])).alias(f"{n}_rule_count") for k, n in (("passes", "pass"), ("inapplicable", "inapplicable"))]
+        return F.struct(state.alias("state"), *counts, F.concat(*[rules(v, k) for k, v in kinds.items()]).alias("rules"))
 
     # Bound to a name, the text is parsed once, not once for each field and use of it.
-    return F.transform(F.array(F.from_json(doc, AXE_REPORT)), lambda parsed: _axe_fields(parsed, state, listed, rules))[0]
+    return F.transform(F.array(F.from_json(doc, AXE_REPORT, _STRICT)), fields)[0]
+
+
+def code_points(text: Column) -> Column:
+    """``length``, which goes from character to character. As Latin-1, text of ASCII alone has as many bytes as before, and they are its length."""
+    size = F.octet_length(text)
+    return F.when(F.octet_length(F.decode(text.cast("binary"), "ISO-8859-1")) == size, size).otherwise(F.length(text))
 
 
-def _axe_fields(parsed: Column, state: Column, listed: Callable[[Column], Column], rules: Callable[[Column, str], Column]) -> Column:
-    kinds = {"violation": parsed["violations"], "incomplete": parsed["incomplete"]}
-    counts = [x for k, v in kinds.items() for x in (F.size(listed(v)).alias(f"{k}_rule_count"), F.aggregate(listed(v), F.lit(0), lambda n, r: n + F.size(listed(r["nodes"]))).alias(f"{k}_node_count"))]
-    counts += [F.size(listed(parsed[k])).alias(f"{n}_rule_count") for k, n in (("passes", "pass"), ("inapplicable", "inapplicable"))]
-    return F.struct(state.alias("state"), *counts, F.concat(*[rules(v, k) for k, v in kinds.items()]).alias("rules"))
+def _cut(text: Column, most: int, length: Column | None = None) -> Column:
+    """The first ``most`` characters; ``substring`` goes through them one by one, so it is asked only where bytes don't tell."""
+    cut = F.when(F.octet_length(text) <= most, text)
+    if length is not None:
+        cut = cut.when(F.octet_length(text) == length, F.substring(text.cast("binary"), 1, most).cast("string"))
+    return cut.otherwise(F.substring(text, 1, most))
 
 
 def expand_sitemaps(bodies: DataFrame, roots: DataFrame, max_depth: int = 5, max_children: int = 500) -> tuple[DataFrame, DataFrame]:
